@@ -7,14 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from simloom.llm.minhash import near_duplicates
+from simloom.llm.packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary that the packing query counts in."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op10_minhash_near_dedup,)}
+def op6_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece."""
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path(), with_ids=False)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_bin_slack_packing, op10_minhash_near_dedup)}
 SQL: dict[str, str] = {}
