@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from simloom.llm.decontam import leaks
 from simloom.llm.minhash import near_duplicates
 from simloom.llm.packing import pack
 
@@ -24,10 +25,15 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, start, end, edits, coverage for each leak; clean documents have no row."""
+    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path(), with_ids=False)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_bin_slack_packing, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_benchmark_leaks, op6_bin_slack_packing, op10_minhash_near_dedup)}
 SQL: dict[str, str] = {}
