@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from simloom.llm.decontam import leaks
 from simloom.llm.minhash import near_duplicates
 from simloom.llm.packing import pack
+from simloom.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op9_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted for each document."""
+    return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -35,5 +41,5 @@ def op6_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path(), with_ids=False)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_benchmark_leaks, op6_bin_slack_packing, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_benchmark_leaks, op6_bin_slack_packing, op9_noisy_channel_toxicity, op10_minhash_near_dedup)}
 SQL: dict[str, str] = {}
