@@ -1,20 +1,61 @@
-"""From raw documents to packed sequences, in stages that each keep a written table."""
+"""From raw documents to packed sequences, in stages that each keep a written table.
+
+A stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor
+kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from simloom.llm.decontam import leaks
 from simloom.llm.minhash import near_duplicates
+from simloom.llm.packing import pack
+from simloom.llm.queries import tokenizer_path
+from simloom.llm.secrets import redact
+from simloom.llm.toxicity import toxicity
 from simloom.scratch import Scratch
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score doesn't reject; a null id stays."""
+    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.join(scored.where("predicted = 1").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group, the one with the smallest id; a null id stays."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage; a null id stays."""
+    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets replaced and ``n_chars`` counted anew where one was."""
+    out = redact(docs)
+    return out.withColumn("n_chars", F.when(F.col("redacted"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
 
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id."""
-    keep = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token windows, with their ids."""
+    return pack(docs, tokenizer_path())
 
 
-STAGES = [("minhash_near_dedup", dedup)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_leaks),
+    ("secret_scan", redact_secrets),
+    ("packing", pack_windows),
+]
 #: The stages use learned models, signatures and a tokenizer, which SQL can't express.
 ORACLE_SQL = None
 
@@ -25,4 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = scratch.table(stage(spark, docs, sf_dir), f"{k}_{name}")
+        if k > 1:
+            scratch.drop(f"{k - 2}_{STAGES[k - 2][0]}")
     return docs

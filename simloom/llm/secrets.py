@@ -141,3 +141,61 @@ def secrets(
         F.size(F.filter(spans, lambda s: s.kind == len(KINDS))).cast("long").alias("n_owned"),
         spans.alias("found"),
     )
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        owned_at = batch.schema.get_field_index("owned_hashes")
+        texts, redacted = [], []
+        for text, owned in zip(batch.column(at).to_pylist(), batch.column(owned_at).to_pylist(), strict=True):
+            owned = set(owned or ())
+            spans = [(s[0], s[2], s[1]) for s in candidates(text) if s[1] < len(KINDS) or s[3] in owned] if text else []
+            out, last = [], 0
+            for a, b, k in spans:  # overlapping spans become one
+                if a >= last:
+                    out += [text[last:a], f"<{(*KINDS, OWNED)[k]}-secret>"]
+                last = max(last, b)
+            texts.append("".join([*out, text[last:]]) if spans else text)
+            redacted.append(bool(spans))
+        columns = [c for k, c in enumerate(batch.columns) if k not in (at, owned_at)]
+        names = [n for k, n in enumerate(batch.schema.names) if k not in (at, owned_at)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(redacted)], names=[*names, "text", "redacted"])
+
+
+def redact(docs: DataFrame, *, text_col: str = "text", repo_col: str = "source", owner_col: str = "source", copied_by: int = COPIED_BY) -> DataFrame:
+    """The rows of ``docs`` with base and live owner-specific spans replaced in the text, and ``redacted``.
+
+    Each row is judged by its own text, so repeated ids do no harm.  Only the
+    few rows with key-like tokens take part in a join; a null text stays null.
+    """
+    scratch = Scratch(docs.sparkSession, "redact")
+    source = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"))
+    seen = scratch.table(
+        source.mapInArrow(_scan, f"doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found {_FOUND}")
+        .where(F.size("found") > 0)
+        .select("repo", "owner", F.explode("found").alias("s"))
+        .select("repo", "owner", "s.hash", "s.kind", "s.bits"),
+        "seen",
+    )
+    extra = seen.where((F.col("kind") == len(KINDS)) & (F.col("bits") >= LEAST_BITS)).select("hash").distinct()
+    owned = ownership(seen.select("hash", "repo", "owner")).where(F.col("n_owners") < copied_by).join(extra, "hash", "left_semi").select("hash")
+    cols = [c for c in docs.columns if c != text_col]
+    rows = docs.select(*cols, F.col(text_col).cast("string").alias("text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
+    schema = f"{kinds}, text string, redacted boolean" if kinds else "text string, redacted boolean"
+    # Which tokens are owned travels with the text's own hashes.
+    keyed = scratch.table(owned, "owned")
+    if keyed.isEmpty():
+        out = rows.withColumn("owned_hashes", F.array().cast("array<long>")).mapInArrow(_cut, schema)
+    else:
+        tagged = scratch.table(rows.withColumn("key", F.xxhash64("text")).select("key", "text").mapInArrow(_hashes, "key long, hash long"), "tagged")
+        per_text = tagged.join(keyed, "hash", "left_semi").groupBy("key").agg(F.collect_set("hash").alias("owned_hashes"))
+        out = rows.withColumn("key", F.xxhash64("text")).join(per_text, "key", "left").drop("key").mapInArrow(_cut, schema)
+    return out.withColumnRenamed("text", text_col)
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches):
+        rows = [(key, s[3]) for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if text for s in candidates(text) if s[1] == len(KINDS)]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([h for _, h in rows], pa.int64())], names=["key", "hash"])
