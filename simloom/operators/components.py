@@ -46,9 +46,23 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *, scratch: Scratch | None = None) -> DataFrame:
+def _one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = union_find((a, b) for x in batches for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True))
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["node", "component"])
+
+
+#: Edges, once each, that one task may hold; more take the distributed steps.
+ONE_TASK_EDGES = 1 << 17
+
+
+def connected_components(
+    edges: DataFrame, src: str = "src", dst: str = "dst", *, scratch: Scratch | None = None, one_task_edges: int = ONE_TASK_EDGES
+) -> DataFrame:
     """``(node, component)`` for each node on an edge; component is the smallest node id reachable.
 
+    Edge tables of a counted, bounded size are joined up by union-find in one
+    task; larger ones by star steps on the cluster, with the same result.
+
     Edges with a null end are ignored; a self-loop gives a component of one;
     repeated and reversed edges count once; no edges give no rows.
     """
@@ -57,6 +71,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *
     ends = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u is not null and v is not null")
     nodes = scratch.table(ends, "cc_edges")
     # u > v from here on: u hangs below v.
+    if nodes.count() <= one_task_edges:
+        return scratch.table(nodes.coalesce(1).mapInArrow(_one_task, "node long, component long"), "cc_nodes")
     step = scratch.table(nodes.mapInArrow(_contract, "u long, v long").distinct(), "cc_0")
     mark, k = None, 0
     while True:
