@@ -36,8 +36,8 @@ SHINGLE_WORDS = 5
 #: Similarity a link needs, in hundredths.
 PERCENT = 75
 #: Slots of a signature, and slots in a band: a pair at 0.75 shares one of the
-#: 32 bands with probability above 0.99999.
-SLOTS, ROWS = 128, 4
+#: 42 bands with probability 0.9997, a pair at 0.3 with 0.03.
+SLOTS, ROWS = 252, 6
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
