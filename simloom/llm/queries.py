@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from simloom.llm.decontam import leaks
+from simloom.llm.langid import identify
 from simloom.llm.minhash import near_duplicates
 from simloom.llm.packing import pack
 from simloom.llm.secrets import secrets
@@ -32,6 +33,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for each document."""
+    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and verdict counts for each document."""
     return secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("found")
@@ -47,5 +53,5 @@ def op6_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path(), with_ids=False)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_secret_ownership, op5_benchmark_leaks, op6_bin_slack_packing, op9_noisy_channel_toxicity, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_cross_parsing_language, op3_secret_ownership, op5_benchmark_leaks, op6_bin_slack_packing, op9_noisy_channel_toxicity, op10_minhash_near_dedup)}
 SQL: dict[str, str] = {}
