@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from simloom.llm.decontam import leaks
+from simloom.llm.htmltext import extract
 from simloom.llm.langid import identify
 from simloom.llm.minhash import near_duplicates
 from simloom.llm.packing import pack
@@ -43,6 +44,11 @@ def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("found")
 
 
+def op4_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars for each page."""
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, start, end, edits, coverage for each leak; clean documents have no row."""
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -53,5 +59,5 @@ def op6_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path(), with_ids=False)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_cross_parsing_language, op3_secret_ownership, op5_benchmark_leaks, op6_bin_slack_packing, op9_noisy_channel_toxicity, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_cross_parsing_language, op3_secret_ownership, op4_tag_path_text, op5_benchmark_leaks, op6_bin_slack_packing, op9_noisy_channel_toxicity, op10_minhash_near_dedup)}
 SQL: dict[str, str] = {}
