@@ -11,6 +11,7 @@ from simloom.llm.htmltext import extract
 from simloom.llm.langid import identify
 from simloom.llm.minhash import near_duplicates
 from simloom.llm.packing import pack
+from simloom.llm.pivots import near_vectors
 from simloom.llm.secrets import secrets
 from simloom.llm.toxicity import toxicity
 
@@ -34,6 +35,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op1_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each vector."""
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each document."""
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -59,5 +65,5 @@ def op6_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path(), with_ids=False)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_cross_parsing_language, op3_secret_ownership, op4_tag_path_text, op5_benchmark_leaks, op6_bin_slack_packing, op9_noisy_channel_toxicity, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pivot_near_dedup, op2_cross_parsing_language, op3_secret_ownership, op4_tag_path_text, op5_benchmark_leaks, op6_bin_slack_packing, op9_noisy_channel_toxicity, op10_minhash_near_dedup)}
 SQL: dict[str, str] = {}
