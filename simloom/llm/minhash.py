@@ -12,15 +12,19 @@ holds a value below ``j + 1``, which no later step can lower.
 
 Documents with equal sets are one class, found by an aggregation before any
 candidate work.  Bands of the signature give buckets of class representatives;
-buckets are resolved in rounds.  A round tests every member against a few
-centres of its bucket, by full sets; members that are by now in one component
-need no more tests among themselves.  Rounds take more centres each time until
-all members are centres, so no link between two components is left untested,
-and a large bucket of copies costs one test a member instead of one a pair.
+buckets are resolved in rounds.  The first rounds test every member against one
+centre of its bucket, by full sets: the member that meets most others, summed
+over all its buckets, which for a group of copies is near to their origin.
+Members that are by now in one component need no more tests among themselves.
+The last round takes all pairs of a bucket that are still in two components and
+tests those whose signatures make the similarity possible (4.5 standard
+deviations), so a large bucket of copies mostly costs a test or two a member
+instead of one a pair.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,21 +159,47 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each slot, sixteen slots in a long; slots beyond the last are zero for all."""
+    n, slots = signature.shape
+    nibbles = np.zeros((n, -(-slots // 16) * 16), np.uint64)
+    nibbles[:, :slots] = mix(signature) & U64(15)
+    return np.bitwise_or.reduce(nibbles.reshape(n, -1, 16) << (np.arange(16, dtype=np.uint64) * U64(4)), axis=2).view(np.int64)
+
+
+def likely(one: str, two: str, slots: int, percent: int) -> str:
+    """SQL: whether two sketches may belong to sets with the similarity.
+
+    Slots agree with probability J, and nibbles of others by chance.  The bound
+    lies 4.5 standard deviations below what the similarity makes one expect.
+    """
+    agree = percent / 100 + (1 - percent / 100) / 16
+    least = slots * agree - 4.5 * math.sqrt(slots * agree * (1 - agree))
+    terms = []
+    for k in range(-(-slots // 16)):
+        x = f"({one}[{k}] ^ {two}[{k}])"
+        y = f"({x} | shiftrightunsigned({x}, 1))"
+        terms.append(f"bit_count(({y} | shiftrightunsigned({y}, 2)) & {0x1111111111111111})")
+    return f"{slots} - ({' + '.join(terms)}) >= {least}"
+
+
 def _describe(slots: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             data, offsets = joined(part.column(1))
             prints, ends = shingle_sets(data, offsets)
             sizes = np.diff(ends)
-            keys = bands(signatures(prints, ends, slots), rows)
+            signature = signatures(prints, ends, slots)
+            keys, nibbles = bands(signature, rows), sketches(signature)
             totals = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(prints + U64(s)))]) for s in (0x1234567, 0x89ABCDEF01)]
             one, two = ((t[ends[1:]] - t[ends[:-1]]).view(np.int64) for t in totals)
             full = sizes > 0
-            per_row = keys.shape[1]
-            index = np.concatenate([np.zeros(1, np.int32), np.cumsum(np.where(full, per_row, 0))]).astype(np.int32)
+            lists = [
+                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * x.shape[1])]).astype(np.int32)), pa.array(x[full].reshape(-1)))
+                for x in (keys, nibbles)
+            ]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes), pa.array(one), pa.array(two), pa.ListArray.from_arrays(pa.array(index), pa.array(keys[full].reshape(-1)))],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                [part.column(0), pa.array(sizes), pa.array(one), pa.array(two), *lists], names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"]
             )
 
     return run
@@ -212,19 +242,22 @@ def near_duplicates(
     scratch = Scratch(spark, "minhash")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     seen = scratch.table(
-        source.mapInArrow(_describe(slots, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "described"
+        source.mapInArrow(_describe(slots, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"), "described"
     )
     key = ["n_shingles", "set_a", "set_b"]
     with_words = seen.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.table(with_words.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "classes")
+    classes = scratch.table(with_words.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")), "classes")
     # A bucket with a single class can link nothing.
     entries = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = scratch.table(entries.join(shared, "bucket").select("bucket", "rep", "n_shingles", "n"), "buckets")
+    counts = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = scratch.table(entries.join(counts, "bucket"), "shared")
+    reach = shared.groupBy("rep").agg(F.sum("n").alias("reach"))
+    buckets = scratch.table(shared.join(reach, "rep").select("bucket", "rep", "n_shingles", "reach"), "buckets")
+    scratch.drop("shared")
     sets = scratch.table(
         source.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, prints binary"), "sets"
     )
-    links = _resolve(scratch, buckets, sets, percent)
+    links = _resolve(scratch, buckets, classes.select("rep", "sketch"), sets, percent, slots)
     # Same id under two sets: one document.
     twice = with_words.select(F.col("doc_id").alias("src"), *key).join(classes.select(*key, F.col("rep").alias("dst")), key)
     groups = connected_components(links, scratch=scratch)
@@ -244,47 +277,47 @@ def near_duplicates(
     )
 
 
-def _resolve(scratch: Scratch, buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+#: Rounds in which a bucket has one centre.
+CENTRES = 2
+
+
+def _resolve(scratch: Scratch, buckets: DataFrame, sketch: DataFrame, sets: DataFrame, percent: int, slots: int) -> DataFrame:
     """Links that join, directly or not, all pairs of a bucket that have the similarity."""
-    groups: DataFrame | None = None
-    tested: DataFrame | None = None
-    k, centres = 0, 0
-    while True:
-        members = buckets
-        if groups is not None:
-            members = buckets.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    links = used = None
+    tested: list[DataFrame] = []
+    members = buckets.withColumn("component", F.col("rep"))
+    for k in range(CENTRES + 1):
+        if k:
+            groups = scratch.table(connected_components(links, scratch=scratch), f"groups_{k}").withColumnRenamed("node", "rep")
+            members = buckets.join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
             mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-            members = members.join(mixed, "bucket", "left_semi")
-        else:
-            members = members.withColumn("component", F.col("rep"))
-        if not centres:  # the smallest member of each bucket
-            chosen = members.groupBy("bucket").agg(F.min(F.struct("rep", "n_shingles", "component")).alias("c")).select("bucket", "c.*")
-        else:
-            share = F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(1 << 20)) * F.col("n") < F.lit(centres << 20)
-            chosen = members.where(share).select("bucket", "rep", "n_shingles", "component")
-        chosen = chosen.select("bucket", F.col("rep").alias("c_rep"), F.col("n_shingles").alias("c_size"), F.col("component").alias("c_component"))
+            members = scratch.table(members.join(mixed, "bucket", "left_semi"), f"members_{k}")
+        if k == CENTRES:
+            members = members.join(sketch, "rep")
+        centres = members
+        if k < CENTRES:
+            fresh = members.join(used, ["bucket", "rep"], "left_anti") if used is not None else members
+            best = F.max(F.struct("reach", (-F.col("rep")).alias("order"), "rep", "n_shingles", "component")).alias("c")
+            centres = scratch.table(fresh.groupBy("bucket").agg(best).select("bucket", "c.rep", "c.n_shingles", "c.component"), f"centres_{k}")
+            used = centres.select("bucket", "rep")
+        named = [F.col(c).alias(f"c_{c}") for c in ("rep", "n_shingles", "component", *(["sketch"] if k == CENTRES else []))]
+        chosen = centres.select("bucket", *named)
         # Sizes too far apart can't reach the similarity.
-        pairs = (
-            members.join(chosen, "bucket")
-            .where("component != c_component")
-            .where(F.least("n_shingles", "c_size") * 100 >= F.greatest("n_shingles", "c_size") * percent)
-            .select(F.least("rep", "c_rep").alias("src"), F.greatest("rep", "c_rep").alias("dst"))
-            .distinct()
+        apart = members.join(chosen, "bucket").where("component != c_component").where(
+            F.least("n_shingles", "c_n_shingles") * 100 >= F.greatest("n_shingles", "c_n_shingles") * percent
         )
-        if tested is not None:
-            pairs = pairs.join(tested.select("src", "dst"), ["src", "dst"], "left_anti")
+        if k == CENTRES:
+            apart = apart.where("rep < c_rep").where(likely("sketch", "c_sketch", slots, percent))
+        pairs = apart.select(F.least("rep", "c_rep").alias("src"), F.greatest("rep", "c_rep").alias("dst")).distinct()
+        for done in tested:
+            pairs = pairs.join(done.select("src", "dst"), ["src", "dst"], "left_anti")
         pairs = scratch.table(pairs, f"pairs_{k}")
         full = (
             pairs.join(sets.select(F.col("doc_id").alias("src"), F.col("prints").alias("one")), "src")
             .join(sets.select(F.col("doc_id").alias("dst"), F.col("prints").alias("two")), "dst")
             .select("src", "dst", "one", "two")
         )
-        now = scratch.table(full.mapInArrow(_links(percent), "src long, dst long, linked boolean"), f"tested_{k}")
-        scratch.drop(f"pairs_{k}")
-        tested = now if tested is None else scratch.table(tested.unionByName(now), f"all_{k}")
-        links = tested.where("linked").select("src", "dst")
-        most = members.agg(F.max("n")).first()[0] or 0
-        if most <= max(centres, 1):
-            return links
-        centres, k = max(centres, 4) * 8, k + 1
-        groups = scratch.table(connected_components(links, scratch=scratch), f"groups_{k}")
+        tested.append(scratch.table(full.mapInArrow(_links(percent), "src long, dst long, linked boolean"), f"tested_{k}"))
+        found = tested[-1].where("linked").select("src", "dst")
+        links = found if links is None else links.unionByName(found)
+    return links
