@@ -12,6 +12,7 @@ from simloom.llm.langid import identify
 from simloom.llm.licenses import licenses, oracle
 from simloom.llm.minhash import near_duplicates
 from simloom.llm.packing import pack
+from simloom.llm.pii import pseudonymise
 from simloom.llm.pivots import near_vectors
 from simloom.llm.secrets import secrets
 from simloom.llm.toxicity import toxicity
@@ -31,6 +32,11 @@ def op7_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text with pseudonyms, spans and counts for each document."""
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted for each document."""
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -71,5 +77,5 @@ def op6_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path(), with_ids=False)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pivot_near_dedup, op2_cross_parsing_language, op3_secret_ownership, op4_tag_path_text, op5_benchmark_leaks, op6_bin_slack_packing, op7_license_digests, op9_noisy_channel_toxicity, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pivot_near_dedup, op2_cross_parsing_language, op3_secret_ownership, op4_tag_path_text, op5_benchmark_leaks, op6_bin_slack_packing, op7_license_digests, op8_feistel_pseudonyms, op9_noisy_channel_toxicity, op10_minhash_near_dedup)}
 SQL: dict[str, str] = {"op7_license_digests": oracle()}
