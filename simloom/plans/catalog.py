@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from simloom.functions.hashing import r6
 from simloom.operators import kernels, transforms
-from simloom.plans import relations as _relations  # noqa: F401  registers its queries
+from simloom.plans import curves as _curves  # noqa: F401  registers its queries
+from simloom.plans import relations as _relations  # noqa: F401
 from simloom.plans import vectors as _vectors  # noqa: F401
 from simloom.plans.registry import QUERIES, SQL, cells, query, table
 
