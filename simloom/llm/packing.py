@@ -15,9 +15,12 @@ nothing is shuffled.  Sequence ids hold the task's partition number.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import insort
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ CAPACITY = 2048
 #: The id that ends a document.
 END_ID = 1
 #: Ids held before a block is packed, and words whose ids a worker remembers.
-BLOCK_IDS, KNOWN_WORDS = 1 << 22, 300_000
+BLOCK_IDS, KNOWN_WORDS = 1 << 22, 500_000
 
 
 def closest_fill(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -147,12 +150,30 @@ class Packer:
         self.waiting = {length: [(d, s, ids.copy(), n) for d, s, ids, n in of] for length, of in self.waiting.items()}
 
 
+#: Lower-case letters of one code point that no normalisation changes, then marks: two tokens' worth of text.
+_SIMPLE = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?%*#$&|@+-]*)")
+#: The byte alphabet of the vocabulary: printable bytes stand for themselves, the others follow from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+def _plain(text: str) -> str:
+    """The text in lower case, if that is sure to leave its ids alone."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text if "<|" in text else text.lower()
+
+
 class WordIds:
     """Ids of whole texts by way of their words, of which the last ones are remembered.
 
     The tokenizer drops white space and lets no token span it, so a text's ids
     are its words' ids in order.  Only space, tab and line ends split here; any
-    other white space is left for the tokenizer.
+    other white space is left for the tokenizer.  It also parts letters from
+    marks, so a word of letters with marks behind it has the ids of both.
     """
 
     def __init__(self, path: str) -> None:
@@ -167,39 +188,68 @@ class WordIds:
         self.begin, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
     def _learn(self, unseen: list[str]) -> None:
-        for word, got in zip(unseen, self.tokenizer.encode_batch(unseen, add_special_tokens=False), strict=True):
-            ids, k = got.ids, len(self.known)
-            if k >= len(self.begin):
-                self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.begin[k], self.size[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[word] = k
+        """Ids of words: of letters and then marks by the model alone, of others by the whole tokenizer."""
+        others, parts = [], {}
+        for word in unseen:
+            m = _SIMPLE.fullmatch(word)
+            if m:
+                parts[word] = m.groups()
+            else:
+                others.append(word)
+        others += [x for x in dict.fromkeys(tail for _, tail in parts.values()) if x not in self.known]
+        self._put(others, [got.ids for got in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)])
+        cores = [x for x in dict.fromkeys(core for core, _ in parts.values()) if x not in self.known]
+        tokenize = self.tokenizer.model.tokenize
+        self._put(cores, [[t.id for t in tokenize(x if x.isascii() else x.encode().decode("latin-1").translate(_BYTES))] for x in cores])
+        both = [(word, self.known[core], self.known[tail]) for word, (core, tail) in parts.items() if tail]
+        if both:
+            words, *codes = zip(*both, strict=True)
+            codes = np.array(codes).T
+            self._append(list(words), self.size[codes].sum(1), self._gather(codes.reshape(-1)))
+
+    def _put(self, words: list[str], lists: list[list[int]]) -> None:
+        self._append(words, np.fromiter(map(len, lists), np.int64, len(lists)), np.array(list(chain.from_iterable(lists)), np.uint32))
+
+    def _append(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        k, n = len(self.known), len(words)
+        while k + n > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.size[k : k + n] = sizes
+        self.begin[k : k + n] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.known.update(zip(words, range(k, k + n), strict=True))
+
+    def _gather(self, codes: np.ndarray) -> np.ndarray:
+        """Ids of the words with these numbers, end to end."""
+        sizes = self.size[codes]
+        ends = np.cumsum(sizes)
+        return self.pool[np.repeat(self.begin[codes] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and the number of ids of each text."""
         if len(self.known) > KNOWN_WORDS:
             self._forget()
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        split = [_plain(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         flat = [w for of in split for w in of]
-        get = self.known.get
-        if unseen := [w for w in dict.fromkeys(flat) if w not in self.known]:
-            for a in range(0, len(unseen), 4096):
-                self._learn(unseen[a : a + 4096])
-        codes = np.fromiter(map(get, flat), np.int64, len(flat))
-        sizes = self.size[codes]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.repeat(self.begin[codes] - (ends - sizes), sizes) + np.arange(total)]
+        if unseen := set(flat).difference(self.known):
+            self._learn(sorted(unseen))
+        codes = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        ids, ends = self._gather(codes), np.cumsum(self.size[codes])
         marks = np.concatenate([np.zeros(1, np.int64), ends])[np.cumsum([0, *map(len, split)])]
         return ids, np.diff(marks)
 
 
+@lru_cache(1)
+def _encoder(path: str) -> WordIds:
+    return WordIds(path)
+
+
 def _runner(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(path)
+        encode = _encoder(path)
         rows: list[tuple] = []
 
         def emit(piece: tuple, sequence: int, offset: int) -> None:
