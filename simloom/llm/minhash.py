@@ -216,14 +216,15 @@ def _links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, one, two = (batch.column(k) for k in range(4))
-            kept = []
+            kept, common = [], []
             for x, y in zip(one, two, strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate([x, y])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
+                common.append(shared)
                 kept.append(100 * shared >= percent * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(kept, pa.bool_())], names=["src", "dst", "linked"])
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(kept, pa.bool_()), pa.array(common, pa.int64())], names=["src", "dst", "linked", "common"])
 
     return run
 
@@ -277,6 +278,40 @@ def near_duplicates(
     )
 
 
+def _anchored(members: DataFrame, tested: list[DataFrame], sets: DataFrame) -> DataFrame:
+    """``members`` with what bounds the size of an intersection without looking at it.
+
+    A member's anchor is the most central one it was tested against, or itself;
+    ``inside`` counts the shingles that both have.  Of the others, those that no
+    other member or anchor has can't be shared; ``spare`` counts the rest.  Two
+    members with one anchor share at most the lesser ``inside`` plus the lesser
+    ``spare``.
+    """
+    own = members.groupBy("rep").agg(F.max("reach").alias("reach"), F.max("n_shingles").alias("n_shingles"))
+    each = None
+    for done in tested:
+        ways = done.select(F.col("src").alias("rep"), F.col("dst").alias("anchor"), "common").unionByName(done.select(F.col("dst").alias("rep"), F.col("src").alias("anchor"), "common"))
+        each = ways if each is None else each.unionByName(ways)
+    ranked = each.join(own.select(F.col("rep").alias("anchor"), "reach"), "anchor").unionByName(own.select("rep", F.col("rep").alias("anchor"), F.col("n_shingles").alias("common"), "reach"))
+    best = ranked.groupBy("rep").agg(F.max(F.struct("reach", "anchor", "common")).alias("b")).select("rep", F.col("b.anchor").alias("anchor"), F.col("b.common").alias("inside"))
+    # Anchors are members themselves, so members are all that can share a shingle.
+    prints = sets.join(own.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_each_print, "print long, doc_id long")
+    alone = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")).where("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+    about = best.join(alone, "rep", "left")
+    spare = F.col("n_shingles") - F.col("inside") - F.coalesce("alone", F.lit(0))
+    return members.join(about, "rep").withColumn("spare", spare).drop("alone")
+
+
+def _each_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index("prints"))
+        ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy()
+        for at in range(0, len(ids), 256):
+            raw = [np.frombuffer(x.as_buffer(), np.int64) for x in column[at : at + 256]]
+            owner = np.repeat(ids[at : at + 256], [len(x) for x in raw])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(raw)), pa.array(owner)], names=["print", "doc_id"])
+
+
 #: Rounds in which a bucket has one centre.
 CENTRES = 2
 
@@ -293,14 +328,14 @@ def _resolve(scratch: Scratch, buckets: DataFrame, sketch: DataFrame, sets: Data
             mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
             members = scratch.table(members.join(mixed, "bucket", "left_semi"), f"members_{k}")
         if k == CENTRES:
-            members = members.join(sketch, "rep")
+            members = _anchored(members, tested, sets).join(sketch, "rep")
         centres = members
         if k < CENTRES:
             fresh = members.join(used, ["bucket", "rep"], "left_anti") if used is not None else members
             best = F.max(F.struct("reach", (-F.col("rep")).alias("order"), "rep", "n_shingles", "component")).alias("c")
             centres = scratch.table(fresh.groupBy("bucket").agg(best).select("bucket", "c.rep", "c.n_shingles", "c.component"), f"centres_{k}")
             used = centres.select("bucket", "rep")
-        named = [F.col(c).alias(f"c_{c}") for c in ("rep", "n_shingles", "component", *(["sketch"] if k == CENTRES else []))]
+        named = [F.col(c).alias(f"c_{c}") for c in ("rep", "n_shingles", "component", *(["sketch", "anchor", "inside", "spare"] if k == CENTRES else []))]
         chosen = centres.select("bucket", *named)
         # Sizes too far apart can't reach the similarity.
         apart = members.join(chosen, "bucket").where("component != c_component").where(
@@ -308,6 +343,8 @@ def _resolve(scratch: Scratch, buckets: DataFrame, sketch: DataFrame, sets: Data
         )
         if k == CENTRES:
             apart = apart.where("rep < c_rep").where(likely("sketch", "c_sketch", slots, percent))
+            most = F.least("inside", "c_inside") + F.least("spare", "c_spare")
+            apart = apart.where((F.col("anchor") != F.col("c_anchor")) | (most * 100 >= (F.col("n_shingles") + F.col("c_n_shingles") - most) * percent))
         pairs = apart.select(F.least("rep", "c_rep").alias("src"), F.greatest("rep", "c_rep").alias("dst")).distinct()
         for done in tested:
             pairs = pairs.join(done.select("src", "dst"), ["src", "dst"], "left_anti")
@@ -317,7 +354,7 @@ def _resolve(scratch: Scratch, buckets: DataFrame, sketch: DataFrame, sets: Data
             .join(sets.select(F.col("doc_id").alias("dst"), F.col("prints").alias("two")), "dst")
             .select("src", "dst", "one", "two")
         )
-        tested.append(scratch.table(full.mapInArrow(_links(percent), "src long, dst long, linked boolean"), f"tested_{k}"))
+        tested.append(scratch.table(full.mapInArrow(_links(percent), "src long, dst long, linked boolean, common long"), f"tested_{k}"))
         found = tested[-1].where("linked").select("src", "dst")
         links = found if links is None else links.unionByName(found)
     return links
