@@ -108,17 +108,17 @@ class Parser:
             self.logs.append(math.log2(max(2, len(text))))
 
     def _table(self, go: list[dict[int, int]]) -> np.ndarray:
-        """Next state times the width, shifted by one bit that tells of a phrase's end."""
+        """Next state times the width, shifted by two bits that count the phrases that end."""
         root = np.zeros(self.width, np.int32)
         lone = np.ones(self.width, np.int32)
         for c, to in go[0].items():
             root[c], lone[c] = to, 0
         # On a mismatch the phrase ends and the symbol begins the next one, which
         # ends at once if no sample has the symbol.
-        table = np.tile(root * self.width * 2 + 1, (len(go), 1)).astype(np.int32)
+        table = np.tile(root * self.width * 4 + 1 + lone, (len(go), 1)).astype(np.int32)
         state = np.repeat(np.arange(len(go)), [len(x) for x in go])
-        table[state, [c for x in go for c in x]] = np.array([to for x in go for to in x.values()], np.int32) * self.width * 2
-        table[0] = root * self.width * 2 + lone
+        table[state, [c for x in go for c in x]] = np.array([to for x in go for to in x.values()], np.int32) * self.width * 4
+        table[0] = root * self.width * 4 + lone
         return table.reshape(-1)
 
     def rates(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,8 +144,8 @@ class Parser:
                 if not n:
                     break
                 got = table[state[:n] + grid[k]]
-                count[:n] += got & 1
-                state[:n] = got >> 1
+                count[:n] += got & 3
+                state[:n] = got >> 2
             count += state > 0  # the phrase that the lane's end cuts
             out[:, j] = np.bincount(owner, count, len(sizes)) * self.logs[j]
         return out / np.maximum(1, sizes)[:, None], letters
