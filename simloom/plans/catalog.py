@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from simloom.functions.hashing import r6
 from simloom.operators import kernels, transforms
 from simloom.plans import curves as _curves  # noqa: F401  registers its queries
+from simloom.plans import further as _further  # noqa: F401
 from simloom.plans import inputs as _inputs  # noqa: F401
 from simloom.plans import models as _models  # noqa: F401
 from simloom.plans import relations as _relations  # noqa: F401
