@@ -17,7 +17,7 @@ centre of its bucket, by full sets: the member that meets most others, summed
 over all its buckets, which for a group of copies is near to their origin.
 Members that are by now in one component need no more tests among themselves.
 The last round takes all pairs of a bucket that are still in two components and
-tests those whose signatures make the similarity possible (4.5 standard
+tests those whose signatures make the similarity possible (3.5 standard
 deviations), so a large bucket of copies mostly costs a test or two a member
 instead of one a pair.
 """
@@ -171,10 +171,10 @@ def likely(one: str, two: str, slots: int, percent: int) -> str:
     """SQL: whether two sketches may belong to sets with the similarity.
 
     Slots agree with probability J, and nibbles of others by chance.  The bound
-    lies 4.5 standard deviations below what the similarity makes one expect.
+    lies 3.5 standard deviations below what the similarity makes one expect.
     """
     agree = percent / 100 + (1 - percent / 100) / 16
-    least = slots * agree - 4.5 * math.sqrt(slots * agree * (1 - agree))
+    least = slots * agree - 3.5 * math.sqrt(slots * agree * (1 - agree))
     terms = []
     for k in range(-(-slots // 16)):
         x = f"({one}[{k}] ^ {two}[{k}])"
@@ -278,26 +278,39 @@ def near_duplicates(
     )
 
 
+def _ranked(own: DataFrame, tested: list[DataFrame]) -> DataFrame:
+    """``rep, anchor, inside, anchor_reach``: the most central member that each was tested against, or itself."""
+    ways = None
+    for done in tested:
+        for one, two in (("src", "dst"), ("dst", "src")):
+            now = done.select(F.col(one).alias("rep"), F.col(two).alias("anchor"), "common")
+            ways = now if ways is None else ways.unionByName(now)
+    ranked = ways.join(own.select(F.col("rep").alias("anchor"), "reach"), "anchor").unionByName(own.select("rep", F.col("rep").alias("anchor"), F.col("n_shingles").alias("common"), "reach"))
+    return ranked.groupBy("rep").agg(F.max(F.struct("reach", "anchor", "common")).alias("b")).select("rep", F.col("b.anchor").alias("anchor"), F.col("b.common").alias("inside"), F.col("b.reach").alias("anchor_reach"))
+
+
+def _toward_hubs(members: DataFrame, tested: list[DataFrame]) -> DataFrame:
+    """``src, dst``: each member and the most central anchor of those it shares a bucket with, so that a group's members get one anchor."""
+    own = members.groupBy("rep").agg(F.max("reach").alias("reach"), F.max("n_shingles").alias("n_shingles"))
+    placed = members.select("bucket", "rep").join(_ranked(own, tested), "rep")
+    hubs = placed.groupBy("bucket").agg(F.max(F.struct("anchor_reach", "anchor")).alias("h"))
+    best = placed.select("bucket", "rep").join(hubs, "bucket").groupBy("rep").agg(F.max("h").alias("h")).select("rep", F.col("h.anchor").alias("hub"))
+    return best.where("rep != hub").select(F.least("rep", "hub").alias("src"), F.greatest("rep", "hub").alias("dst")).distinct()
+
+
 def _anchored(members: DataFrame, tested: list[DataFrame], sets: DataFrame) -> DataFrame:
     """``members`` with what bounds the size of an intersection without looking at it.
 
-    A member's anchor is the most central one it was tested against, or itself;
-    ``inside`` counts the shingles that both have.  Of the others, those that no
-    other member or anchor has can't be shared; ``spare`` counts the rest.  Two
-    members with one anchor share at most the lesser ``inside`` plus the lesser
-    ``spare``.
+    ``inside`` counts the shingles that a member and its anchor both have.  Of
+    the others, those that no other member has can't be shared; ``spare`` counts
+    the rest.  Two members with one anchor share at most the lesser ``inside``
+    plus the lesser ``spare``.
     """
     own = members.groupBy("rep").agg(F.max("reach").alias("reach"), F.max("n_shingles").alias("n_shingles"))
-    each = None
-    for done in tested:
-        ways = done.select(F.col("src").alias("rep"), F.col("dst").alias("anchor"), "common").unionByName(done.select(F.col("dst").alias("rep"), F.col("src").alias("anchor"), "common"))
-        each = ways if each is None else each.unionByName(ways)
-    ranked = each.join(own.select(F.col("rep").alias("anchor"), "reach"), "anchor").unionByName(own.select("rep", F.col("rep").alias("anchor"), F.col("n_shingles").alias("common"), "reach"))
-    best = ranked.groupBy("rep").agg(F.max(F.struct("reach", "anchor", "common")).alias("b")).select("rep", F.col("b.anchor").alias("anchor"), F.col("b.common").alias("inside"))
     # Anchors are members themselves, so members are all that can share a shingle.
     prints = sets.join(own.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_each_print, "print long, doc_id long")
     alone = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")).where("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
-    about = best.join(alone, "rep", "left")
+    about = _ranked(own, tested).drop("anchor_reach").join(alone, "rep", "left")
     spare = F.col("n_shingles") - F.col("inside") - F.coalesce("alone", F.lit(0))
     return members.join(about, "rep").withColumn("spare", spare).drop("alone")
 
@@ -312,6 +325,17 @@ def _each_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(raw)), pa.array(owner)], names=["print", "doc_id"])
 
 
+def _test(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """``src, dst, linked, common`` of each pair, from the full sets."""
+    pairs = scratch.table(pairs, f"pairs_{name}")
+    full = (
+        pairs.join(sets.select(F.col("doc_id").alias("src"), F.col("prints").alias("one")), "src")
+        .join(sets.select(F.col("doc_id").alias("dst"), F.col("prints").alias("two")), "dst")
+        .select("src", "dst", "one", "two")
+    )
+    return scratch.table(full.mapInArrow(_links(percent), "src long, dst long, linked boolean, common long"), f"tested_{name}")
+
+
 #: Rounds in which a bucket has one centre.
 CENTRES = 2
 
@@ -328,6 +352,11 @@ def _resolve(scratch: Scratch, buckets: DataFrame, sketch: DataFrame, sets: Data
             mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
             members = scratch.table(members.join(mixed, "bucket", "left_semi"), f"members_{k}")
         if k == CENTRES:
+            hubs = _toward_hubs(members, tested)
+            for done in tested:
+                hubs = hubs.join(done.select("src", "dst"), ["src", "dst"], "left_anti")
+            tested.append(_test(scratch, hubs, sets, percent, "hubs"))
+            links = links.unionByName(tested[-1].where("linked").select("src", "dst"))
             members = _anchored(members, tested, sets).join(sketch, "rep")
         centres = members
         if k < CENTRES:
@@ -348,13 +377,7 @@ def _resolve(scratch: Scratch, buckets: DataFrame, sketch: DataFrame, sets: Data
         pairs = apart.select(F.least("rep", "c_rep").alias("src"), F.greatest("rep", "c_rep").alias("dst")).distinct()
         for done in tested:
             pairs = pairs.join(done.select("src", "dst"), ["src", "dst"], "left_anti")
-        pairs = scratch.table(pairs, f"pairs_{k}")
-        full = (
-            pairs.join(sets.select(F.col("doc_id").alias("src"), F.col("prints").alias("one")), "src")
-            .join(sets.select(F.col("doc_id").alias("dst"), F.col("prints").alias("two")), "dst")
-            .select("src", "dst", "one", "two")
-        )
-        tested.append(scratch.table(full.mapInArrow(_links(percent), "src long, dst long, linked boolean, common long"), f"tested_{k}"))
+        tested.append(_test(scratch, pairs, sets, percent, f"{k}"))
         found = tested[-1].where("linked").select("src", "dst")
         links = found if links is None else links.unionByName(found)
     return links
