@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from simloom.plans.catalog import QUERIES, SQL, flagship
@@ -25,7 +26,7 @@ def duck():
 def _rows(frame):
     out = []
     for row in frame[sorted(frame.columns)].itertuples(index=False):
-        out.append(tuple("null" if x is None or x != x else f"{float(x):.5f}" if isinstance(x, int | float) or hasattr(x, "dtype") and x.dtype.kind in "fiu" else str(x) for x in row))
+        out.append(tuple("null" if pd.isna(x) else f"{float(x):.5f}" if isinstance(x, int | float) or hasattr(x, "dtype") and x.dtype.kind in "fiu" else str(x) for x in row))
     return sorted(out)
 
 
