@@ -109,7 +109,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE_WORD
     return (np.concatenate(found) if found else np.zeros(0, np.uint64)), ends
 
 
-def signatures(prints: np.ndarray, ends: np.ndarray, slots: int = SLOTS, chunk: int = 1 << 17) -> np.ndarray:
+def signatures(prints: np.ndarray, ends: np.ndarray, slots: int = SLOTS, chunk: int = 1 << 16) -> np.ndarray:
     """One row of ``slots`` values for each set; all ones for an empty set."""
     out = np.full((len(ends) - 1, slots), np.iinfo(np.uint64).max, np.uint64)
     at = 0

@@ -34,7 +34,7 @@ CAPACITY = 2048
 #: The id that ends a document.
 END_ID = 1
 #: Ids held before a block is packed, and words whose ids a worker remembers.
-BLOCK_IDS, KNOWN_WORDS = 1 << 22, 500_000
+BLOCK_IDS, KNOWN_WORDS = 1 << 21, 300_000
 
 
 def closest_fill(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -177,9 +177,7 @@ class WordIds:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizer(path)
         self._forget()
 
     def _forget(self) -> None:
@@ -243,13 +241,15 @@ class WordIds:
 
 
 @lru_cache(1)
-def _encoder(path: str) -> WordIds:
-    return WordIds(path)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 def _runner(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path)
+        encode = WordIds(path)  # what it remembers goes with the task
         rows: list[tuple] = []
 
         def emit(piece: tuple, sequence: int, offset: int) -> None:
