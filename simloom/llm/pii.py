@@ -74,13 +74,44 @@ Permute = Callable[[int, int, str], int]
 
 def _card(value: str, to: Permute) -> str | None:
     d = _only_digits(value)
-    if not 13 <= len(d) <= 19 or d[0] == "0" or luhn_digit(d[:-1]) != d[-1]:
+    if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1]:
         return None
-    low, n = 10 ** (len(d) - 2), 9 * 10 ** (len(d) - 2)
-    new = str(to(int(d[:-1]) - low, n, f"card{len(d)}") + low)
+    new = f"{to(int(d[:-1]), 10 ** (len(d) - 1), f'card{len(d)}'):0{len(d) - 1}d}"
     return _refill(value, new + luhn_digit(new))
 
 
+def _card_spans(run: str) -> list[tuple[int, int]]:
+    """Where cards stand in a run of digit groups, apart from each other.
+
+    The whole run may be grouped in any way.  A part of it, which other numbers
+    stand beside, has one kind of separator and at least four digits in all its
+    groups but the last.  Layouts that cards have come first, then longer ones.
+    """
+    groups = [m.span() for m in _GROUP.finditer(run)]
+    found = []
+    for i in range(len(groups)):
+        n = 0
+        for j in range(i, len(groups)):
+            n += groups[j][1] - groups[j][0]
+            if n > 19:
+                break
+            if n < 13:
+                continue
+            (a, b), sizes = (groups[i][0], groups[j][1]), [y - x for x, y in groups[i : j + 1]]
+            whole = j - i + 1 == len(groups)
+            if not whole and (min(sizes[:-1], default=4) < 4 or len(set(run[a:b]) & {" ", "-"}) > 1):
+                continue
+            d = _only_digits(run[a:b])
+            if luhn_digit(d[:-1]) == d[-1]:
+                usual = len(sizes) == 1 or set(sizes[:-1]) == {4} and sizes[-1] <= 4 or sizes in ([4, 6, 5], [4, 6, 4])
+                found.append((not usual, -n, a, b))
+    out: list[tuple[int, int]] = []
+    for _, _, a, b in sorted(found):
+        if all(b <= x or y <= a for x, y in out):
+            out.append((a, b))
+    return out
+
+
 def _in_parts(parts: list[tuple[int, int, int]], to: Permute, tweak: str) -> list[int] | None:
     """Parts (value, low, size) as one mixed-radix number, permuted."""
     x, n = 0, 1
@@ -109,7 +140,7 @@ def _phone(value: str, to: Permute) -> str | None:
     head, d = (d[:1], d[1:]) if len(d) == 11 else ("", d)
     if len(d) != 10 or head not in ("", "1"):
         return None
-    new = _in_parts([(int(d[:3]), 200, 800), (int(d[3:6]), 200, 800), (int(d[6:]), 0, 10000)], to, "phone")
+    new = _in_parts([(int(d[:3]), 0, 1000), (int(d[3:6]), 0, 1000), (int(d[6:]), 0, 10000)], to, "phone")
     return None if new is None else _refill(value, head + "{:03d}{:03d}{:04d}".format(*new))
 
 
@@ -184,10 +215,11 @@ def _date(value: str, to: Permute) -> str | None:
 
 _NAMES = "|".join([*(x.title() for x in _MONTHS), *(x[:3].title() for x in _MONTHS)])
 _DIGIT = re.compile("[0-9]")
+_GROUP = re.compile("[0-9]+")
 #: Patterns in order of precedence; a later one leaves what an earlier one took.
 _FINDERS: tuple[tuple[str, re.Pattern[str], Callable[[str, Permute], str | None]], ...] = (
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), _email),
-    ("card", re.compile(r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]|\.[0-9])"), _card),
+    ("card", re.compile(r"(?<![\w.-])(?=[0-9](?:[ -]?[0-9]){12})[0-9]+(?:[ -][0-9]+)*(?![\w-]|\.[0-9])"), _card),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), _iban),
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), _ssn),
     ("phone", re.compile(r"(?<![\w.(-])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-]|\.[0-9])"), _phone),
@@ -205,9 +237,10 @@ def find(text: str, to: Permute) -> list[tuple[int, int, str, str]]:
         finders = _FINDERS if "@" in text else _FINDERS[1:]
     for kind, pattern, pseudonym in finders:
         for m in pattern.finditer(text):
-            a, b = m.span()
-            if all(b <= x or y <= a for x, y, *_ in found) and (new := pseudonym(m.group(), to)) is not None:
-                found.append((a, b, kind, new))
+            spans = [(m.start() + a, m.start() + b) for a, b in _card_spans(m.group())] if kind == "card" else [m.span()]
+            for a, b in spans:
+                if all(b <= x or y <= a for x, y, *_ in found) and (new := pseudonym(text[a:b], to)) is not None:
+                    found.append((a, b, kind, new))
     return sorted(found)
 
 
