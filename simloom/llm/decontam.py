@@ -1,14 +1,18 @@
 """Benchmark passages in documents, by q-gram lemma filtering and banded alignment.
 
 Texts are lower-cased and every run of characters that are no letters or digits
-becomes one space.  A benchmark item is covered by windows of bounded length; a
-document leaks a window if some stretch of it is within the edit budget.
-
-Two strings within ``e`` edits share at least ``m + 1 - q * (e + 1)`` q-grams,
-all on diagonals (document position less window position) at most ``e`` apart.
-Shared q-grams are therefore counted in bands of diagonals ``2 * (e + 1)`` wide
-that overlap by half, so that each such stretch lies wholly in one band; bands
-that reach the bound are verified by an alignment confined to the band.
+becomes one space.  A benchmark item is covered by short windows at a small
+stride; a document leaks a window if some stretch of it is within the edit
+budget, which a replaced word fits.  An unedited passage of ``window + stride -
+1`` characters, 53 as set here, holds a whole window wherever it starts.
+
+Edits of ``e`` characters in ``p`` places destroy at most ``e + p * (q - 1)`` of
+a window's ``m + 1 - q`` q-grams; those left are on diagonals (document position
+less item position) at most ``e`` apart.  Shared q-grams are therefore counted
+in bands of diagonals ``2 * (e + 1)`` wide that overlap by half, so that each
+such stretch lies wholly in one band; windows that reach the bound in a band are
+verified by an alignment confined to it.  The bound allows for edits in up to
+four places of a window.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from simloom.llm.arrays import U64, joined, mix, slices
 
-Q, WINDOW, BUDGET = 10, 80, 0.06
+Q, WINDOW, STRIDE, BUDGET, PLACES = 8, 50, 4, 0.12, 4
 #: Normalised characters of benchmark items that one pass holds; a larger
 #: benchmark takes more passes over the documents.
 PASS_CHARS = 4_000_000
@@ -69,11 +73,12 @@ def _grams(chars: np.ndarray, q: int) -> np.ndarray:
 
 
 class Windows:
-    """The windows of benchmark items and the postings of their q-grams."""
+    """The windows of benchmark items and the postings of the items' q-grams."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, window: int, budget: float) -> None:
+    def __init__(self, items: list[tuple[int, str]], q: int, window: int, budget: float, stride: int = STRIDE) -> None:
         self.q = q
-        chars, owner, place = [], [], []
+        texts, owner, starts, sizes = [], [], [], []
+        base = 0
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             folded = normalised(raw, np.array([0, len(raw)]))[0]
@@ -81,28 +86,31 @@ class Windows:
             n = len(folded)
             if n < q:
                 continue
-            starts = [0] if n <= window else [*range(0, n - window, window // 2), n - window]
-            for a in starts:
-                chars.append(folded[a : a + window])
+            for a in [0] if n <= window else [*range(0, n - window, stride), n - window]:
                 owner.append(item)
-                place.append(a)
-        self.chars, self.owner, self.place = chars, np.array(owner, np.int64), np.array(place, np.int64)
-        self.size = np.array([len(c) for c in chars], np.int64)
-        # An edit budget that keeps the lemma's bound at one shared q-gram or more.
-        self.edits = np.minimum((self.size * budget).astype(np.int64), np.maximum(0, (self.size - q) // q)) if chars else self.size
-        self.bound = self.size + 1 - q * (self.edits + 1)
-        grams = np.concatenate([_grams(c, q) for c in chars]) if chars else np.zeros(0, np.uint64)
-        window_of = np.repeat(np.arange(len(chars)), np.maximum(0, self.size - q + 1))
-        at = np.concatenate([np.arange(len(c) - q + 1) for c in chars]) if chars else np.zeros(0, np.int64)
+                starts.append(base + a)
+                sizes.append(min(n, window))
+            texts.append(folded)
+            base += n
+        self.text = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
+        self.owner, self.start, self.size = np.array(owner, np.int64), np.array(starts, np.int64), np.array(sizes, np.int64)
+        # An item below a window has no more edits than always leave a shared q-gram.
+        self.edits = (self.size * budget).astype(np.int64)
+        self.edits = np.where(self.size < window, np.minimum(self.edits, np.maximum(0, (self.size - q) // q)), self.edits)
+        self.step = int(self.edits.max()) + 1 if texts else 1
+        self.bound = np.maximum(1, self.size + 1 - q - self.edits - (q - 1) * np.minimum(self.edits, PLACES))
+        self.last = self.start + self.size - q  # where a window's last q-gram starts
+        grams = np.concatenate([_grams(c, q) for c in texts]) if texts else np.zeros(0, np.uint64)
+        at = np.concatenate([np.arange(len(c) - q + 1) + k for c, k in zip(texts, np.cumsum([0, *map(len, texts[:-1])]), strict=True)]) if texts else np.zeros(0, np.int64)
         order = np.argsort(grams, kind="stable")
-        self.window, self.at = window_of[order], at[order]
+        self.at = at[order]
         self.grams, self.first, self.times = np.unique(grams[order], return_index=True, return_counts=True)
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.grams >> U64(42)).astype(np.int64)] = True
 
     def candidates(self, chars: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Rows of (text, window, lowest diagonal of the band) that reach the bound."""
-        none = np.zeros((0, 3), np.int64)
+        """Rows of (text, window, lowest diagonal of the band, a hit's diagonal) that reach the bound; diagonals count from the window's start."""
+        none = np.zeros((0, 4), np.int64)
         grams = _grams(chars, self.q)
         hit = np.flatnonzero(self.filter[(grams >> U64(42)).astype(np.int64)])
         where = np.searchsorted(self.grams, grams[hit])
@@ -113,70 +121,94 @@ class Windows:
             return none
         times = self.times[where]
         post = np.repeat(self.first[where] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-        position, window = np.repeat(hit, times), self.window[post]
+        position, at = np.repeat(hit, times), self.at[post]
         text = np.searchsorted(ends, position, "right") - 1
-        step = self.edits[window] + 1
-        band = (position - self.at[post]) // step  # counts in this band and in the one below
-        key = np.concatenate([np.stack([text, window, band], 1), np.stack([text, window, band - 1], 1)])
-        low = int(key[:, 2].min())
-        span = int(key[:, 2].max()) - low + 1
-        code = (key[:, 0] * len(self.size) + key[:, 1]) * span + (key[:, 2] - low)
-        code, n = np.unique(code, return_counts=True)
-        window = code // span % len(self.size)
-        good = n >= self.bound[window]
-        code, window = code[good], window[good]
-        return np.stack([code // span // len(self.size), window, (code % span + low) * (self.edits[window] + 1)], 1)
+        diagonal = position - at
+        band = diagonal // self.step  # counts in this band and in the one below
+        low = int(band.min()) - 1
+        run = text * (int(band.max()) - low + 1) + band - low
+        run, at, diagonal = np.concatenate([run, run - 1]), np.tile(at, 2), np.tile(diagonal, 2)
+        lowest = np.concatenate([band, band - 1]) * self.step
+        text = np.tile(text, 2)
+        order = np.unique(run * len(self.text) + at, return_index=True)[1]  # a q-gram of the item counts once
+        run, at, diagonal, lowest, text = run[order], at[order], diagonal[order], lowest[order], text[order]
+        out = []
+        for bound in np.unique(self.bound).tolist():
+            # Hits in a row, as many as the bound, and the windows that hold them all.
+            head = np.arange(len(run) - bound + 1)
+            head = head[run[head] == run[head + bound - 1]]
+            head = head[at[head + bound - 1] - at[head] < self.size.max()]
+            a, b = np.searchsorted(self.last, at[head + bound - 1], "left"), np.searchsorted(self.start, at[head], "right")
+            n = np.maximum(0, b - a)
+            head, a, n = head[n > 0], a[n > 0], n[n > 0]
+            window = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            head = np.repeat(head, n)
+            good = self.bound[window] == bound
+            head, window = head[good], window[good]
+            first = np.unique(run[head] * len(self.size) + window, return_index=True)[1]
+            head, window = head[first], window[first]
+            out.append(np.stack([text[head], window, lowest[head] + self.start[window], diagonal[head] + self.start[window]], 1))
+        return np.concatenate(out)
 
     def verify(self, chars: np.ndarray, ends: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Least edits of each candidate, and where the best stretch begins and ends."""
         edits, begin, end = np.full(len(found), 1 << 20), np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
-        sizes, budgets = self.size[found[:, 1]], self.edits[found[:, 1]]
-        for m, e in {(int(a), int(b)) for a, b in zip(sizes, budgets, strict=True)}:
+        sizes, budgets = self.size[found[:, 1]], self.edits[found[:, 1]].copy()
+        for m in np.unique(sizes).tolist():  # unedited copies need no alignment
+            for which in np.array_split(of := np.flatnonzero(sizes == m), len(of) // 8192 + 1):
+                a = found[which, 3]
+                fits = (a >= ends[found[which, 0]]) & (a + m <= ends[found[which, 0] + 1])
+                which, a = which[fits], a[fits]
+                if not len(which):
+                    continue
+                equal = (chars[a[:, None] + np.arange(m)] == self.text[self.start[found[which, 1]][:, None] + np.arange(m)]).all(1)
+                which, a = which[equal], a[equal]
+                edits[which], begin[which], end[which], budgets[which] = 0, a, a + m, -1
+        for m, e in {(int(a), int(b)) for a, b in zip(sizes, budgets, strict=True) if b >= 0}:
             which = np.flatnonzero((sizes == m) & (budgets == e))
-            for a in range(0, len(which), 2048):
-                of = which[a : a + 2048]
+            for a in range(0, len(which), 512):
+                of = which[a : a + 512]
                 edits[of], begin[of], end[of] = self._align(chars, ends, found[of], m, e)
         return edits, begin, end
 
     def _align(self, chars: np.ndarray, ends: np.ndarray, found: np.ndarray, m: int, e: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        # Cell k of row i is window prefix i against the text up to low + i + k.
-        low, wide = found[:, 2] - e, 2 * (e + 1) + 2 * e
+        # Cell k of row i is window prefix i against the text up to low + i + k;
+        # it holds edits << bits | the cell that the stretch begins in.
+        low, wide = found[:, 2] - e, 2 * self.step + 2 * e
         a, b = ends[found[:, 0]], ends[found[:, 0] + 1]
-        pattern = np.stack([self.chars[w] for w in found[:, 1]])
-        cells = np.arange(wide)
-        inside = (low[:, None] + cells >= a[:, None]) & (low[:, None] + cells <= b[:, None])
-        far = 1 << 20
-        cost = np.where(inside, 0, far)
-        start = low[:, None] + cells
+        bits = wide.bit_length()
+        one, far = np.int32(1 << bits), np.int32(1 << 28)
+        at = low + np.arange(m + wide)[:, None]
+        text = chars[np.clip(at, 0, max(0, len(chars) - 1))]
+        outside = np.where((at >= a) & (at < b), np.int32(0), far)
+        pattern = self.text[self.start[found[:, 1]] + np.arange(m)[:, None]]
+        cells = np.arange(wide, dtype=np.int32)[:, None]
+        cost = np.where((at[:wide] >= a) & (at[:wide] <= b), cells, far)
         for i in range(m):
-            at = low[:, None] + i + cells  # the text character that cell k's diagonal step reads
-            ok = (at >= a[:, None]) & (at < b[:, None])
-            read = chars[np.clip(at, 0, max(0, len(chars) - 1))]
-            step = np.where(ok, cost + (read != pattern[:, i : i + 1]), far)
-            skip = np.concatenate([cost[:, 1:] + 1, np.full((len(cost), 1), far)], 1)
-            from_skip = np.concatenate([start[:, 1:], start[:, -1:]], 1)
-            start = np.where(skip < step, from_skip, start)
-            cost = np.minimum(step, skip)
-            for k in range(1, wide):  # text characters that the window lacks
-                more = cost[:, k - 1] + 1
-                better = (more < cost[:, k]) & (low + i + k < b)
-                start[:, k] = np.where(better, start[:, k - 1], start[:, k])
-                cost[:, k] = np.where(better, more, cost[:, k])
-        best = cost.argmin(1)
-        row = np.arange(len(cost))
-        return cost[row, best], start[row, best], low + m + best
-
-
-def _scan(items: list[tuple[int, str]], q: int, window: int, budget: float):
+            step = (text[i : i + wide] != pattern[i]) * one
+            step += outside[i : i + wide]
+            step += cost
+            np.minimum(step[:-1], cost[1:] + one, out=step[:-1])
+            step -= cells * one
+            np.minimum.accumulate(step, axis=0, out=step)  # text characters that the window lacks
+            step += cells * one
+            cost = np.minimum(step, far, out=step)
+        cost[low + m + cells > b] = far
+        best = cost.argmin(0)
+        least = cost[best, np.arange(len(found))]
+        return least >> bits, low + (least & (one - 1)), low + m + best
+
+
+def _scan(items: list[tuple[int, str]], q: int, window: int, budget: float, stride: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Windows(items, q, window, budget)
+        index = Windows(items, q, window, budget, stride)
         for part in slices(batches):
             chars, ends, places = normalised(*joined(part.column(1)))
             found = index.candidates(chars, ends)
             rows: dict[tuple[int, int], list] = {}
             if len(found):
                 edits, begin, end = index.verify(chars, ends, found)
-                for (text, w, _), n, a, b in zip(found.tolist(), edits.tolist(), begin.tolist(), end.tolist(), strict=True):
+                for (text, w, *_), n, a, b in zip(found.tolist(), edits.tolist(), begin.tolist(), end.tolist(), strict=True):
                     if n > index.edits[w] or b <= a:
                         continue
                     a, b = int(places[a]), int(places[b - 1]) + 1
@@ -226,6 +258,7 @@ def leaks(
     q: int = Q,
     window: int = WINDOW,
     budget: float = BUDGET,
+    stride: int = STRIDE,
     pass_chars: int = PASS_CHARS,
 ) -> DataFrame:
     """``doc_id, item_id, start, end, edits, coverage``: one row for each document and item it leaks.
@@ -241,6 +274,6 @@ def leaks(
     schema = "doc_id long, item_id long, start long, end long, edits long, coverage double"
     out = None
     for items in _passes(benchmark, item_col, item_text_col, pass_chars):
-        now = source.mapInArrow(_scan(items, q, window, budget), schema)
+        now = source.mapInArrow(_scan(items, q, window, budget, stride), schema)
         out = now if out is None else out.unionByName(now)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)

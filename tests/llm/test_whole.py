@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 import re
 
+from simloom.llm.decontam import leaks
 from simloom.llm.pii import TEST_KEY, find, permute
 
 
@@ -26,3 +28,45 @@ def test_cards_beside_other_numbers_and_with_any_first_digit():
         found = {text[a:b]: new for a, b, kind, new in find(text, _to) if kind == "card"}
         assert card in found and found[card] == find(card, _to)[0][3], text
     assert [text for text in ("555-123-4567 555-123-4568", "10 20 30 40 50 60 70 81") if any(k == "card" for _, _, k, _ in find(text, _to))] == []
+
+
+WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "pu", "ra", "so", "ti") for b in ("ba", "den", "fur", "gol", "hin", "jas")]
+
+
+def _prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def _docs(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_partial_passages_at_all_offsets(spark):
+    rng = random.Random(11)
+    item = _prose(rng, 60)
+    texts = [f"{_prose(rng, 15)} {item[a : a + n]} {_prose(rng, 15)}" for n in (55, 75, 100) for a in range(len(item) - n)]
+    got = {r.doc_id for r in leaks(_docs(spark, texts), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert got == set(range(len(texts)))
+
+
+def test_copies_with_replaced_words(spark):
+    rng = random.Random(12)
+    items = [_prose(rng, 45) for _ in range(40)]
+    texts = []
+    for k, item in enumerate(items):
+        words = item.split()
+        for at in range(k % 10, len(words), 10):
+            words[at] = "".join(rng.choice("uvwxyz") for _ in range(6))
+        texts.append(f"{_prose(rng, 20)} {' '.join(words)} {_prose(rng, 20)}")
+    clean = [_prose(rng, 300) for _ in range(20)]
+    got = {(r.doc_id, r.item_id) for r in leaks(_docs(spark, texts + clean), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == {(k, k) for k in range(40)}
+
+
+def test_short_passage_around_a_replaced_word(spark):
+    rng = random.Random(13)
+    words = _prose(rng, 13).split()
+    words[6] = "zzzzz"
+    bench = spark.createDataFrame([(0, f"{_prose(rng, 9)} {' '.join([*words[:6], 'rajas', *words[7:]])} {_prose(rng, 9)}")], "item_id long, text string")
+    (row,) = leaks(_docs(spark, [f"{_prose(rng, 30)} {' '.join(words)} {_prose(rng, 30)}"]), bench).collect()
+    assert 0 < row.edits <= 6 or row.edits == 0 and 0 < row.coverage < 1
