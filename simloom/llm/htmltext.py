@@ -3,10 +3,13 @@
 A page's text nodes are grouped by their root-to-leaf tag path.  Each path has
 a ratio of characters and one of punctuation marks to its nodes; both series
 are smoothed along the page, fused by multiplication, and the nodes above the
-threshold are taken for content.  The deepest container that holds most of the
-content is the article; its text is taken whole, without the parts that tags,
-roles or names mark as something else, since a heading or a short paragraph of
-the article has a small ratio of its own.
+threshold are taken for content.  The deepest article or main element that holds
+most of the content is the article; its text is taken whole, without the parts
+that tags, roles or names mark as something else, since a heading or a short
+paragraph of the article has a small ratio of its own.  Without such an element
+the article is all that stands from the first content to the last and in the
+lowest container of all content, and what adjoins it up to a block of links: in
+the containers around it, or in the body as far as a heading before it.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from simloom.llm.arrays import slices
 
 #: Share of the mean fused ratio (weighted by characters) that content has, and
-#: share of the content that the article holds.
+#: share of the content that an article or main element holds.
 THRESHOLD, HOLDS = 0.2, 0.6
 
 # Elements and names that are never the article's text.
@@ -48,6 +51,7 @@ _BLOCKS = frozenset(
 )
 #: A start tag closes these elements, if they are open nearer than a table, list or container.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SCOPE = frozenset("html body main article section div table ul ol dl aside nav header footer form blockquote figure".split())
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
@@ -167,6 +171,40 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return (padded[:-2] + 2 * padded[1:-1] + padded[2:]) / 4
 
 
+def _containers(node: Node | None) -> list[Node]:
+    """The containers around a block below the body, the innermost first."""
+    out = []
+    while node is not None:
+        if node.tag in _CONTAINERS and node.tag not in ("html", "body"):
+            out.append(node)
+        node = node.parent
+    return out
+
+
+def _around(nodes: list[Node], content: list[int]) -> tuple[int, int]:
+    """The range of blocks that is the article, where no element says so."""
+    lo, hi = content[0], content[-1] + 1
+    shared = _containers(nodes[lo])
+    for k in content[1:]:
+        of = set(_containers(nodes[k]))
+        shared = [n for n in shared if n in of]
+    links = ["a" in n.path.split("/") for n in nodes]
+    if shared:
+        lowest = [k for k, n in enumerate(nodes) if shared[0] in _containers(n)]
+        outer = {k for k, n in enumerate(nodes) if shared[-1] in _containers(n)}
+        lo, hi = min(lo, lowest[0]), max(hi, lowest[-1] + 1)
+        while lo - 1 in outer and not links[lo - 1]:
+            lo -= 1
+        while hi in outer and not links[hi]:
+            hi += 1
+    k = lo - 1
+    while k >= 0 and not links[k]:
+        if not _HEADINGS.isdisjoint(nodes[k].path.split("/")):
+            lo = k
+        k -= 1
+    return lo, hi
+
+
 def main_text(page: str | None) -> str:
     """The article's text; empty if there is none."""
     found = blocks(page) if page else []
@@ -188,14 +226,15 @@ def main_text(page: str | None) -> str:
         if good:
             total += size
             while node is not None:
-                if node.tag in _CONTAINERS:
+                if node.tag in ("article", "main"):
                     held[node.number] += size
                     container[node.number] = node
                 node = node.parent
     holders = [container[k] for k, size in held.items() if size >= HOLDS * total]
-    article = max(holders, key=lambda n: (n.tag in ("article", "main"), n.depth)) if holders else None
-    if article is None or article.tag in ("html", "body"):
-        return " ".join(text for (_, text), good in zip(found, content.tolist(), strict=True) if good)
+    if not holders:
+        lo, hi = _around([node for node, _ in found], np.flatnonzero(content).tolist())
+        return " ".join(text for _, text in found[lo:hi])
+    article = max(holders, key=lambda n: n.depth)
     kept = []
     for node, text in found:
         while node is not None and node is not article:

@@ -6,6 +6,7 @@ import random
 import re
 
 from simloom.llm.decontam import leaks
+from simloom.llm.htmltext import main_text
 from simloom.llm.pii import TEST_KEY, find, permute
 
 
@@ -70,3 +71,29 @@ def test_short_passage_around_a_replaced_word(spark):
     bench = spark.createDataFrame([(0, f"{_prose(rng, 9)} {' '.join([*words[:6], 'rajas', *words[7:]])} {_prose(rng, 9)}")], "item_id long, text string")
     (row,) = leaks(_docs(spark, [f"{_prose(rng, 30)} {' '.join(words)} {_prose(rng, 30)}"]), bench).collect()
     assert 0 < row.edits <= 6 or row.edits == 0 and 0 < row.coverage < 1
+
+
+LONG = [f"Paragraph {k} tells of rivers, hills, and towns; it goes on for a while, and it has marks. It ends here, at last." for k in range(8)]
+BEFORE, AFTER = "<nav><a href=/>Home</a></nav><div><a href=/a>One</a></div><div><a href=/b>Two</a></div>", "<div><a href=/c>Three</a></div><footer>All rights</footer>"
+
+
+def _p(texts):
+    return "".join(f"<p>{x}</p>" for x in texts)
+
+
+def _article(body):
+    return main_text(f"<html><head><title>T</title></head><body>{BEFORE}{body}{AFTER}</body></html>")
+
+
+def test_pages_without_article_or_main():
+    whole = " ".join(["Title", "Lead.", *LONG, "End."])
+    # A heading, a lead and an end outside the container of the text.
+    assert _article(f"<div id=content><h1>Title</h1><p>Lead.</p><div class=text>{_p(LONG)}</div><p>End.</p></div>") == whole
+    # Two containers of 65 % and 35 %.
+    assert _article(f"<div id=content><h1>Title</h1><p>Lead.</p><div>{_p(LONG[:5])}</div><div>{_p(LONG[5:])}</div><p>End.</p></div>") == whole
+    # No container but the body: what stands between is kept, with the heading before.
+    short = [*LONG[:4], "Part two", "Yes.", *LONG[4:]]
+    body = f"<h1>Title</h1><p>Lead.</p>{_p(LONG[:4])}<h2>Part two</h2><p><b>Yes.</b></p>{_p(LONG[4:])}"
+    assert _article(body) == " ".join(["Title", "Lead.", *short])
+    # Two containers in the body.
+    assert _article(f"<h1>Title</h1><div>{_p(LONG[:5])}</div><h2>Part two</h2><div>{_p(LONG[5:])}</div>") == " ".join(["Title", *LONG[:5], "Part two", *LONG[5:]])
