@@ -5,11 +5,16 @@ copyright lines dropped, equivalent spellings made one, and every run of other
 characters than letters and digits one space.  The digest of what is left is
 joined with the digests of known licence texts and notices, which are
 normalised by the same expressions; the known table has a fixed, small size and
-is broadcast.
+is broadcast.  Marks before a copyright line, as in a commented header, belong
+to the line.
 """
 
 from __future__ import annotations
 
+import re
+import textwrap
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,10 +64,56 @@ _ISC = (
 )
 #: Whole licence texts, by paragraphs.
 TEXTS: dict[str, tuple[str, ...]] = {"MIT": _MIT, "ISC": _ISC}
+#: Licences whose whole texts are files; their paragraphs stand in other licences too.
+FILES = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense")
+_TITLES = {"Apache-2.0": ("Apache License",), "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"), "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License"), "Unlicense": ("The Unlicense", "Unlicense")}
+_APPENDIX = re.compile(r"\n[^\n]*END OF TERMS AND CONDITIONS[^\n]*\n")
+
+
+def _gnu(what: str, name: str, version: str) -> tuple[str, ...]:
+    """Paragraphs of the GNU licences' notices that tell which licence it is."""
+    start, under = f"This {what} is free software{{}} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation", f"version {version} of the License"
+    ends = (f"{under}.", f"either {under}, or (at your option) any later version.", f"either {under}, or any later version.")
+    return tuple(f"{start.format(mark)}{comma} {end}" for mark in (";", ":") for comma in (",", ";") for end in ends)
+
+
+def _cc(name: str, path: str) -> tuple[str, ...]:
+    first = f"This work is licensed under {{}} Creative Commons {name} 4.0 International License."
+    ends = ("send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.", "send a letter to Creative Commons, 444 Castro Street, Suite 900, Mountain View, California, 94041, USA.")
+    where = f"To view a copy of this license, visit http://creativecommons.org/licenses/{path}/4.0/"
+    return tuple(f"{first.format(a)}{more}" for a in ("the", "a") for more in ("", f" {where}.", *(f" {where} or {end}" for end in ends)))
+
+
+#: Standard headers, by paragraphs that are one licence's alone.
+HEADERS: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        "http://www.apache.org/licenses/LICENSE-2.0",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
+        "either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding "
+        'copyright ownership. The ASF licenses this file to you under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+        "You may obtain a copy of the License at",
+    ),
+    "GPL-2.0": (*_gnu("program", "General Public License", "2"), *_gnu("file", "General Public License", "2")),
+    "GPL-3.0": (*_gnu("program", "General Public License", "3"), *_gnu("file", "General Public License", "3")),
+    "LGPL-2.1": (*_gnu("library", "Lesser General Public License", "2.1"), *_gnu("program", "Lesser General Public License", "2.1")),
+    "LGPL-3.0": (*_gnu("library", "Lesser General Public License", "3"), *_gnu("program", "Lesser General Public License", "3")),
+    "AGPL-3.0": (*_gnu("program", "Affero General Public License", "3"), *_gnu("file", "Affero General Public License", "3")),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    "BSD-3-Clause": tuple(
+        f"{mark} Neither the name of {a} nor the names of {b} contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+        for mark in ("3.", "*") for a in ("the copyright holder", "the author", "the organization", "the project") for b in ("its", "other")
+    ),
+    "CC-BY-4.0": _cc("Attribution", "by"), "CC-BY-SA-4.0": _cc("Attribution-ShareAlike", "by-sa"), "CC-BY-NC-4.0": _cc("Attribution-NonCommercial", "by-nc"),
+    "CC-BY-ND-4.0": _cc("Attribution-NoDerivatives", "by-nd"), "CC-BY-NC-SA-4.0": _cc("Attribution-NonCommercial-ShareAlike", "by-nc-sa"),
+}
 
 #: Equivalent spellings, as regular expressions that both engines read alike.
 SPELLINGS = (("licen[cs]e", "license"), ("https?://(www\\.)?", ""), ("\\bv(er|ersion)?\\.? ?([0-9])", "version $2"), ("©|\\(c\\)", "copyright"), ("organisation", "organization"), ("&", " and "))
-_COPYRIGHT_LINE = "(?m)^[ \\t]*(copyright|©|\\(c\\)|all rights reserved)[^\\n]*$"
+_COPYRIGHT_LINE = "(?m)^[^\\p{L}\\p{N}\\n]*(copyright|©|\\(c\\)|all rights reserved)[^\\n]*$"
 _OTHERS = "[^\\p{L}\\p{N}\\n]+"
 
 
@@ -74,6 +125,21 @@ def known_texts() -> list[tuple[str, str]]:
         whole = "\n\n".join(parts)
         out |= {(spdx, whole), *((spdx, f"{head}\n\n{whole}") for head in (f"{spdx} License", f"The {spdx} License", f"The {spdx} License ({spdx})"))}
         out |= {(spdx, part) for part in parts}
+    for spdx in FILES:
+        whole = (files(__package__) / "licence_texts" / f"{spdx}.txt").read_text(encoding="utf-8")
+        # With and without what follows the terms, titles, and numbers of clauses.
+        wholes = {whole, _APPENDIX.split(whole)[0]} | ({re.sub(r"(?m)^[1-3]\. ", "", whole)} if spdx.startswith("BSD") else set())
+        out |= {(spdx, head + text) for text in wholes for head in ("", *(f"{title}\n\n" for title in _TITLES.get(spdx, ())))}
+    out |= {(spdx, part) for spdx, parts in HEADERS.items() for part in parts}
+    # The same wrapped in other places, where a line would begin as a copyright line does.
+    begins = re.compile(r"(?im)^[^\w\n]*(copyright|\(c\)|all rights reserved)")
+    for spdx, text in list(out):
+        parts = re.split(r"\n\s*\n", text)
+        first = sum(bool(begins.match(x)) for x in parts)
+        for width in (10**6, *range(60, 81)) if "copyright" in text.lower() and len(text) < 2500 else ():
+            wrapped = "\n\n".join(textwrap.fill(" ".join(x.split()), width, break_long_words=False, break_on_hyphens=False) for x in parts)
+            if len(begins.findall(wrapped)) > first:
+                out.add((spdx, wrapped))
     return sorted(out)
 
 

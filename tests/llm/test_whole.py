@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 import re
+import textwrap
+from importlib.resources import files
 
 from simloom.llm.decontam import leaks
 from simloom.llm.htmltext import main_text
+from simloom.llm.licenses import FILES, licenses
 from simloom.llm.pii import TEST_KEY, find, permute
 
 
@@ -97,3 +100,27 @@ def test_pages_without_article_or_main():
     assert _article(body) == " ".join(["Title", "Lead.", *short])
     # Two containers in the body.
     assert _article(f"<h1>Title</h1><div>{_p(LONG[:5])}</div><h2>Part two</h2><div>{_p(LONG[5:])}</div>") == " ".join(["Title", *LONG[:5], "Part two", *LONG[5:]])
+
+
+APACHE = """Copyright 2020 A
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+def test_whole_licences_and_commented_headers(spark):
+    texts = {spdx: (files("simloom.llm") / "licence_texts" / f"{spdx}.txt").read_text() for spdx in FILES}
+    docs = [(spdx, text.replace("<year> <owner>", "2020 A")) for spdx, text in texts.items()]
+    docs += [(spdx, "\n\n".join(textwrap.fill(x, width) for x in texts[spdx].strip().split("\n\n"))) for spdx in ("BSD-2-Clause", "BSD-3-Clause") for width in (62, 72, 79)]
+    docs += [("Apache-2.0", APACHE), ("Apache-2.0", "\n".join(f"# {x}" for x in APACHE.split("\n")) + "\n\nimport os\n"), ("MIT", "# Copyright 2020 A\n# Licensed under the MIT License.\n\nimport os")]
+    got = [(r.doc_id, r.license) for r in licenses(_docs(spark, [t for _, t in docs])).collect()]
+    assert sorted(got) == [(k, spdx) for k, (spdx, _) in enumerate(docs)]
