@@ -189,7 +189,7 @@ def g12(spark, d):
 
 @query("g3_components_of_suppliers")
 def g3(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey") - 1).alias("dst"), F.lit(1.0).alias("w"))
+    li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey") - 1).alias("dst"), F.lit(1.0).alias("w"))
     return G.largest_component(li, strong=False).select("src", "dst").distinct()
 
 
