@@ -16,16 +16,16 @@ buckets are resolved in rounds.  The first rounds test every member against one
 centre of its bucket, by full sets: the member that meets most others, summed
 over all its buckets, which for a group of copies is near to their origin.
 Members that are by now in one component need no more tests among themselves.
-The last round takes all pairs of a bucket that are still in two components and
-tests those whose signatures make the similarity possible (3.5 standard
-deviations), so a large bucket of copies mostly costs a test or two a member
-instead of one a pair.
+The last round takes the pairs of a bucket that are still in two components,
+dealt out in cells of bounded size, and tests those that exact bounds on their
+intersections leave, so a large bucket of copies mostly costs a test or two a
+member instead of one a pair.  Texts and sets stay where they are unless a
+sieve says that they may take part.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simloom.llm.arrays import U64, joined, mix, slices
+from simloom.llm.sieve import sieve, sifted
 from simloom.operators.components import connected_components
 from simloom.scratch import Scratch
 
@@ -159,30 +160,6 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketches(signature: np.ndarray) -> np.ndarray:
-    """Four bits of each slot, sixteen slots in a long; slots beyond the last are zero for all."""
-    n, slots = signature.shape
-    nibbles = np.zeros((n, -(-slots // 16) * 16), np.uint64)
-    nibbles[:, :slots] = mix(signature) & U64(15)
-    return np.bitwise_or.reduce(nibbles.reshape(n, -1, 16) << (np.arange(16, dtype=np.uint64) * U64(4)), axis=2).view(np.int64)
-
-
-def likely(one: str, two: str, slots: int, percent: int) -> str:
-    """SQL: whether two sketches may belong to sets with the similarity.
-
-    Slots agree with probability J, and nibbles of others by chance.  The bound
-    lies 3.5 standard deviations below what the similarity makes one expect.
-    """
-    agree = percent / 100 + (1 - percent / 100) / 16
-    least = slots * agree - 3.5 * math.sqrt(slots * agree * (1 - agree))
-    terms = []
-    for k in range(-(-slots // 16)):
-        x = f"({one}[{k}] ^ {two}[{k}])"
-        y = f"({x} | shiftrightunsigned({x}, 1))"
-        terms.append(f"bit_count(({y} | shiftrightunsigned({y}, 2)) & {0x1111111111111111})")
-    return f"{slots} - ({' + '.join(terms)}) >= {least}"
-
-
 def _describe(slots: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -190,41 +167,73 @@ def _describe(slots: int, rows: int):
             prints, ends = shingle_sets(data, offsets)
             sizes = np.diff(ends)
             signature = signatures(prints, ends, slots)
-            keys, nibbles = bands(signature, rows), sketches(signature)
+            keys = bands(signature, rows)
             totals = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(prints + U64(s)))]) for s in (0x1234567, 0x89ABCDEF01)]
             one, two = ((t[ends[1:]] - t[ends[:-1]]).view(np.int64) for t in totals)
             full = sizes > 0
-            lists = [
-                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * x.shape[1])]).astype(np.int32)), pa.array(x[full].reshape(-1)))
-                for x in (keys, nibbles)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes), pa.array(one), pa.array(two), *lists], names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"]
-            )
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * keys.shape[1])]).astype(np.int32)), pa.array(keys[full].reshape(-1)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(one), pa.array(two), lists], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+
+    return run
+
+
+def _sets(passes: Callable[[np.ndarray], np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(iter([batch.filter(pa.array(passes(batch.column(2).to_numpy())))])):
+                prints, ends = shingle_sets(*joined(part.column(1)))
+                raw = prints.tobytes()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[8 * a : 8 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["doc_id", "prints"])
 
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches):
-        prints, ends = shingle_sets(*joined(part.column(1)))
-        raw = prints.tobytes()
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[8 * a : 8 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["doc_id", "prints"])
+def _entries(passes: Callable[[np.ndarray], np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(1).flatten()
+            good = passes(keys.to_numpy())
+            owner = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy())[good]
+            yield pa.RecordBatch.from_arrays([keys.filter(pa.array(good)), batch.column(0).take(pa.array(owner)), batch.column(2).take(pa.array(owner))], names=["bucket", "rep", "n_shingles"])
+
+    return run
+
+
+def _within(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each of the sorted ``y`` whether the sorted ``x`` has it."""
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    return x[at] == y
+
+
+def _mask(bits: np.ndarray) -> np.ndarray:
+    """Bits as longs, the first one lowest."""
+    padded = np.zeros(-(-len(bits) // 64) * 64, bool)
+    padded[: len(bits)] = bits
+    return np.packbits(padded, bitorder="little").view(np.int64)
+
+
+_TESTED = "src long, dst long, linked boolean, common long, src_reach long, dst_reach long, src_mask array<long>, dst_mask array<long>"
 
 
 def _links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, one, two = (batch.column(k) for k in range(4))
-            kept, common = [], []
+            a, b, a_reach, b_reach, one, two = batch.columns
+            kept, common, of_one, of_two = [], [], [], []
             for x, y in zip(one, two, strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
+                in_x, in_y = _within(y, x), _within(x, y)
+                shared = int(in_x.sum())
                 common.append(shared)
-                kept.append(100 * shared >= percent * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(kept, pa.bool_()), pa.array(common, pa.int64())], names=["src", "dst", "linked", "common"])
+                kept.append(100 * shared >= percent * (len(x) + len(y) - shared))
+                of_one.append(_mask(in_x))
+                of_two.append(_mask(in_y))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [a, b, pa.array(kept, pa.bool_()), pa.array(common, pa.int64()), a_reach, b_reach, pa.array(of_one, longs), pa.array(of_two, longs)],
+                names=["src", "dst", "linked", "common", "src_reach", "dst_reach", "src_mask", "dst_mask"],
+            )
 
     return run
 
@@ -242,23 +251,24 @@ def near_duplicates(
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    seen = scratch.table(
-        source.mapInArrow(_describe(slots, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"), "described"
-    )
+    described = scratch.table(source.mapInArrow(_describe(slots, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "described")
+    seen = described.drop("bands")
     key = ["n_shingles", "set_a", "set_b"]
     with_words = seen.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.table(with_words.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")), "classes")
+    one_each = described.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"))
+    classes = scratch.table(one_each, "classes")
     # A bucket with a single class can link nothing.
-    entries = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    counts = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = scratch.table(classes.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+    entries = classes.select("rep", "bands", "n_shingles").mapInArrow(_entries(sieve(counts, F.col("bucket"))), "bucket long, rep long, n_shingles long")
     shared = scratch.table(entries.join(counts, "bucket"), "shared")
-    reach = shared.groupBy("rep").agg(F.sum("n").alias("reach"))
-    buckets = scratch.table(shared.join(reach, "rep").select("bucket", "rep", "n_shingles", "reach"), "buckets")
-    scratch.drop("shared")
-    sets = scratch.table(
-        source.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, prints binary"), "sets"
-    )
-    links = _resolve(scratch, buckets, classes.select("rep", "sketch"), sets, percent, slots)
+    reach = scratch.table(shared.groupBy("rep").agg(F.sum("n").alias("reach")), "reach")
+    buckets = scratch.table(shared.join(reach, "rep"), "buckets")
+    needed = sieve(reach, F.xxhash64("rep"))
+    full = source.select("doc_id", "text", F.xxhash64("doc_id").alias("hash")).mapInArrow(_sets(needed), "doc_id long, prints binary")
+    sets = scratch.table(full.join(reach.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "sets")
+    for done in ("counts", "shared", "reach"):
+        scratch.drop(done)
+    links = _resolve(scratch, buckets, sets, percent)
     # Same id under two sets: one document.
     twice = with_words.select(F.col("doc_id").alias("src"), *key).join(classes.select(*key, F.col("rep").alias("dst")), key)
     groups = connected_components(links, scratch=scratch)
@@ -278,41 +288,42 @@ def near_duplicates(
     )
 
 
-def _ranked(own: DataFrame, tested: list[DataFrame]) -> DataFrame:
-    """``rep, anchor, inside, anchor_reach``: the most central member that each was tested against, or itself."""
-    ways = None
-    for done in tested:
-        for one, two in (("src", "dst"), ("dst", "src")):
-            now = done.select(F.col(one).alias("rep"), F.col(two).alias("anchor"), "common")
-            ways = now if ways is None else ways.unionByName(now)
-    ranked = ways.join(own.select(F.col("rep").alias("anchor"), "reach"), "anchor").unionByName(own.select("rep", F.col("rep").alias("anchor"), F.col("n_shingles").alias("common"), "reach"))
-    return ranked.groupBy("rep").agg(F.max(F.struct("reach", "anchor", "common")).alias("b")).select("rep", F.col("b.anchor").alias("anchor"), F.col("b.common").alias("inside"), F.col("b.reach").alias("anchor_reach"))
+def _ranked(own: DataFrame, tested: DataFrame) -> DataFrame:
+    """``rep, anchor, inside, anchor_reach, mask``: the most central member that each was tested against, or itself.
 
+    ``mask`` has a bit for each shingle of the anchor, set if the member has it
+    too; null if the anchor is the member itself.
+    """
+    named = lambda one, two: tested.select(F.col(one).alias("rep"), F.col(two).alias("anchor"), F.col("common").alias("inside"), F.col(f"{two}_reach").alias("anchor_reach"), F.col(f"{two}_mask").alias("mask"))
+    alone = own.select("rep", F.col("rep").alias("anchor"), F.col("n_shingles").alias("inside"), F.col("reach").alias("anchor_reach"), F.lit(None).cast("array<long>").alias("mask"))
+    best = F.max(F.struct("anchor_reach", "anchor", "inside", "mask")).alias("b")
+    # Joined by the member, not by the anchor that thousands may share.
+    ways = named("src", "dst").unionByName(named("dst", "src")).join(own.select("rep"), "rep", "left_semi")
+    return ways.unionByName(alone).groupBy("rep").agg(best).select("rep", "b.anchor", "b.inside", "b.anchor_reach", "b.mask")
 
-def _toward_hubs(members: DataFrame, tested: list[DataFrame]) -> DataFrame:
-    """``src, dst``: each member and the most central anchor of those it shares a bucket with, so that a group's members get one anchor."""
-    own = members.groupBy("rep").agg(F.max("reach").alias("reach"), F.max("n_shingles").alias("n_shingles"))
-    placed = members.select("bucket", "rep").join(_ranked(own, tested), "rep")
+
+def _toward_hubs(members: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Pairs of each member and the most central anchor of those it shares a bucket with, so that a group's members get one anchor."""
+    placed = members.select("bucket", "rep", "reach").join(ranked.select("rep", "anchor", "anchor_reach"), "rep")
     hubs = placed.groupBy("bucket").agg(F.max(F.struct("anchor_reach", "anchor")).alias("h"))
-    best = placed.select("bucket", "rep").join(hubs, "bucket").groupBy("rep").agg(F.max("h").alias("h")).select("rep", F.col("h.anchor").alias("hub"))
-    return best.where("rep != hub").select(F.least("rep", "hub").alias("src"), F.greatest("rep", "hub").alias("dst")).distinct()
+    best = placed.select("bucket", "rep", "reach").join(hubs, "bucket").groupBy("rep", "reach").agg(F.max("h").alias("h"))
+    return best.select("rep", "reach", F.col("h.anchor").alias("c_rep"), F.col("h.anchor_reach").alias("c_reach")).where("rep != c_rep")
 
 
-def _anchored(members: DataFrame, tested: list[DataFrame], sets: DataFrame) -> DataFrame:
-    """``members`` with what bounds the size of an intersection without looking at it.
+def _anchored(own: DataFrame, ranked: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rep, anchor, inside, mask, spare, known``: what bounds the size of an intersection without looking at it.
 
-    ``inside`` counts the shingles that a member and its anchor both have.  Of
-    the others, those that no other member has can't be shared; ``spare`` counts
-    the rest.  Two members with one anchor share at most the lesser ``inside``
-    plus the lesser ``spare``.
+    ``inside`` counts the shingles that a member and its anchor both have,
+    ``known`` those that another set has as well.  Of the shingles that the
+    anchor lacks only ``spare`` are known.  Two members share at most the lesser
+    ``known``, and with one anchor at most what their masks share plus the
+    lesser ``spare``.  ``sets`` holds the members' sets and their anchors'.
     """
-    own = members.groupBy("rep").agg(F.max("reach").alias("reach"), F.max("n_shingles").alias("n_shingles"))
-    # Anchors are members themselves, so members are all that can share a shingle.
-    prints = sets.join(own.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_each_print, "print long, doc_id long")
+    prints = sets.mapInArrow(_each_print, "print long, doc_id long")
     alone = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")).where("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
-    about = _ranked(own, tested).drop("anchor_reach").join(alone, "rep", "left")
-    spare = F.col("n_shingles") - F.col("inside") - F.coalesce("alone", F.lit(0))
-    return members.join(about, "rep").withColumn("spare", spare).drop("alone")
+    known = F.col("n_shingles") - F.coalesce("alone", F.lit(0))
+    spare = F.when(F.col("anchor") == F.col("rep"), 0).otherwise(known - F.col("inside"))
+    return own.join(ranked, "rep").join(alone, "rep", "left").select("rep", "anchor", "inside", "mask", spare.alias("spare"), known.alias("known"))
 
 
 def _each_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,59 +336,96 @@ def _each_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(raw)), pa.array(owner)], names=["print", "doc_id"])
 
 
-def _test(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """``src, dst, linked, common`` of each pair, from the full sets."""
+def _among(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of ``ids``, and perhaps a few others."""
+    return sets.withColumn("hash", F.xxhash64("doc_id")).mapInArrow(sifted(sieve(ids, F.xxhash64("doc_id"))), "doc_id long, prints binary")
+
+
+def _test(scratch: Scratch, pairs: DataFrame, sets: DataFrame, before: DataFrame | None, percent: int, name: str) -> DataFrame:
+    """``src, dst, linked, common, src_reach, dst_reach`` of ``before`` and of each other pair ``rep, reach, c_rep, c_reach``, from the full sets."""
+    swap = F.col("rep") > F.col("c_rep")
+    way = lambda one, two, to: F.when(swap, F.col(two)).otherwise(F.col(one)).alias(to)
+    pairs = pairs.select(way("rep", "c_rep", "src"), way("c_rep", "rep", "dst"), way("reach", "c_reach", "src_reach"), way("c_reach", "reach", "dst_reach")).distinct()
+    if before is not None:
+        pairs = pairs.join(before.select("src", "dst"), ["src", "dst"], "left_anti")
     pairs = scratch.table(pairs, f"pairs_{name}")
+    if before is not None:  # few sets take part
+        sets = _among(sets, pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")))
     full = (
         pairs.join(sets.select(F.col("doc_id").alias("src"), F.col("prints").alias("one")), "src")
         .join(sets.select(F.col("doc_id").alias("dst"), F.col("prints").alias("two")), "dst")
-        .select("src", "dst", "one", "two")
+        .select("src", "dst", "src_reach", "dst_reach", "one", "two")
     )
-    return scratch.table(full.mapInArrow(_links(percent), "src long, dst long, linked boolean, common long"), f"tested_{name}")
+    now = full.mapInArrow(_links(percent), _TESTED)
+    out = scratch.table(now if before is None else before.unionByName(now), f"tested_{name}")
+    scratch.drop(f"pairs_{name}")
+    return out
+
 
+#: Rounds in which a bucket has one centre; members of a bucket that one task pairs up in the last round.
+CENTRES, BLOCK = 2, 1024
 
-#: Rounds in which a bucket has one centre.
-CENTRES = 2
 
+def _able(scratch: Scratch, members: DataFrame, percent: int) -> DataFrame:
+    """Those of ``members`` whose known shingles may suffice for a link within their bucket, with ``n``, how many are left there."""
+    # Linked sets have a size of at least the similarity times the larger one's.
+    least = members.groupBy("bucket").agg(F.min("n_shingles").alias("least"))
+    other = F.greatest(F.col("least"), F.col("n_shingles") * percent / 100)
+    enough = F.col("known") * (100 + percent) >= (F.col("n_shingles") + other) * percent
+    left = scratch.table(members.join(least, "bucket").where(enough).drop("least"), "left")
+    mixed = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket", "n")
+    return scratch.table(left.join(mixed, "bucket"), "able")
 
-def _resolve(scratch: Scratch, buckets: DataFrame, sketch: DataFrame, sets: DataFrame, percent: int, slots: int) -> DataFrame:
+
+def _cells(members: DataFrame, block: int, *, rows: bool) -> DataFrame:
+    """``members`` with ``own`` and ``cell``: a bucket's members in blocks, and blocks in pairs, so that any two members meet in one cell."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")
+    placed = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    # A block meets itself and, as the row or as the column, each other block once.
+    low, high = (F.col("own"), F.col("other")) if rows else (F.col("other"), F.col("own"))
+    return placed.where(low <= high).withColumn("cell", low * blocks + high).drop("other")
+
+
+def _resolve(scratch: Scratch, buckets: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Links that join, directly or not, all pairs of a bucket that have the similarity."""
-    links = used = None
-    tested: list[DataFrame] = []
+    tested = used = None
     members = buckets.withColumn("component", F.col("rep"))
     for k in range(CENTRES + 1):
         if k:
-            groups = scratch.table(connected_components(links, scratch=scratch), f"groups_{k}").withColumnRenamed("node", "rep")
+            groups = scratch.table(connected_components(tested.where("linked").select("src", "dst"), scratch=scratch), f"groups_{k}").withColumnRenamed("node", "rep")
             members = buckets.join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
             mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
             members = scratch.table(members.join(mixed, "bucket", "left_semi"), f"members_{k}")
+            # Only what is in such a bucket is looked at again, and what it was tested against.
+            own = scratch.table(members.groupBy("rep").agg(F.max("reach").alias("reach"), F.max("n_shingles").alias("n_shingles")), f"own_{k}")
+            ranked = scratch.table(_ranked(own, tested), f"ranked_{k}")
+            used_sets = scratch.table(own.select("rep").unionByName(ranked.select(F.col("anchor").alias("rep"))).distinct().select(F.col("rep").alias("doc_id")), f"used_{k}")
+            sets = scratch.table(_among(sets, used_sets).join(used_sets, "doc_id", "left_semi"), f"sets_{k}")
+            scratch.drop("sets" if k == 1 else f"sets_{k - 1}")
         if k == CENTRES:
-            hubs = _toward_hubs(members, tested)
-            for done in tested:
-                hubs = hubs.join(done.select("src", "dst"), ["src", "dst"], "left_anti")
-            tested.append(_test(scratch, hubs, sets, percent, "hubs"))
-            links = links.unionByName(tested[-1].where("linked").select("src", "dst"))
-            members = _anchored(members, tested, sets).join(sketch, "rep")
-        centres = members
-        if k < CENTRES:
+            tested = _test(scratch, _toward_hubs(members, ranked), sets, tested, percent, "hubs")
+            about = scratch.table(_anchored(own, _ranked(own, tested), sets), "about")
+            members = _able(scratch, members.drop("n").join(about, "rep"), percent)
+            sides = _cells(members, block, rows=True), _cells(members, block, rows=False)
+            on = ["bucket", "cell"]
+        else:
             fresh = members.join(used, ["bucket", "rep"], "left_anti") if used is not None else members
             best = F.max(F.struct("reach", (-F.col("rep")).alias("order"), "rep", "n_shingles", "component")).alias("c")
-            centres = scratch.table(fresh.groupBy("bucket").agg(best).select("bucket", "c.rep", "c.n_shingles", "c.component"), f"centres_{k}")
+            centres = scratch.table(fresh.groupBy("bucket").agg(best).select("bucket", "c.rep", "c.n_shingles", "c.component", "c.reach"), f"centres_{k}")
             used = centres.select("bucket", "rep")
-        named = [F.col(c).alias(f"c_{c}") for c in ("rep", "n_shingles", "component", *(["sketch", "anchor", "inside", "spare"] if k == CENTRES else []))]
-        chosen = centres.select("bucket", *named)
+            sides, on = (members, centres), ["bucket"]
+        chosen = sides[1].select(*on, *[F.col(c).alias(f"c_{c}") for c in sides[1].columns if c not in on])
         # Sizes too far apart can't reach the similarity.
-        apart = members.join(chosen, "bucket").where("component != c_component").where(
+        apart = sides[0].join(chosen, on).where("component != c_component").where(
             F.least("n_shingles", "c_n_shingles") * 100 >= F.greatest("n_shingles", "c_n_shingles") * percent
         )
         if k == CENTRES:
-            apart = apart.where("rep < c_rep").where(likely("sketch", "c_sketch", slots, percent))
-            most = F.least("inside", "c_inside") + F.least("spare", "c_spare")
-            apart = apart.where((F.col("anchor") != F.col("c_anchor")) | (most * 100 >= (F.col("n_shingles") + F.col("c_n_shingles") - most) * percent))
-        pairs = apart.select(F.least("rep", "c_rep").alias("src"), F.greatest("rep", "c_rep").alias("dst")).distinct()
-        for done in tested:
-            pairs = pairs.join(done.select("src", "dst"), ["src", "dst"], "left_anti")
-        tested.append(_test(scratch, pairs, sets, percent, f"{k}"))
-        found = tested[-1].where("linked").select("src", "dst")
-        links = found if links is None else links.unionByName(found)
-    return links
+            # Nor can intersections that an exact bound keeps too small: shingles that only one member has are in none, and a common anchor bounds the rest.
+            enough = lambda most: most * (100 + percent) >= (F.col("n_shingles") + F.col("c_n_shingles")) * percent
+            spare, other = F.least("spare", "c_spare"), F.col("anchor") != F.col("c_anchor")
+            masks = F.aggregate(F.zip_with("mask", "c_mask", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda a, b: a + b)
+            apart = apart.where((F.col("own") != F.col("c_own")) | (F.col("rep") < F.col("c_rep")))
+            apart = apart.where(enough(F.least("known", "c_known"))).where(other | enough(F.least("inside", "c_inside") + spare)).where(other | enough(F.coalesce(masks, F.least("inside", "c_inside")) + spare))
+        tested = _test(scratch, apart.select("rep", "reach", "c_rep", "c_reach"), sets, tested, percent, f"{k}")
+    return tested.where("linked").select("src", "dst")
