@@ -15,6 +15,7 @@ nothing is shuffled.  Sequence ids hold the task's partition number.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import insort
@@ -152,6 +153,15 @@ class Packer:
 
 #: Lower-case letters of one code point that no normalisation changes, then marks: two tokens' worth of text.
 _SIMPLE = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?%*#$&|@+-]*)")
+# The rules of the vocabularies whose words can be looked up one by one.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: The byte alphabet of the vocabulary: printable bytes stand for themselves, the others follow from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -167,6 +177,16 @@ def _plain(text: str) -> str:
     return text if "<|" in text else text.lower()
 
 
+def ids_by_words(path: str) -> bool:
+    """Whether a tokenizer file has the rules that ``WordIds`` relies on."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    model = rules["model"]
+    plain = model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback"))
+    added = all(t["special"] and not t["normalized"] and t["content"].startswith("<|") and t["content"].endswith("|>") for t in rules["added_tokens"])
+    return plain and added and rules["normalizer"] == _NORMALIZER and rules["pre_tokenizer"] == _PRE_TOKENIZER
+
+
 class WordIds:
     """Ids of whole texts by way of their words, of which the last ones are remembered.
 
@@ -194,7 +214,8 @@ class WordIds:
                 parts[word] = m.groups()
             else:
                 others.append(word)
-        others += [x for x in dict.fromkeys(tail for _, tail in parts.values()) if x not in self.known]
+        # A run of marks may stand alone as well as behind letters.
+        others = list(dict.fromkeys([*others, *(tail for _, tail in parts.values() if tail not in self.known)]))
         self._put(others, [got.ids for got in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)])
         cores = [x for x in dict.fromkeys(core for core, _ in parts.values()) if x not in self.known]
         tokenize = self.tokenizer.model.tokenize
@@ -210,6 +231,8 @@ class WordIds:
 
     def _append(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
         k, n = len(self.known), len(words)
+        if len(sizes) != n or len(set(words).difference(self.known)) != n:
+            raise AssertionError("a word was learned twice")
         while k + n > len(self.begin):
             self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
         while self.used + len(ids) > len(self.pool):
@@ -247,9 +270,21 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class TextIds:
+    """Ids of whole texts by any other tokenizer."""
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = _tokenizer(path)
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [got.ids for got in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
+
+
 def _runner(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(path)  # what it remembers goes with the task
+        encode = WordIds(path) if ids_by_words(path) else TextIds(path)  # what it remembers goes with the task
         rows: list[tuple] = []
 
         def emit(piece: tuple, sequence: int, offset: int) -> None:

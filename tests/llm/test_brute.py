@@ -9,13 +9,14 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from simloom.llm.decontam import leaks
 from simloom.llm.htmltext import main_text
 from simloom.llm.langid import Parser, suffix_automaton
 from simloom.llm.licenses import licenses
 from simloom.llm.minhash import near_duplicates, shingle_sets, signatures
-from simloom.llm.packing import closest_fill, pack
+from simloom.llm.packing import WordIds, closest_fill, ids_by_words, pack
 from simloom.llm.pii import TEST_KEY, find, luhn_digit, permute
 from simloom.llm.pivots import near_vectors
 from simloom.llm.queries import tokenizer_path
@@ -57,6 +58,37 @@ def test_minhash_groups_match_all_pairs(spark):
     assert all(r.n_shingles == len(sets[k]) and r.kept == (r.component_id == k) for k, r in got.items())
 
 
+def test_minhash_cells_and_sieve(spark, monkeypatch):
+    from simloom.llm import minhash
+    from simloom.llm.sieve import sieve
+
+    # A group whose members are near the similarity to each other, in cells of three.
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash._resolve, "__defaults__", (3,))
+    rng = random.Random(21)
+    base, texts = _text(rng, 80).split(), []
+    for _ in range(70):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            copy[rng.randrange(80)] = rng.choice(WORDS) + "x"
+        texts.append(" ".join(copy))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    want = union_find([(a, b) for b in range(70) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    got = {r.doc_id: r.component_id for r in near_duplicates(_docs(spark, texts)).collect()}
+    assert got == {k: want.get(k, k) for k in range(70)}
+    members = spark.range(10).selectExpr("7L as bucket", "id as rep", "10L as n")
+    met = [tuple(sorted(x)) for x in minhash._cells(members, 3, rows=True).select("cell", "rep").join(minhash._cells(members, 3, rows=False).select("cell", F.col("rep").alias("other")), "cell").select("rep", "other").collect()]
+    assert {p for p in met if p[0] != p[1]} == {(a, b) for b in range(10) for a in range(b)}
+    # A sieve loses no key, whether it has room for them or not, and most others if it has.
+    keys = spark.range(0, 4000, 2)
+    for bits in (1 << 15, 1 << 20):
+        passes = sieve(keys, F.xxhash64("id"), most_bits=bits)
+        rows = spark.range(4000).select("id", F.xxhash64("id").alias("h")).collect()
+        good = passes(np.array([r.h for r in rows], np.int64))
+        assert good[::2].all() and good[1::2].mean() < 0.1
+    assert not sieve(keys.limit(0), F.xxhash64("id"))(np.arange(50)).any()
+
+
 def test_signatures_estimate_jaccard():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
@@ -122,6 +154,36 @@ def test_packing_round_trip(spark):
     assert all(digests[r.doc_id, r.start] == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in rows)
 
 
+_PIECES = st.sampled_from(["...", "--", "!!", "&", "?", "well", "what", "Été", "ß", "can't", "it's", "1", "22", "µm", "now", "zebra", "a--b", "c!!", "c...", "ＡΣ", "e\u0301", "<|endoftext|>", "\u00a0", "\x0b", "好", "_", "I'LL"])
+_LINES = st.lists(st.tuples(_PIECES, st.sampled_from([" ", "", "\n", "\t", "  "])), max_size=12).map(lambda x: "".join(a + b for a, b in x))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.one_of(_LINES, st.text(max_size=12)), max_size=6), max_size=4))
+def test_ids_of_words_match_the_tokenizer(batches):
+    # The words of earlier batches are remembered in later ones.
+    from tokenizers import Tokenizer
+
+    tokenizer, encode = Tokenizer.from_file(tokenizer_path()), WordIds(tokenizer_path())
+    for texts in batches:
+        texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+        ids, sizes = encode(texts)
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_ids_of_marks_and_tails(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["well... what ... now we see another thing", "so good!! yes !! zebra apple", "a -- b-- c", "", None]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):  # the second one has other rules
+        tokenizer = Tokenizer.from_file(path := public_tokenizers.path(name))
+        assert ids_by_words(path) == name.startswith("word")
+        rows = pack(_docs(spark, texts).coalesce(1), path).collect()
+        assert {r.doc_id: r.ids for r in rows} == {k: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
+
+
 def test_base_spans_match_plain_patterns():
     rng = random.Random(5)
     parts = ["token = ", "PASSWD:'", "api_key=", "apikey : ", "secret=token=", "AKIA", "AKIAQ1W2E3R4T5Y6U7", "0123456789abcdef" * 2, "deadbeef", "é", " ", "\n", '"', "abc=", "ſecret=abcdefgh1"]
