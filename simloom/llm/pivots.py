@@ -43,10 +43,16 @@ def _matrix(column: pa.Array) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(ends[:-1] - 0, ends[1:], strict=True)]
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by powers of two beforehand, so that no square overflows or vanishes."""
+    most = np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1]
+    rows = np.ldexp(rows, -most)
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
 def prefixes(vectors: np.ndarray, pivots: np.ndarray, size: int) -> np.ndarray:
     """Indices of the ``size`` nearest pivots by cosine, nearest first; ties to the lower index."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    return np.argsort(-(unit @ pivots.T).round(12), axis=1, kind="stable")[:, :size]
+    return np.argsort(-(_unit(vectors) @ pivots.T).round(12), axis=1, kind="stable")[:, :size]
 
 
 def _index(pivots: list[list[float]], size: int, shared: int):
@@ -60,8 +66,7 @@ def _index(pivots: list[list[float]], size: int, shared: int):
             for k, v in enumerate(rows):
                 by_dim.setdefault(len(v), []).append(k)
             for dim, of in by_dim.items():
-                points = np.array([np.resize(p, dim) for p in pivots])
-                points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-300)
+                points = _unit(np.array([np.resize(p, dim) for p in pivots], float))
                 near = prefixes(np.stack([rows[k] for k in of]), points, size)
                 bit = np.uint64(1) << near.astype(np.uint64)
                 whole = np.bitwise_or.reduce(bit, axis=1)
@@ -130,8 +135,7 @@ def _verify(cosine: float, shared: int):
             edges: list[tuple[int, int]] = []
             for dim in np.unique(dims):
                 of = np.flatnonzero(dims == dim)
-                unit = np.stack([rows[k] for k in of])
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                unit = _unit(np.stack([rows[k] for k in of]))
                 mask, key = (get(x)[of].view(np.uint64) for x in ("mask", "key"))
                 for i, j in links(cell[of], get("block")[of], get("same")[of].astype(bool), key, mask, unit):
                     i, j = of[i], of[j]
