@@ -7,7 +7,8 @@ falls into fewer phrases.  The language with the fewest phrases, normalised by
 the length and the sample's logarithm, wins.
 
 The automaton is completed to a table that on a mismatch counts a phrase and
-goes on from the root, so that a step is one lookup.  Texts are cut into lanes
+goes on from the root, so that a step is one lookup; the transitions of a large
+alphabet are searched instead.  Texts are cut into lanes
 that step together; a phrase also ends where a lane does, for every language
 alike, and all of a text is parsed.
 """
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,8 +28,11 @@ from pyspark.sql import functions as F
 from simloom.llm.arrays import joined, slices
 
 #: Labelled rows that a language's sample is taken from, those with the smallest
-#: hash of the id, and the characters that all of them give together at most.
+#: hash of the id.  Of these the shortest go in whole, one at least, as long as
+#: they have so many characters together at most.
 SAMPLE_ROWS, SAMPLE_CHARS = 64, 40_000
+#: Entries of a language's table; with more, as an alphabet of thousands has, its transitions are searched in order.
+TABLE_ENTRIES = 1 << 24
 LANE = 256
 UNKNOWN = "und"
 _SPACE = 32
@@ -92,35 +96,49 @@ def suffix_automaton(text: np.ndarray) -> list[dict[int, int]]:
     return go
 
 
+def _steps(go: list[dict[int, int]], width: int, entries: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """From states times the width and symbols to the next ones, shifted by two bits that count the phrases that end."""
+    root, lone = np.zeros(width, np.int64), np.ones(width, np.int64)
+    for c, to in go[0].items():
+        root[c], lone[c] = to, 0
+    state = np.repeat(np.arange(len(go)), [len(x) for x in go])
+    place = state * width + np.array([c for x in go for c in x], np.int64)
+    to = np.array([t for x in go for t in x.values()], np.int64) * width * 4
+    # On a mismatch the phrase ends and the symbol begins the next one, which
+    # ends at once if the sample lacks the symbol.
+    fresh = root * width * 4 + lone
+    if len(go) * width <= entries:
+        table = np.tile(fresh + 1, (len(go), 1)).astype(np.int32).reshape(-1)
+        table[:width] = fresh
+        table[place] = to
+        return lambda at, symbol: table[at + symbol]
+    order = np.argsort(place)
+    place, to = place[order], to[order]
+
+    def step(at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        wanted = at + symbol
+        where = np.searchsorted(place, wanted)
+        where[where == len(place)] = 0
+        return np.where(place[where] == wanted, to[where], fresh[symbol] + (at > 0))
+
+    return step
+
+
 class Parser:
     """Phrase counts of texts against the samples of all languages."""
 
-    def __init__(self, samples: dict[str, str]) -> None:
+    def __init__(self, samples: dict[str, str], entries: int = TABLE_ENTRIES) -> None:
         self.names = sorted(samples)
         texts = [folded(raw := np.frombuffer(samples[x].encode(), np.uint8), np.array([0, len(raw)]))[0] for x in self.names]
-        alphabet = np.unique(np.concatenate([*texts, np.array([_SPACE], np.uint32)]))
-        self.width = len(alphabet) + 1  # symbol 0 is in no sample
-        self.symbol = np.zeros(0x110000, np.uint8 if self.width <= 256 else np.uint16)
-        self.symbol[alphabet] = np.arange(1, self.width)
-        self.tables, self.logs = [], []
+        self.symbols, self.steps, self.logs = [], [], []
         for text in texts:
-            self.tables.append(self._table(suffix_automaton(self.symbol[text])))
+            alphabet = np.unique(np.concatenate([text, np.array([_SPACE], np.uint32)]))
+            symbol = np.zeros(0x110000, np.uint8 if len(alphabet) < 256 else np.uint16 if len(alphabet) < 1 << 16 else np.int32)
+            symbol[alphabet] = np.arange(1, len(alphabet) + 1)  # symbol 0 is not in the sample
+            self.symbols.append(symbol)
+            self.steps.append(_steps(suffix_automaton(symbol[text]), len(alphabet) + 1, entries))
             self.logs.append(math.log2(max(2, len(text))))
 
-    def _table(self, go: list[dict[int, int]]) -> np.ndarray:
-        """Next state times the width, shifted by two bits that count the phrases that end."""
-        root = np.zeros(self.width, np.int32)
-        lone = np.ones(self.width, np.int32)
-        for c, to in go[0].items():
-            root[c], lone[c] = to, 0
-        # On a mismatch the phrase ends and the symbol begins the next one, which
-        # ends at once if no sample has the symbol.
-        table = np.tile(root * self.width * 4 + 1 + lone, (len(go), 1)).astype(np.int32)
-        state = np.repeat(np.arange(len(go)), [len(x) for x in go])
-        table[state, [c for x in go for c in x]] = np.array([to for x in go for to in x.values()], np.int32) * self.width * 4
-        table[0] = root * self.width * 4 + lone
-        return table.reshape(-1)
-
     def rates(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Normalised phrases of each text (rows) and language (columns), and each text's letters."""
         chars, ends = folded(data, offsets)
@@ -133,17 +151,16 @@ class Parser:
         length = np.minimum(LANE, ends[1:][owner] - begin)
         order = np.argsort(-length, kind="stable")
         owner, begin, length = owner[order], begin[order], length[order]
-        symbols = self.symbol[chars].astype(np.int32)
         active = np.searchsorted(-length, -np.arange(LANE), "left")  # lanes longer than each step
         out = np.zeros((len(sizes), len(self.names)))
-        grid = [symbols[begin[: active[k]] + k] for k in range(LANE)]
-        for j, table in enumerate(self.tables):
-            state, count = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.int32)
+        for j, (symbol, step) in enumerate(zip(self.symbols, self.steps, strict=True)):
+            symbols = symbol[chars].astype(np.int64)
+            state, count = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
             for k in range(LANE):
                 n = active[k]
                 if not n:
                     break
-                got = table[state[:n] + grid[k]]
+                got = step(state[:n], symbols[begin[:n] + k])
                 count[:n] += got & 3
                 state[:n] = got >> 2
             count += state > 0  # the phrase that the lane's end cuts
@@ -175,29 +192,23 @@ def _runner(samples: tuple[tuple[str, str], ...]):
 
 
 def samples_of(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, parts: int, held_part: int, rows: int, chars: int) -> dict[str, str]:
-    """A sample of each language's labelled text outside the held-out part.
+    """A sample of each language's labelled texts outside the held-out part, whole ones only.
 
-    Of each chosen row at most an equal share of ``chars`` is kept; rows with
-    less leave more to the others.
+    Of ``rows`` texts, those with the smallest hash of the id, the shortest are
+    kept as long as they have at most ``chars`` characters together, and always
+    one.  Which those are is found on the cluster from ids and lengths.
     """
     labelled = docs.where(f"`{lang_col}` is not null and `{text_col}` is not null").where(F.expr(f"coalesce(crc32(cast(`{id_col}` as string)) % {parts} != {held_part}, false)"))
     order = F.struct(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"))
-    ids = labelled.select(F.col(lang_col).cast("string").alias("lang"), order.alias("o"))
-    ranked = ids.withColumn("k", F.expr("row_number() over (partition by lang order by o)")).where(F.col("k") <= rows)
-    chosen = ranked.select("lang", F.col("o.id").alias("id"), F.col("o.h").alias("h"))
-    found = docs.select(F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, chars).alias("text"), F.col(lang_col).cast("string").alias("lang")).join(F.broadcast(chosen), ["lang", "id"])
-    texts: dict[str, list[str]] = {}
-    for r in found.select("lang", "text", "h").orderBy("lang", "h", "text").toLocalIterator():
-        texts.setdefault(r.lang, []).append(r.text or "")
-    out = {}
-    for lang, of in texts.items():
-        of = sorted(set(of), key=len)
-        left, kept = chars, []
-        for k, text in enumerate(of):
-            kept.append(text[: left // (len(of) - k)])
-            left -= len(kept[-1])
-        out[lang] = " ".join(kept)
-    return out
+    ids = labelled.select(F.col(lang_col).cast("string").alias("lang"), order.alias("o"), F.length(text_col).alias("n"))
+    ranked = ids.withColumn("k", F.expr("row_number() over (partition by lang order by o, n)")).where(F.col("k") <= rows)
+    summed = ranked.withColumn("sum", F.expr("sum(n) over (partition by lang order by n, o, k rows unbounded preceding)")).withColumn("nth", F.expr("row_number() over (partition by lang order by n, o, k)"))
+    chosen = summed.where((F.col("sum") <= chars) | (F.col("nth") == 1)).select("lang", F.col("o.id").alias("id"), F.col("o.h").alias("h"), "n").distinct()
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).withColumn("n", F.length("text")).join(F.broadcast(chosen), ["lang", "id", "n"])
+    texts: dict[str, set[str]] = {}
+    for r in found.select("lang", "text").distinct().toLocalIterator():
+        texts.setdefault(r.lang, set()).add(r.text)
+    return {lang: " ".join(sorted(of, key=lambda x: (len(x), x))) for lang, of in texts.items()}
 
 
 def identify(
