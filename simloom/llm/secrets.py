@@ -2,9 +2,9 @@
 
 Base spans come from fixed patterns.  Candidates are the base spans' values and
 further key-like tokens; their hashes are counted by distinct repositories and
-distinct owners over the whole corpus.  A value that many owners hold is an
-example that was copied around; one that a single owner holds, and that looks
-random, is taken for a live credential.  Tokens of the latter kind add spans of
+distinct owners over the whole corpus.  A value that many owners hold, or very
+many repositories, is an example that was copied around; one that few hold, and
+that looks random, is taken for a live credential.  Tokens of the latter kind add spans of
 kind ``owned``; base spans stay, whatever their verdict.
 """
 
@@ -18,8 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from simloom.llm.arrays import slices
 from simloom.scratch import Scratch
@@ -35,8 +37,9 @@ LEAST_VALUE = 8
 _KEYLIKE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
 OWNED = "owned"
 LEAST_BITS = 3.0
-#: Owners from which on a value counts as copied.
-COPIED_BY = 3
+#: Owners from which on a value counts as copied, and repositories: a value that
+#: one owner's many repositories hold is a template of that owner's.
+COPIED_BY, COPIED_IN = 3, 12
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
@@ -55,11 +58,13 @@ def bits(value: str) -> float:
 def candidates(text: str) -> list[tuple[int, int, int, int, float]]:
     """(start, kind, end, hash, bits) of base spans and key-like tokens; kind 3 is key-like."""
     base = base_spans(text)
-    taken = [(a, b) for a, _, b, _, _ in base]
     rows = [(a, k, b, text[x:y]) for a, k, b, x, y in base]
+    # Both come by their start; ``reach`` is where the base spans before a token end.
+    at, reach = 0, -1
     for m in _KEYLIKE.finditer(text):
-        value = m.group()
-        if not any(a < m.end() and m.start() < b for a, b in taken) and bits(value) >= LEAST_BITS:
+        while at < len(base) and base[at][0] < m.end():
+            reach, at = max(reach, base[at][2]), at + 1
+        if reach <= m.start() and bits(value := m.group()) >= LEAST_BITS:
             rows.append((m.start(), 3, m.end(), value))
     return [(a, k, b, int.from_bytes(hashlib.blake2b(v.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True), bits(v)) for a, k, b, v in sorted(rows)]
 
@@ -73,15 +78,19 @@ _FOUND = "array<struct<start:long,kind:int,end:long,hash:long,bits:double>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # A row's key is written with it; a task that runs again gives the same ones.
+    key = TaskContext.get().partitionId() << 40
     kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("hash", pa.int64()), ("bits", pa.float64())]))
     names = ("start", "kind", "end", "hash", "bits")
     for part in slices(batches):
         found = [candidates(t) if t else [] for t in part.column(1).to_pylist()]
         digests = [hashlib.sha256(",".join(_describe(s) for s in of if s[1] < 3).encode()).hexdigest() for of in found]
         counts = np.array([[sum(s[1] == k for s in of) for k in range(3)] for of in found], np.int64).reshape(-1, 3)
+        keys = pa.array(np.arange(key, key + part.num_rows))
+        key += part.num_rows
         yield pa.RecordBatch.from_arrays(
-            [part.column(0), part.column(2), part.column(3), *(pa.array(counts[:, k]) for k in range(3)), pa.array(digests), pa.array([[dict(zip(names, s, strict=True)) for s in of] for of in found], kind)],
-            names=["doc_id", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "found"],
+            [keys, part.column(0), part.column(2), part.column(3), *(pa.array(counts[:, k]) for k in range(3)), pa.array(digests), pa.array([[dict(zip(names, s, strict=True)) for s in of] for of in found], kind)],
+            names=["key", "doc_id", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "found"],
         )
 
 
@@ -99,7 +108,7 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def secrets(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repo_col: str | Column = "source", owner_col: str | Column = "source", copied_by: int = COPIED_BY
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repo_col: str | Column = "source", owner_col: str | Column = "source", copied_by: int = COPIED_BY, copied_in: int = COPIED_IN
 ) -> DataFrame:
     """One row for each input row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, n_owned, found``.
 
@@ -114,11 +123,10 @@ def secrets(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), column(repo_col).cast("string").alias("repo"), column(owner_col).cast("string").alias("owner")
     )
     base = "n_assign long, n_access long, n_hex long, base_sha256 string"
-    seen = scratch.table(source.mapInArrow(_scan, f"doc_id long, repo string, owner string, {base}, found {_FOUND}"), "seen")
-    keyed = seen.withColumn("key", F.monotonically_increasing_id())
-    each = keyed.where(F.size("found") > 0).select("key", "repo", "owner", F.explode("found").alias("s")).select("key", "repo", "owner", "s.*")
+    seen = scratch.table(source.mapInArrow(_scan, f"key long, doc_id long, repo string, owner string, {base}, found {_FOUND}"), "seen")
+    each = seen.where(F.size("found") > 0).select("key", "repo", "owner", F.explode("found").alias("s")).select("key", "repo", "owner", "s.*")
     owned = ownership(each.select("hash", "repo", "owner"))
-    copied = F.col("n_owners") >= copied_by
+    copied = (F.col("n_owners") >= copied_by) | (F.col("n_repos") >= copied_in)
     live = ~copied & (F.col("bits") >= LEAST_BITS)
     judged = (
         each.join(owned, "hash")
@@ -129,7 +137,7 @@ def secrets(
     names = F.array(*map(F.lit, (*KINDS, OWNED)))
     spans = F.coalesce("spans_of", F.expr("array()"))
     text = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start.cast("string"), s.end.cast("string"))), ",")
-    return keyed.join(judged, "key", "left").select(
+    return seen.join(judged, "key", "left").select(
         "doc_id",
         "n_assign",
         "n_access",
@@ -145,10 +153,8 @@ def secrets(
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = batch.schema.get_field_index("text")
-        owned_at = batch.schema.get_field_index("owned_hashes")
         texts, redacted = [], []
-        for text, owned in zip(batch.column(at).to_pylist(), batch.column(owned_at).to_pylist(), strict=True):
+        for text, owned in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             owned = set(owned or ())
             spans = [(s[0], s[2], s[1]) for s in candidates(text) if s[1] < len(KINDS) or s[3] in owned] if text else []
             out, last = [], 0
@@ -158,41 +164,48 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last = max(last, b)
             texts.append("".join([*out, text[last:]]) if spans else text)
             redacted.append(bool(spans))
-        columns = [c for k, c in enumerate(batch.columns) if k not in (at, owned_at)]
-        names = [n for k, n in enumerate(batch.schema.names) if k not in (at, owned_at)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(redacted)], names=[*names, "text", "redacted"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(redacted, pa.bool_())], names=["row", "text", "redacted"])
 
 
-def redact(docs: DataFrame, *, text_col: str = "text", repo_col: str = "source", owner_col: str = "source", copied_by: int = COPIED_BY) -> DataFrame:
-    """The rows of ``docs`` with base and live owner-specific spans replaced in the text, and ``redacted``.
+def redact(
+    docs: DataFrame, *, text_col: str = "text", repo_col: str = "source", owner_col: str = "source", copied_by: int = COPIED_BY, copied_in: int = COPIED_IN, flag_col: str = "redacted"
+) -> DataFrame:
+    """The rows of ``docs`` with base and live owner-specific spans replaced in the text, and ``flag_col``, which takes the place of a column of its name.
 
     Each row is judged by its own text, so repeated ids do no harm.  Only the
-    few rows with key-like tokens take part in a join; a null text stays null.
+    few rows with key-like tokens take part in a join; null and empty texts stay
+    as they are; other columns, whatever their names, are carried along.  No
+    rows give no rows.
     """
     scratch = Scratch(docs.sparkSession, "redact")
-    source = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"))
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"))
     seen = scratch.table(
-        source.mapInArrow(_scan, f"doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found {_FOUND}")
+        source.mapInArrow(_scan, f"key long, doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found {_FOUND}")
         .where(F.size("found") > 0)
         .select("repo", "owner", F.explode("found").alias("s"))
         .select("repo", "owner", "s.hash", "s.kind", "s.bits"),
         "seen",
     )
     extra = seen.where((F.col("kind") == len(KINDS)) & (F.col("bits") >= LEAST_BITS)).select("hash").distinct()
-    owned = ownership(seen.select("hash", "repo", "owner")).where(F.col("n_owners") < copied_by).join(extra, "hash", "left_semi").select("hash")
-    cols = [c for c in docs.columns if c != text_col]
-    rows = docs.select(*cols, F.col(text_col).cast("string").alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    schema = f"{kinds}, text string, redacted boolean" if kinds else "text string, redacted boolean"
-    # Which tokens are owned travels with the text's own hashes.
-    keyed = scratch.table(owned, "owned")
-    if keyed.isEmpty():
-        out = rows.withColumn("owned_hashes", F.array().cast("array<long>")).mapInArrow(_cut, schema)
+    few = (F.col("n_owners") < copied_by) & (F.col("n_repos") < copied_in)
+    owned = scratch.table(ownership(seen.select("hash", "repo", "owner")).where(few).join(extra, "hash", "left_semi").select("hash"), "owned")
+    # The caller's columns travel in one struct, so that none of their names can clash.
+    carried = [c for c in docs.columns if c not in (text_col, flag_col)]
+    row = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.struct(F.lit(0).alias("none"))
+    rows = docs.select(row.alias("row"), text.alias("text"))
+    schema = StructType([rows.schema["row"], StructField("text", StringType()), StructField("redacted", BooleanType())])
+    if owned.isEmpty():
+        rows = rows.withColumn("owned_hashes", F.array().cast("array<long>"))
     else:
-        tagged = scratch.table(rows.withColumn("key", F.xxhash64("text")).select("key", "text").mapInArrow(_hashes, "key long, hash long"), "tagged")
-        per_text = tagged.join(keyed, "hash", "left_semi").groupBy("key").agg(F.collect_set("hash").alias("owned_hashes"))
-        out = rows.withColumn("key", F.xxhash64("text")).join(per_text, "key", "left").drop("key").mapInArrow(_cut, schema)
-    return out.withColumnRenamed("text", text_col)
+        # Which tokens are owned travels with the text's own hashes; null texts have none and are spread out.
+        key = F.when(F.col("text").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("text"))
+        tagged = scratch.table(rows.where("text is not null").select(F.xxhash64("text").alias("key"), "text").mapInArrow(_hashes, "key long, hash long"), "tagged")
+        per_text = tagged.join(owned, "hash", "left_semi").groupBy("key").agg(F.collect_set("hash").alias("owned_hashes"))
+        rows = rows.withColumn("key", key).join(per_text, "key", "left").select("row", "text", "owned_hashes")
+    out = rows.mapInArrow(_cut, schema)
+    back = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != flag_col]
+    return out.select(*back, F.col("redacted").alias(flag_col))
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
