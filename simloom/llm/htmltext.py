@@ -34,14 +34,20 @@ THRESHOLD, HOLDS = 0.2, 0.6
 _RAW = frozenset({"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes"})
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OTHER = frozenset(
-    "script style head title noscript template nav footer aside form button select option textarea iframe svg canvas object menu dialog input label fieldset math audio video".split()
+    "script style head title noscript template nav footer aside form button select option textarea iframe svg canvas object menu dialog input label fieldset audio video".split()
 )
 _OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar alertdialog".split())
 _OTHER_NAMES = frozenset(
     """ad ads advert adverts advertisement advertising advertisment sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices
     nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside rail footer masthead topbar toolbar comment comments commentlist disqus reply replies respond
     share sharing social related recommended recommendations popular trending subscribe subscription newsletter signup login popup modal overlay paywall alert widget
-    widgets pagination pager skip search tags outbrain taboola""".split()
+    widgets pagination pager skip search tags outbrain taboola copyright colophon""".split()
+)
+#: What a name may have beside one of those: "main-nav" is a menu, "share-of-market" isn't.
+_BESIDE = frozenset(
+    """account area articles bar block bottom box button buttons by col column container content email end first float form global group head header holder icon icons id in
+    inner item items last layer left line link links list main media message module more new news on outer page panel point policy post posts primary right row secondary section
+    site slot small social space stories sub text title to top topics unit us user view wrap wrapper you your""".split()
 )
 _PAGE_PARTS = frozenset({"header"})  # of the page, unless inside the article
 _CONTAINERS = frozenset("html body main article section div td center".split())
@@ -71,27 +77,43 @@ def _is_other(tag: str, attributes: str) -> bool:
                 return True
             if name == "role" and value in _OTHER_ROLES:
                 return True
-            if name in ("class", "id") and tag not in ("article", "main") and not _OTHER_NAMES.isdisjoint(_NAME.findall(value)):
+            if name in ("class", "id") and tag not in ("article", "main") and any(_names_other(x) for x in value.split()):
                 return True
     return False
 
 
+def _names_other(word: str) -> bool:
+    parts = set(_NAME.findall(word))
+    return not parts.isdisjoint(_OTHER_NAMES) and parts <= _OTHER_NAMES | _BESIDE
+
+
 class Node:
-    """An element that is open, or was."""
+    """An element that is open, or was; elements below it have numbers up to ``last``."""
 
-    __slots__ = ("depth", "number", "other", "parent", "path", "tag")
+    __slots__ = ("article", "container", "depth", "heading", "last", "link", "number", "other", "parent", "path", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, number: int, other: bool) -> None:
-        self.tag, self.parent, self.number = tag, parent, number
+    def __init__(self, tag: str, parent: Node | None, number: int, other: bool, paths: dict[tuple[int, str], int]) -> None:
+        self.tag, self.parent, self.number, self.last = tag, parent, number, number
         self.other = other or parent is not None and parent.other
-        self.path = f"{parent.path}/{tag}" if parent else tag
+        #: Equal for elements with the same tags from the root on.
+        self.path = paths.setdefault((parent.path, tag), len(paths) + 1) if parent else 0
         self.depth = parent.depth + 1 if parent else 0
+        self.link = tag == "a" or parent is not None and parent.link
+        self.heading = tag in _HEADINGS or parent is not None and parent.heading
+        # The nearest of their kinds, itself included.
+        self.article: Node | None = self if tag in ("article", "main") else parent.article if parent else None
+        self.container: Node | None = self if tag in _CONTAINERS and tag not in ("html", "body") else parent.container if parent else None
+
+    def holds(self, node: Node) -> bool:
+        return self.number <= node.number <= self.last
 
 
 def blocks(page: str) -> list[tuple[Node, str]]:
     """(innermost element, decoded text with single spaces) of each block's text, in page order, other parts left out."""
-    root = Node("", None, 0, False)
-    top, made = root, 0
+    paths: dict[tuple[int, str], int] = {}
+    root = Node("", None, 0, False, paths)
+    top, nodes = root, [root]
+    opened: dict[str, int] = defaultdict(int)
     out: list[tuple[Node, str]] = []
     pieces: list[str] = []
     held = root  # where the block's longest piece stands
@@ -113,6 +135,15 @@ def blocks(page: str) -> list[tuple[Node, str]]:
             if len(text.strip()) > size:
                 size, held = len(text.strip()), top
 
+    def shut(node: Node) -> Node:
+        """The innermost open element once ``node`` and all within it are closed."""
+        now = top
+        while now is not node:
+            opened[now.tag] -= 1
+            now = now.parent
+        opened[node.tag] -= 1
+        return node.parent
+
     at, end = 0, len(page)
     while at < end:
         m = _MARKUP.search(page, at)
@@ -126,13 +157,13 @@ def blocks(page: str) -> list[tuple[Node, str]]:
             continue
         tag = tag.lower()
         if m.group(1):
-            node = top
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
+            if opened[tag]:
+                node = top
+                while node.tag != tag:
+                    node = node.parent
                 if tag in _BLOCKS:
                     flush()
-                top = node.parent
+                top = shut(node)
             continue
         if tag in _VOID:
             if tag in ("br", "hr", "img", "input"):
@@ -146,23 +177,23 @@ def blocks(page: str) -> list[tuple[Node, str]]:
             flush()
             node = top
             closes = _CLOSES.get(tag, ())
-            while node is not root and node.tag not in _SCOPE:
-                if node.tag == "p" or node.tag in closes:
-                    top = node.parent
-                node = node.parent
+            if opened["p"] or any(opened[x] for x in closes):
+                while node is not root and node.tag not in _SCOPE:
+                    above = node.parent
+                    if node.tag == "p" or node.tag in closes:
+                        top = shut(node)
+                    node = above
         if m.group(3).endswith("/") and tag not in _BLOCKS:
             continue
-        made += 1
-        other = _is_other(tag, m.group(3))
-        if tag in _PAGE_PARTS and not other:
-            node = top
-            while node is not root and node.tag not in ("article", "main"):
-                node = node.parent
-            other = node is root
-        top = Node(tag, top, made, other)
+        other = _is_other(tag, m.group(3)) or tag in _PAGE_PARTS and top.article is None
+        top = Node(tag, top, len(nodes), other, paths)
+        nodes.append(top)
+        opened[tag] += 1
         if not size:
             held = top
     flush()
+    for node in reversed(nodes[1:]):
+        node.parent.last = max(node.parent.last, node.last)
     return out
 
 
@@ -171,35 +202,26 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return (padded[:-2] + 2 * padded[1:-1] + padded[2:]) / 4
 
 
-def _containers(node: Node | None) -> list[Node]:
-    """The containers around a block below the body, the innermost first."""
-    out = []
-    while node is not None:
-        if node.tag in _CONTAINERS and node.tag not in ("html", "body"):
-            out.append(node)
-        node = node.parent
-    return out
-
-
 def _around(nodes: list[Node], content: list[int]) -> tuple[int, int]:
     """The range of blocks that is the article, where no element says so."""
     lo, hi = content[0], content[-1] + 1
-    shared = _containers(nodes[lo])
-    for k in content[1:]:
-        of = set(_containers(nodes[k]))
-        shared = [n for n in shared if n in of]
-    links = ["a" in n.path.split("/") for n in nodes]
-    if shared:
-        lowest = [k for k, n in enumerate(nodes) if shared[0] in _containers(n)]
-        outer = {k for k, n in enumerate(nodes) if shared[-1] in _containers(n)}
-        lo, hi = min(lo, lowest[0]), max(hi, lowest[-1] + 1)
-        while lo - 1 in outer and not links[lo - 1]:
+    low, high = min(nodes[k].number for k in content), max(nodes[k].number for k in content)
+    lowest = nodes[lo].container
+    while lowest is not None and not lowest.number <= low <= high <= lowest.last:
+        lowest = lowest.parent.container
+    if lowest is not None:
+        outermost = lowest
+        while (above := outermost.parent.container) is not None:
+            outermost = above
+        inside = [k for k, n in enumerate(nodes) if lowest.holds(n)]
+        lo, hi = min(lo, inside[0]), max(hi, inside[-1] + 1)
+        while lo and outermost.holds(nodes[lo - 1]) and not nodes[lo - 1].link:
             lo -= 1
-        while hi in outer and not links[hi]:
+        while hi < len(nodes) and outermost.holds(nodes[hi]) and not nodes[hi].link:
             hi += 1
     k = lo - 1
-    while k >= 0 and not links[k]:
-        if not _HEADINGS.isdisjoint(nodes[k].path.split("/")):
+    while k >= 0 and not nodes[k].link:
+        if nodes[k].heading:
             lo = k
         k -= 1
     return lo, hi
@@ -225,23 +247,17 @@ def main_text(page: str | None) -> str:
     for (node, _), size, good in zip(found, length.tolist(), content.tolist(), strict=True):
         if good:
             total += size
-            while node is not None:
-                if node.tag in ("article", "main"):
-                    held[node.number] += size
-                    container[node.number] = node
-                node = node.parent
+            holder = node.article
+            while holder is not None:
+                held[holder.number] += size
+                container[holder.number] = holder
+                holder = holder.parent.article
     holders = [container[k] for k, size in held.items() if size >= HOLDS * total]
     if not holders:
         lo, hi = _around([node for node, _ in found], np.flatnonzero(content).tolist())
         return " ".join(text for _, text in found[lo:hi])
     article = max(holders, key=lambda n: n.depth)
-    kept = []
-    for node, text in found:
-        while node is not None and node is not article:
-            node = node.parent
-        if node is article:
-            kept.append(text)
-    return " ".join(kept)
+    return " ".join(text for node, text in found if article.holds(node))
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
