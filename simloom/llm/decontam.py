@@ -17,6 +17,7 @@ four places of a window.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from simloom.llm.arrays import U64, joined, mix, slices
 
 Q, WINDOW, STRIDE, BUDGET, PLACES = 8, 50, 4, 0.12, 4
+#: Pairs of equal q-grams counted at once.
+BLOCK_PAIRS = 1 << 19
 #: Normalised characters of benchmark items that one pass holds; a larger
 #: benchmark takes more passes over the documents.
 PASS_CHARS = 4_000_000
@@ -108,9 +111,13 @@ class Windows:
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.grams >> U64(42)).astype(np.int64)] = True
 
-    def candidates(self, chars: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Rows of (text, window, lowest diagonal of the band, a hit's diagonal) that reach the bound; diagonals count from the window's start."""
-        none = np.zeros((0, 4), np.int64)
+    def candidates(self, chars: np.ndarray, ends: np.ndarray, pairs: int = BLOCK_PAIRS) -> Iterator[np.ndarray]:
+        """Blocks of rows (text, window, lowest diagonal of the band, a hit's diagonal) that reach the bound; diagonals count from the window's start.
+
+        A block has about ``pairs`` pairs of equal q-grams, and more only if a
+        single stretch of text has; blocks overlap by what a leak can span, so
+        repetitive texts and items take more blocks, not more memory.
+        """
         grams = _grams(chars, self.q)
         hit = np.flatnonzero(self.filter[(grams >> U64(42)).astype(np.int64)])
         where = np.searchsorted(self.grams, grams[hit])
@@ -118,7 +125,18 @@ class Windows:
         same = self.grams[where] == grams[hit] if len(self.grams) else np.zeros(0, bool)
         hit, where = hit[same], where[same]
         if not len(hit):
-            return none
+            return
+        total = np.cumsum(self.times[where])
+        span = int(self.size.max() + self.edits.max())
+        begin = 0
+        while begin < len(hit):
+            end = max(int(np.searchsorted(total, (total[begin - 1] if begin else 0) + pairs, "right")), int(np.searchsorted(hit, hit[begin] + 2 * span, "right")))
+            yield self._in_bands(hit[begin:end], where[begin:end], ends)
+            if end >= len(hit):
+                return
+            begin = max(begin + 1, int(np.searchsorted(hit, hit[end] - span)))
+
+    def _in_bands(self, hit: np.ndarray, where: np.ndarray, ends: np.ndarray) -> np.ndarray:
         times = self.times[where]
         post = np.repeat(self.first[where] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
         position, at = np.repeat(hit, times), self.at[post]
@@ -199,24 +217,47 @@ class Windows:
         return least >> bits, low + (least & (one - 1)), low + m + best
 
 
+#: The index of the last items that this worker scanned for.
+_index: dict[tuple, Windows] = {}
+
+
 def _scan(items: list[tuple[int, str]], q: int, window: int, budget: float, stride: int):
+    digest = hashlib.sha256(repr(items).encode("utf-8", "surrogatepass")).hexdigest()
+    # Items below a q-gram are leaked by texts that are nothing else.
+    short: dict[str, list[int]] = {}
+    for item, text in items:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        folded = normalised(raw, np.array([0, len(raw)]))[0]
+        plain = folded.tobytes().decode("utf-32-le").strip()
+        if 0 < len(plain) < q:
+            short.setdefault(plain, []).append(item)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Windows(items, q, window, budget, stride)
+        known = (digest, q, window, budget, stride)
+        if known not in _index:
+            _index.clear()
+            _index[known] = Windows(items, q, window, budget, stride)
+        index = _index[known]
+        owners, windows = np.unique(index.owner, return_counts=True)
+        total = dict(zip(owners.tolist(), windows.tolist(), strict=True))
         for part in slices(batches):
             chars, ends, places = normalised(*joined(part.column(1)))
-            found = index.candidates(chars, ends)
             rows: dict[tuple[int, int], list] = {}
-            if len(found):
+            for found in index.candidates(chars, ends):
                 edits, begin, end = index.verify(chars, ends, found)
-                for (text, w, *_), n, a, b in zip(found.tolist(), edits.tolist(), begin.tolist(), end.tolist(), strict=True):
-                    if n > index.edits[w] or b <= a:
-                        continue
+                good = (edits <= index.edits[found[:, 1]]) & (end > begin)
+                for (text, w, *_), n, a, b in zip(found[good].tolist(), edits[good].tolist(), begin[good].tolist(), end[good].tolist(), strict=True):
                     a, b = int(places[a]), int(places[b - 1]) + 1
                     row = rows.setdefault((text, int(index.owner[w])), [a, b, n, set()])
                     row[0], row[1], row[2] = min(a, row[0]), max(b, row[1]), min(n, row[2])
                     row[3].add(w)
-            windows = np.bincount(np.unique(index.owner, return_inverse=True)[1]) if rows else []
-            total = dict(zip(np.unique(index.owner).tolist(), windows, strict=True)) if rows else {}
+            if short:
+                for text in np.flatnonzero((np.diff(ends) > 0) & (np.diff(ends) <= q)).tolist():
+                    of = chars[ends[text] : ends[text + 1]]
+                    for item in short.get(of.tobytes().decode("utf-32-le").strip(), ()):
+                        letters = places[ends[text] : ends[text + 1]][of != _SPACE]
+                        rows[text, item] = [int(letters[0]), int(letters[-1]) + 1, 0, {0}]
+                        total[item] = 1
             ids = part.column(0)
             kept = sorted(rows.items())
             yield pa.RecordBatch.from_arrays(
@@ -266,8 +307,9 @@ def leaks(
     ``start`` and ``end`` (code points, end exclusive) bound all leaked windows,
     ``edits`` is the least of them, ``coverage`` the share of the item's windows
     found.  Documents without a leak have no row; null and empty texts have
-    none; a repeated row gets its rows again; items of fewer than ``q`` letters
-    and digits, or null, match nothing; an item without id is item -1.  Other
+    none; a repeated row gets its rows again; an item of fewer than ``q`` letters
+    and digits is leaked only by a text that is nothing else, one without any,
+    or null, by none; an item without id is item -1; no items, no rows.  Other
     columns are not read.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
