@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from simloom.llm.arrays import slices
 
-#: A key for tests; real ones come from the caller.
+#: A key for tests and the registered query; real ones come from the caller, who keeps them.
 TEST_KEY = b"simloom test key"
 ROUNDS = 8
 KINDS = ("email", "card", "iban", "ssn", "phone", "ip", "date")
@@ -88,6 +88,7 @@ def _card_spans(run: str) -> list[tuple[int, int]]:
     groups but the last.  Layouts that cards have come first, then longer ones.
     """
     groups = [m.span() for m in _GROUP.finditer(run)]
+    free = [True] * len(groups)
     found = []
     for i in range(len(groups)):
         n = 0
@@ -104,12 +105,13 @@ def _card_spans(run: str) -> list[tuple[int, int]]:
             d = _only_digits(run[a:b])
             if luhn_digit(d[:-1]) == d[-1]:
                 usual = len(sizes) == 1 or set(sizes[:-1]) == {4} and sizes[-1] <= 4 or sizes in ([4, 6, 5], [4, 6, 4])
-                found.append((not usual, -n, a, b))
+                found.append((not usual, -n, a, b, i, j))
     out: list[tuple[int, int]] = []
-    for _, _, a, b in sorted(found):
-        if all(b <= x or y <= a for x, y in out):
+    for _, _, a, b, i, j in sorted(found):
+        if all(free[i : j + 1]):
+            free[i : j + 1] = [False] * (j + 1 - i)
             out.append((a, b))
-    return out
+    return sorted(out)
 
 
 def _in_parts(parts: list[tuple[int, int, int]], to: Permute, tweak: str) -> list[int] | None:
@@ -189,10 +191,15 @@ def _day(year: int, month: int, day: int, to: Permute) -> datetime.date | None:
     return datetime.date.fromordinal(to(at, _DAYS, "date") + _FIRST) if 0 <= at < _DAYS else None
 
 
+def _two(n: int, *parts: str) -> str:
+    """A day or month with two digits, or without a leading zero if one of ``parts`` shows that style."""
+    return f"{n:02d}" if all(len(x) == 2 for x in parts) else str(n)
+
+
 def _date(value: str, to: Permute) -> str | None:
     if m := re.fullmatch(r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})", value):
         new = _day(int(m[1]), int(m[3]), int(m[4]), to)
-        return new and f"{new.year}{m[2]}{new.month:02d}{m[2]}{new.day:02d}"
+        return new and f"{new.year}{m[2]}{_two(new.month, m[3], m[4])}{m[2]}{_two(new.day, m[3], m[4])}"
     if m := re.fullmatch(r"(\d{1,2})([-/.])(\d{1,2})\2(\d{4})", value):
         # Day first, unless only month first is a date.
         month_first = int(m[3]) > 12
@@ -201,7 +208,7 @@ def _date(value: str, to: Permute) -> str | None:
             return None
         # A day of 12 or less would read the other way round, month first: those keep the day first.
         a, b = (new.month, new.day) if month_first and new.day > 12 else (new.day, new.month)
-        return f"{a:02d}{m[2]}{b:02d}{m[2]}{new.year}"
+        return f"{_two(a, m[1], m[3])}{m[2]}{_two(b, m[1], m[3])}{m[2]}{new.year}"
     m = re.fullmatch(r"(?i)(?:(\d{1,2})(\.? )([a-z]+)|([a-z]+) (\d{1,2}))(,? )(\d{4})", value)
     name = (m[3] or m[4]) if m else ""
     month = next((k for k, x in enumerate(_MONTHS, 1) if name.lower() in (x, x[:3])), 0)
@@ -236,12 +243,18 @@ def find(text: str, to: Permute) -> list[tuple[int, int, str, str]]:
     else:
         finders = _FINDERS if "@" in text else _FINDERS[1:]
     for kind, pattern, pseudonym in finders:
+        # Spans of a kind come in order and apart, so one walk along what is taken tells which are free.
+        now, at = [], 0
         for m in pattern.finditer(text):
             spans = [(m.start() + a, m.start() + b) for a, b in _card_spans(m.group())] if kind == "card" else [m.span()]
             for a, b in spans:
-                if all(b <= x or y <= a for x, y, *_ in found) and (new := pseudonym(text[a:b], to)) is not None:
-                    found.append((a, b, kind, new))
-    return sorted(found)
+                while at < len(found) and found[at][1] <= a:
+                    at += 1
+                if (at == len(found) or b <= found[at][0]) and (new := pseudonym(text[a:b], to)) is not None:
+                    now.append((a, b, kind, new))
+        if now:
+            found = sorted(found + now)
+    return found
 
 
 def _runner(key: bytes):
@@ -272,13 +285,18 @@ def _runner(key: bytes):
     return run
 
 
-def pseudonymise(docs: DataFrame, *, key: bytes = TEST_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text, spans, n_email, ...``: one row for each input row.
 
-    ``spans`` joins ``kind:start:end`` in the original text.  A null text stays
+    ``key`` is the secret that undoes the pseudonyms; it may not be empty.
+    ``spans`` joins ``kind:start:end`` in the original text.  Dates from 1900 to
+    2099 are dates; a day and month of two digits are read day first, and an
+    e-mail address keeps its domain.  A null text stays
     null and an empty one empty, without spans; repeated rows get a row each;
     other columns are not read.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(_runner(key), f"doc_id long, text string, spans string, {counts}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from simloom.llm.langid import identify
 from simloom.llm.licenses import licenses, oracle
 from simloom.llm.minhash import near_duplicates
 from simloom.llm.packing import pack
-from simloom.llm.pii import pseudonymise
+from simloom.llm.pii import TEST_KEY, pseudonymise
 from simloom.llm.pivots import near_vectors
 from simloom.llm.secrets import secrets
 from simloom.llm.toxicity import toxicity
@@ -33,8 +34,8 @@ def op7_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text with pseudonyms, spans and counts for each document."""
-    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """doc_id, text with pseudonyms, spans and counts for each document; the key is that of SIMLOOM_PII_KEY, or the test key."""
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), os.environ.get("SIMLOOM_PII_KEY", "").encode() or TEST_KEY)
 
 
 def op9_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
