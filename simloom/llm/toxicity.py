@@ -7,9 +7,12 @@ for, or as nothing), and a Viterbi search under a character trigram model finds
 the likeliest restored text.  The score comes from the words of the text and of
 what was restored from it.
 
-Models are learned from labelled rows: trigrams from their words; stems that
-mark a text from the log-odds of their distinct contexts, so that many copies
-of one text count once; and a logistic regression on the stems' counts.
+Stems that mark a text are learned from labelled rows, by the log-odds of their
+distinct contexts, so that many copies of one text count once, and a logistic
+regression on the stems' counts.  The trigrams are counted on the cluster, from
+the words of all documents outside the held-out part; letters that neither a
+stem has nor a sign can stand for are one symbol to them, so that the table's
+size is bounded whatever the corpus holds.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,14 +47,20 @@ _INVISIBLE = "\u200b\u200c\u200d\u2060\u00ad\ufeff"
 _DROPPED = frozenset("*.-_~^'`·•,/\\#%&=:; !" + _INVISIBLE)
 _AS_ITSELF, _AS_OTHER, _AS_NOTHING, _AS_REPEAT, _AS_BREAK = 0.1, 0.4, 0.7, 0.4, 4.0
 
+#: The symbol of all letters outside the trigrams' alphabet.
+OUTSIDE = "\x00"
+
 _WORD = re.compile(r"[^\W\d_]+")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_INSIDE = re.compile(r"[^\W\d_][\W\d_]+[^\W\d_]")
-_FRONT = re.compile(r"^[0-9@$!|+€£¡(][^\W\d_]")
-_BACK = re.compile(r"[^\W\d_][0-9@$+][.,;:!?]*$")
+_LETTER = re.compile(r"[^\W\d_]")
 _ONE = re.compile(r"[^\W_]|[@$!|+€£¡(]")
 
 
+def letters_of(stems: Iterable[str]) -> frozenset[str]:
+    """Letters of the stems, and those that signs may stand for."""
+    return frozenset("".join([*stems, *STANDS_FOR.values()]))
+
+
 @dataclass
 class Model:
     """What scoring needs, small enough to go with each task."""
@@ -62,22 +71,34 @@ class Model:
     default: float = math.log(200)
 
     def __post_init__(self) -> None:
+        self.alphabet = letters_of(self.weights)
         self.begins = re.compile("|".join(sorted(map(re.escape, self.weights), key=len, reverse=True)) or "(?!)")
         self.heads = frozenset(x[:3] for x in self.weights)
-        self.skeletons = re.compile("|".join(sorted(map(re.escape, {skeleton(x) for x in self.weights}))) or "(?!)")
+        # A "!" may be an i or nothing, so a skeleton's letters may have some between them.
+        letter = lambda c: f"{c}(?:!*{c})*" if c != "i" else "[i!](?:!*[i!])*"
+        self.skeletons = re.compile("|".join(sorted("!*".join(map(letter, x)) for x in {skeleton(x) for x in self.weights} if x)) or "(?!)")
 
     def cost(self, before: str, char: str) -> float:
-        """Negative log probability of ``char`` after the two characters ``before``."""
+        """Negative log probability of ``char`` after the two characters ``before``, all in the model's alphabet."""
         return self.trigrams.get(before, {}).get(char, self.default)
 
+    def known(self, char: str) -> str:
+        """The character, or the symbol that stands for letters outside the alphabet."""
+        return char if char == " " or char in self.alphabet else OUTSIDE
+
     def stem(self, word: str) -> str | None:
         """The marking stem that the word begins with."""
         found = self.begins.match(word) if word[:3] in self.heads else None
         return found.group() if found else None
 
 
-def learn(rows: list[tuple[str, int]], least_contexts: int = LEAST_CONTEXTS, least_odds: float = LEAST_ODDS) -> Model:
-    """A model from (text, label)."""
+def learn(
+    rows: list[tuple[str, int]],
+    least_contexts: int = LEAST_CONTEXTS,
+    least_odds: float = LEAST_ODDS,
+    trigrams: Callable[[Model], dict[str, dict[str, float]]] | None = None,
+) -> Model:
+    """A model from (text, label); ``trigrams`` gives the character costs for its stems, by default from the rows' own words."""
     texts = sorted(set(rows))
     vocabulary: Counter = Counter()
     contexts: tuple[set, set] = (set(), set())
@@ -109,7 +130,7 @@ def learn(rows: list[tuple[str, int]], least_contexts: int = LEAST_CONTEXTS, lea
             stems.append(stem)
     model = Model(dict.fromkeys(stems, 0.0))
     pure = [not count[0][s] for s in stems]
-    model.trigrams, model.default = _trigrams(vocabulary, model)
+    model.trigrams = trigrams(model) if trigrams else _trigrams(vocabulary, model)
     memo: dict[str, tuple[str, ...]] = {}
     counts = [(marks(text, model, memo), label) for text, label in texts]
     # Stems that texts of label 0 lack share a weight, to which each adds its own.
@@ -135,15 +156,45 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
     return beta.tolist()
 
 
-def _trigrams(vocabulary: Counter, model: Model) -> tuple[dict[str, dict[str, float]], float]:
-    counts: dict[str, Counter] = defaultdict(Counter)
+#: The channel's words are mostly marked ones: so much more they weigh.
+MARKED_WEIGHT = 20
+
+
+def _trigrams(vocabulary: Counter, model: Model) -> dict[str, dict[str, float]]:
+    counts: Counter = Counter()
     for word, n in vocabulary.items():
-        n = math.sqrt(n) * (20 if model.stem(word) else 1)  # the channel's words are mostly marked ones
-        padded = f"  {word} "
+        n = math.sqrt(n) * (MARKED_WEIGHT if model.stem(word) else 1)
+        padded = f"  {''.join(map(model.known, word))} "
         for k in range(2, len(padded)):
-            counts[padded[k - 2 : k]][padded[k]] += n
-    default = math.log(200)
-    return {b: {c: min(default, -math.log(n / (of.total() + 1))) for c, n in of.items()} for b, of in counts.items()}, default
+            counts[padded[k - 2 : k], padded[k]] += n
+    return _costs(((b, c, n) for (b, c), n in counts.items()), model.default)
+
+
+def _costs(counts: Iterable[tuple[str, str, float]], default: float) -> dict[str, dict[str, float]]:
+    of: dict[str, dict[str, float]] = defaultdict(dict)
+    for before, char, n in counts:
+        of[before][char] = n
+    return {b: {c: min(default, -math.log(n / (sum(x.values()) + 1))) for c, n in x.items()} for b, x in of.items()}
+
+
+def corpus_trigrams(docs: DataFrame, *, id_col: str, text_col: str, parts: int, held_part: int) -> Callable[[Model], dict[str, dict[str, float]]]:
+    """Character costs from the words of all texts outside the held-out part; a word weighs the root of its occurrences."""
+
+    def count(model: Model) -> dict[str, dict[str, float]]:
+        if not model.weights:
+            return {}
+        teaching = docs.where(F.expr(f"coalesce(crc32(cast(`{id_col}` as string)) % {parts} != {held_part}, true)"))
+        words = teaching.select(F.explode(F.expr(f"regexp_extract_all(lower(cast(`{text_col}` as string)), '\\\\p{{L}}+', 0)")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        stems = "|".join(map(re.escape, model.weights))
+        weight = F.sqrt("n") * F.when(F.col("word").rlike(f"^({stems})"), MARKED_WEIGHT).otherwise(1)
+        plain = F.regexp_replace("word", f"[^{''.join(sorted(map(re.escape, model.alphabet)))}]", OUTSIDE)
+        padded = words.select(weight.alias("weight"), F.concat(F.lit("  "), plain, F.lit(" ")).alias("x"))
+        each = padded.select("weight", F.explode(F.expr("transform(sequence(1, length(x) - 2), i -> substring(x, i, 3))")).alias("gram"))
+        # At most one row for each three letters of a fixed alphabet.
+        rows = each.groupBy("gram").agg(F.sum("weight").alias("n")).orderBy("gram").collect()
+        return _costs(((r.gram[:2], r.gram[2], r.n) for r in rows), model.default)
+
+    return count
 
 
 def restore(token: str, model: Model) -> str:
@@ -166,7 +217,8 @@ def restore(token: str, model: Model) -> str:
                 if not out:
                     to, total, now = state, cost + extra, text
                 else:
-                    to, total, now = (state[1] + out if out != " " else "  "), cost + extra + model.cost(state, out), text + out
+                    seen = model.known(out)
+                    to, total, now = (state[1] + seen if out != " " else "  "), cost + extra + model.cost(state, seen), text + out
                 if to not in after or total < after[to][0]:
                     after[to] = (total, now)
         states, previous = after, char
@@ -175,21 +227,17 @@ def restore(token: str, model: Model) -> str:
 
 
 def skeleton(token: str) -> str:
-    """Letters of a token, with those that one sign can stand for made one, and without repeats."""
+    """Letters of a token and its "!", with those that one sign can stand for made one, and without repeats."""
     out = ""
     for c in token:
-        c = STANDS_FOR.get(c, c)[0]
-        c = "i" if c == "l" else c
-        if c.isalpha() and c != out[-1:]:
+        if c != "!":
+            c = STANDS_FOR.get(c, c)[0]
+            c = "i" if c == "l" else c
+        if (c.isalpha() or c == "!") and c != out[-1:]:
             out += c
     return out
 
 
-def is_odd(token: str) -> bool:
-    """Whether a lower-cased token has more than one reading."""
-    return bool(_INSIDE.search(token) or _FRONT.search(token) or _BACK.search(token) or _TRIPLE.search(token))
-
-
 def read(token: str, model: Model) -> tuple[str, ...]:
     """Marking stems of a token as it stands, or else as restored."""
     core = token.strip(".,")
@@ -198,10 +246,10 @@ def read(token: str, model: Model) -> tuple[str, ...]:
         if stem or not _TRIPLE.search(core):
             return (stem,) if stem else ()
     stems = [x for w in _WORD.findall(token) if (x := model.stem(w))]
-    if stems or not (" " in token or is_odd(token)):
+    if stems or not (" " in token or _LETTER.search(token)):  # without any letter it is a number
         return tuple(stems)
-    # No reading holds a stem whose skeleton the token's skeletons lack.
-    if not (model.skeletons.search(skeleton(token)) or model.skeletons.search(skeleton(token.replace("!", "")))):
+    # No reading holds a stem whose skeleton the token's lacks.
+    if not model.skeletons.search(skeleton(token)):
         return ()
     token = re.sub(r"(.)\1{2,}", r"\1\1", token)
     return tuple(x for w in _WORD.findall(restore(token, model)) if (x := model.stem(w)))
@@ -286,7 +334,8 @@ def toxicity(
     A null id is not held out.  Without labelled rows every score is near 0.
     Repeated rows get a row each; other columns are not read.
     """
-    model = learn(train_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, parts=parts, held_part=held_part, limit=limit))
+    rows = train_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, parts=parts, held_part=held_part, limit=limit)
+    model = learn(rows, trigrams=corpus_trigrams(docs, id_col=id_col, text_col=text_col, parts=parts, held_part=held_part))
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scorer(model), "doc_id long, score double")
     held = F.coalesce(F.expr(f"crc32(cast(doc_id as string)) % {parts} = {held_part}"), F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
