@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -13,15 +15,15 @@ from pyspark.sql import functions as F
 
 from simloom.llm.decontam import leaks
 from simloom.llm.htmltext import main_text
-from simloom.llm.langid import Parser, suffix_automaton
+from simloom.llm.langid import Parser, identify, suffix_automaton
 from simloom.llm.licenses import licenses
 from simloom.llm.minhash import near_duplicates, shingle_sets, signatures
 from simloom.llm.packing import WordIds, closest_fill, ids_by_words, pack
 from simloom.llm.pii import TEST_KEY, find, luhn_digit, permute
 from simloom.llm.pivots import near_vectors
 from simloom.llm.queries import tokenizer_path
-from simloom.llm.secrets import base_spans, secrets
-from simloom.llm.toxicity import learn, marks, restore
+from simloom.llm.secrets import base_spans, candidates, ownership, secrets
+from simloom.llm.toxicity import _AS_BREAK, _AS_ITSELF, _AS_NOTHING, _AS_OTHER, _AS_REPEAT, _DROPPED, STANDS_FOR, _trigrams, corpus_trigrams, learn, marks, read, restore
 from simloom.operators.components import union_find
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "pu", "ra", "so", "ti") for b in ("ba", "den", "fur", "gol", "hin", "jas")]
@@ -233,9 +235,41 @@ def test_phrases_match_greedy_parsing(sample, text):
         size = max([k for k in range(1, len(text) - at + 1) if text[at : at + k] in held], default=1)
         phrases, at = phrases + 1, at + size
     raw = np.frombuffer(text.encode(), np.uint8)
-    parser = Parser({"x": sample})
-    rate = parser.rates(raw, np.array([0, len(raw)]))[0][0, 0]
-    assert abs(rate * len(text) / parser.logs[0] - phrases) < 1e-6
+    for parser in (Parser({"x": sample}), Parser({"x": sample}, entries=0)):  # by table and by search
+        rate = parser.rates(raw, np.array([0, len(raw)]))[0][0, 0]
+        assert abs(rate * len(text) / parser.logs[0] - phrases) < 1e-6
+
+
+def test_language_of_texts_over_many_lanes(spark):
+    rng = random.Random(22)
+    own = {"aa": "ka lo mi ne pu".split(), "bb": "xar zon vik wut jep".split(), "zh": ["".join(chr(0x4E00 + rng.randrange(7000)) for _ in range(9)) for _ in range(900)]}
+    rows = [(k, " ".join(rng.choice(own[lang]) for _ in range(rng.choice([8, 90, 700]))), lang) for k, lang in enumerate([*own] * 40)]
+    docs = spark.createDataFrame([*rows, (1000, None, "aa"), (1001, "ka lo", None), (1002, "12 !", "bb")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in identify(docs).collect()}
+    assert all(got[k].lang_pred == lang for k, _, lang in rows) and got[1000].lang_pred == got[1002].lang_pred == "und" and got[1001].lang_pred == "aa"
+    assert all(got[k].held_out == (zlib.crc32(str(k).encode()) % 4 == 2) for k in got)
+    # The rates of a text are those of its lanes, each parsed alone, by plain greedy matching.
+    parser, text = Parser({"aa": " ".join(own["aa"] * 3), "bb": " ".join(own["bb"] * 3)}), "ka lo xar zo mi " * 60
+    raw = np.frombuffer(text.strip().encode(), np.uint8)
+    rates = parser.rates(raw, np.array([0, len(raw)]))[0][0]
+    for j, sample in enumerate((" ".join(own["aa"] * 3), " ".join(own["bb"] * 3))):
+        phrases = 0
+        for a in range(0, len(raw), 256):
+            lane = raw[a : a + 256].tobytes().decode()
+            while lane:
+                size = max([k for k in range(1, len(lane) + 1) if lane[:k] in sample], default=1)
+                phrases, lane = phrases + 1, lane[size:]
+        assert abs(rates[j] * len(raw) / parser.logs[j] - phrases) < 1e-6
+    # Two languages that share their only text: the first one's name wins.
+    twins = spark.createDataFrame([(4, "ka lo mi", "yy"), (5, "ka lo mi", "xx")], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in identify(twins).collect()} <= {"xx", "yy"}
+
+
+def test_repetitive_texts_and_short_items(spark):
+    items = [(1, "a" * 300), (2, "Ab"), (3, "xyz " * 80), (4, None), (5, "??")]
+    got = {(r.doc_id, r.item_id): (r.start, r.end, r.coverage) for r in leaks(_docs(spark, ["a" * 3000, " ab! ", "abc", "an ab here", "q " + "xyz " * 100, "", None, "?"]), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(0, 1), (1, 2), (4, 3)} and got[0, 1] == (0, 3000, 1.0) and got[1, 2] == (1, 3, 1.0) and got[4, 3][2] == 1
+    assert leaks(_docs(spark, ["a b c d e f g h i"]), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
@@ -263,18 +297,114 @@ def test_deobfuscation_and_learning():
     rows = [(f"{_text(rng, 20)} {rng.choice(['gribble', 'snarfle'])} {_text(rng, 20)}", 1) for _ in range(60)] + [(_text(rng, 40), 0) for _ in range(300)]
     model = learn(rows)
     assert set(model.weights) == {"gribble", "snarfle"}
-    for odd in ("gr1bble", "s n a r f l e", "g-r-i-b-b-l-e", "snnnarfle", "$narf|e", "GR!BBLE"):
+    for odd in ("gr1bble", "g!r!bble", "sn!arf!le", "s n a r f l e", "g-r-i-b-b-l-e", "snnnarfle", "$narf|e", "GR!BBLE"):
         assert sum(marks(f"ka {odd} lo", model, {}).values()) == 1, odd
     assert restore("gr1bb1e", model) == "gribble"
     assert not marks("gray bubble 1234 l33t", model, {})
 
 
+def test_restoring_is_the_cheapest_reading():
+    # All readings of short tokens, each by the sum of its costs.
+    rng = random.Random(8)
+    model = learn([(f"{_text(rng, 9)} gribble {_text(rng, 9)}", 1) for _ in range(30)] + [(_text(rng, 30), 0) for _ in range(90)])
+
+    def readings(token, k, state, cost, text):
+        if k == len(token):
+            yield cost + model.cost(state, " "), text
+            return
+        char = token[k]
+        options = [(char, _AS_ITSELF)] if char.isalpha() else []
+        options += [(c, _AS_OTHER) for c in STANDS_FOR.get(char, "")] + ([("", _AS_REPEAT)] if k and token[k - 1] == char else [])
+        if char in _DROPPED or char == "!":
+            options += [("", _AS_NOTHING), (" ", _AS_OTHER if char == " " else _AS_BREAK)]
+        for out, extra in options or [(char, _AS_OTHER)]:
+            if out:
+                yield from readings(token, k + 1, "  " if out == " " else state[1] + model.known(out), cost + extra + model.cost(state, model.known(out)), text + out)
+            else:
+                yield from readings(token, k + 1, state, cost + extra, text)
+
+    for _ in range(200):
+        token = "".join(rng.choice("gribble1!3-$g|z é") for _ in range(rng.randrange(1, 8)))
+        every = sorted(readings(token, 0, "  ", 0.0, ""))
+        assert restore(token, model) in {text for cost, text in every if cost < every[0][0] + 1e-9}, token
+
+
+def test_filter_loses_no_restored_stem():
+    rng = random.Random(9)
+    model = learn([(f"{_text(rng, 9)} {w} {_text(rng, 9)}", 1) for w in ("gribble", "snarfle") for _ in range(30)] + [(_text(rng, 30), 0) for _ in range(200)])
+    odd = {"g": "g69", "r": "r", "i": "i1!|", "b": "b8", "l": "l1|", "e": "e3€", "s": "s5$", "n": "n", "a": "a4@", "f": "f"}
+    for _ in range(400):
+        token = "".join(rng.choice(odd[c]) + rng.choice(["", "", "!", "-", "!!"]) for c in rng.choice(["gribble", "snarfle"]))
+        restored = [x for w in re.findall(r"[^\W\d_]+", restore(re.sub(r"(.)\1{2,}", r"\1\1", token.strip(".,")), model)) if (x := model.stem(w))]
+        assert not restored or read(token, model), token
+
+
+def test_trigrams_of_the_corpus(spark):
+    rng = random.Random(10)
+    texts = [_text(rng, 30) + " Gribbles, ÉTÉ 好x" for _ in range(40)]
+    model = learn([(f"{_text(rng, 9)} gribble {_text(rng, 9)}", 1) for _ in range(30)] + [(_text(rng, 30), 0) for _ in range(90)])
+    got = corpus_trigrams(_docs(spark, [*texts, None, ""]), id_col="doc_id", text_col="text", parts=5, held_part=0)(model)
+    teaching = [t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 5]
+    want = _trigrams(Counter(w for t in teaching for w in re.findall(r"[^\W\d_]+", t.lower())), model)
+    assert got.keys() == want.keys() and all(abs(got[b][c] - x) < 1e-9 for b, of in want.items() for c, x in of.items())
+
+
+def test_long_lists_of_values_take_linear_time():
+    to = lambda x, n, t: x
+    text = " ".join(f"10.{k // 65536}.{k // 256 % 256}.{k % 256} user{k}@x.org" for k in range(60000))
+    began = time.perf_counter()
+    assert len(find(text, to)) == 120000
+    text = " ".join(f"token=abcdefgh{k} Zq8rT2kLm5Wp9XvB3n{k:05d}" for k in range(40000))
+    assert len(candidates(text)) == 80000
+    assert time.perf_counter() - began < 30
+
+
+def test_dates_keep_their_style():
+    to = lambda x, n, t: permute(x, n, TEST_KEY, t)
+    for text in ("1/2/1990", "2001-3-4", "12.11.1999", "01/02/1990"):
+        ((_, _, kind, new),) = find(text, to)
+        parts, padded = re.split("[-/.]", new), not re.search(r"(?<!\d)\d(?!\d)", text)
+        assert kind == "date" and all(not x.startswith("0") for x in parts) or padded and all(len(x) in (2, 4) for x in parts)
+
+
+def test_ownership_matches_sql(spark):
+    import duckdb
+
+    rng = random.Random(23)
+    rows = [(rng.randrange(12), f"r{rng.randrange(9)}" if rng.random() < 0.9 else None, f"o{rng.randrange(4)}" if rng.random() < 0.9 else None) for _ in range(400)]
+    schema = "hash long, repo string, owner string"
+    found = spark.createDataFrame(rows, schema).toPandas()  # noqa: F841
+    want = duckdb.sql("select hash, count(*) as n_rows, count(distinct coalesce(repo, '-')) as n_repos, count(distinct coalesce(owner, '-')) as n_owners from found group by 1").fetchall()
+    assert sorted(tuple(r) for r in ownership(spark.createDataFrame(rows, schema)).select("hash", "n_rows", "n_repos", "n_owners").collect()) == sorted(want)
+    # Few owners but very many repositories: a template, not a credential.
+    value = "Zq8rT2kLm5Wp9XvB3nYc7"
+    docs = spark.createDataFrame([(k, f"see {value}", f"r{k}", "o") for k in range(15)], "doc_id long, text string, repo string, owner string")
+    assert {r.spans for r in secrets(docs, repo_col="repo", owner_col="owner").collect()} == {""}
+    assert {r.n_owned for r in secrets(docs.limit(5), repo_col="repo", owner_col="owner").collect()} == {1}
+
+
+def test_deep_and_named_elements():
+    began = time.perf_counter()
+    assert main_text("<div>" * 40000 + "Some text, here. It is long." + "</div>" * 40000) == "Some text, here. It is long."
+    assert main_text("<div>" * 30000 + "</p>" * 30000) == ""
+    assert time.perf_counter() - began < 20
+    text = "An article, it is. Long, long, long."
+    page = f'<body><div class="content-search-results"><p>{text}</p><p class="share-of-market">Share, of it.</p><p><math>x = y</math>, so.</p></div><div class="site-footer">Foot, er.</div><div id="copyright">2020, all.</div></body>'
+    assert main_text(page) == f"{text} Share, of it. x = y, so."
+
+
 def test_licence_variants(spark):
     texts = ["LICENSED under the Apache Licence, v2.0!", "hello\nReleased under the MIT License.\nbye", "Copyright (c) 2020 A\nLicensed under CC BY-NC 4.0", "MIT is a school"]
     got = {(r.doc_id, r.license, r.n_text, r.n_line) for r in licenses(_docs(spark, texts)).collect()}
     assert got == {(0, "Apache-2.0", 1, 1), (1, "MIT", 0, 1), (2, "CC-BY-NC-4.0", 1, 1), (3, None, 0, 0)}
 
 
+def test_vectors_of_extreme_lengths(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.01e200]), (3, [1e-200, 1e-200]), (4, [1e-200, 5e-200]), (5, [3e-320, 3e-320]), (6, [-1e300, 1e300])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1, True), 2: (3, 1, False), 3: (3, 1, False), 4: (0, 4, True), 5: (3, 1, False), 6: (0, 6, True)}
+
+
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(7)
     centres = rng.normal(size=(30, 32))
@@ -288,3 +418,7 @@ def test_vectors_match_brute_force(spark):
     got = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=4).collect()}
     found = np.array([got[k].n_links for k in range(len(x))])
     assert (found <= near.sum(1)).all() and found.sum() >= 0.98 * near.sum()
+    want = union_find([(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True)])
+    if (found == near.sum(1)).all():
+        assert all(got[k].component_id == want.get(k, k) for k in range(len(x)))
+    assert all(got[k].kept == (got[k].component_id == k) and got[got[k].component_id].kept for k in range(len(x)))
