@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.arrays import U64, joined, mix, slices
+from simloom.llm.arrays import U64, joined, kept, mix, slices, tidy
 
 Q, WINDOW, STRIDE, BUDGET, PLACES = 8, 50, 4, 0.12, 4
-#: Pairs of equal q-grams counted at once.
-BLOCK_PAIRS = 1 << 19
+#: Text bytes worked on and pairs of equal q-grams counted at once.
+SLICE_BYTES, BLOCK_PAIRS = 1 << 18, 1 << 17
 #: Normalised characters of benchmark items that one pass holds; a larger
 #: benchmark takes more passes over the documents.
 PASS_CHARS = 4_000_000
@@ -217,10 +217,6 @@ class Windows:
         return least >> bits, low + (least & (one - 1)), low + m + best
 
 
-#: The index of the last items that this worker scanned for.
-_index: dict[tuple, Windows] = {}
-
-
 def _scan(items: list[tuple[int, str]], q: int, window: int, budget: float, stride: int):
     digest = hashlib.sha256(repr(items).encode("utf-8", "surrogatepass")).hexdigest()
     # Items below a q-gram are leaked by texts that are nothing else.
@@ -233,14 +229,10 @@ def _scan(items: list[tuple[int, str]], q: int, window: int, budget: float, stri
             short.setdefault(plain, []).append(item)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = (digest, q, window, budget, stride)
-        if known not in _index:
-            _index.clear()
-            _index[known] = Windows(items, q, window, budget, stride)
-        index = _index[known]
+        index = kept(("windows", digest, q, window, budget, stride), lambda: Windows(items, q, window, budget, stride))
         owners, windows = np.unique(index.owner, return_counts=True)
         total = dict(zip(owners.tolist(), windows.tolist(), strict=True))
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE_BYTES):
             chars, ends, places = normalised(*joined(part.column(1)))
             rows: dict[tuple[int, int], list] = {}
             for found in index.candidates(chars, ends):
@@ -259,15 +251,15 @@ def _scan(items: list[tuple[int, str]], q: int, window: int, budget: float, stri
                         rows[text, item] = [int(letters[0]), int(letters[-1]) + 1, 0, {0}]
                         total[item] = 1
             ids = part.column(0)
-            kept = sorted(rows.items())
+            found_rows = sorted(rows.items())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([ids[t].as_py() for (t, _), _ in kept], pa.int64()),
-                    pa.array([i for (_, i), _ in kept], pa.int64()),
-                    pa.array([r[0] for _, r in kept], pa.int64()),
-                    pa.array([r[1] for _, r in kept], pa.int64()),
-                    pa.array([r[2] for _, r in kept], pa.int64()),
-                    pa.array([len(r[3]) / float(total[i]) for (_, i), r in kept], pa.float64()),
+                    pa.array([ids[t].as_py() for (t, _), _ in found_rows], pa.int64()),
+                    pa.array([i for (_, i), _ in found_rows], pa.int64()),
+                    pa.array([r[0] for _, r in found_rows], pa.int64()),
+                    pa.array([r[1] for _, r in found_rows], pa.int64()),
+                    pa.array([r[2] for _, r in found_rows], pa.int64()),
+                    pa.array([len(r[3]) / float(total[i]) for (_, i), r in found_rows], pa.float64()),
                 ],
                 names=["doc_id", "item_id", "start", "end", "edits", "coverage"],
             )
@@ -316,6 +308,6 @@ def leaks(
     schema = "doc_id long, item_id long, start long, end long, edits long, coverage double"
     out = None
     for items in _passes(benchmark, item_col, item_text_col, pass_chars):
-        now = source.mapInArrow(_scan(items, q, window, budget, stride), schema)
+        now = source.mapInArrow(tidy(_scan(items, q, window, budget, stride), keeps=True), schema)
         out = now if out is None else out.unionByName(now)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)

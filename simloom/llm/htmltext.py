@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.arrays import slices
+from simloom.llm.arrays import slices, tidy
 
 #: Share of the mean fused ratio (weighted by characters) that content has, and
 #: share of the content that an article or main element holds.
@@ -273,4 +273,4 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     ids get a row each; other columns are not read.
     """
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return source.mapInArrow(_run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return source.mapInArrow(tidy(_run), "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

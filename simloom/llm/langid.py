@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.arrays import joined, slices
+from simloom.llm.arrays import joined, kept, slices, tidy
 
 #: Labelled rows that a language's sample is taken from, those with the smallest
 #: hash of the id.  Of these the shortest go in whole, one at least, as long as
@@ -168,9 +168,8 @@ class Parser:
         return out / np.maximum(1, sizes)[:, None], letters
 
 
-@lru_cache(2)
 def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
-    return Parser(dict(samples))
+    return kept(("parser", samples), lambda: Parser(dict(samples)))
 
 
 def _runner(samples: tuple[tuple[str, str], ...]):
@@ -230,6 +229,6 @@ def identify(
     is not held out and teaches nothing.  Other columns are not read.
     """
     samples = tuple(sorted(samples_of(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, parts=parts, held_part=held_part, rows=rows, chars=chars).items()))
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_runner(samples), "doc_id long, lang_pred string, score double")
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_runner(samples), keeps=True), "doc_id long, lang_pred string, score double")
     held = F.coalesce(F.expr(f"crc32(cast(doc_id as string)) % {parts} = {held_part}"), F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")

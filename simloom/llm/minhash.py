@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm.arrays import U64, joined, mix, slices
+from simloom.llm.arrays import U64, joined, mix, slices, tidy
 from simloom.llm.sieve import sieve, sifted
 from simloom.operators.components import connected_components
 from simloom.scratch import Scratch
@@ -173,6 +173,7 @@ def _describe(slots: int, rows: int):
             full = sizes > 0
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * keys.shape[1])]).astype(np.int32)), pa.array(keys[full].reshape(-1)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(one), pa.array(two), lists], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+        _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
     return run
 
@@ -251,7 +252,7 @@ def near_duplicates(
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = scratch.table(source.mapInArrow(_describe(slots, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "described")
+    described = scratch.table(source.mapInArrow(tidy(_describe(slots, rows)), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "described")
     seen = described.drop("bands")
     key = ["n_shingles", "set_a", "set_b"]
     with_words = seen.where("n_shingles > 0 and doc_id is not null")
@@ -259,12 +260,12 @@ def near_duplicates(
     classes = scratch.table(one_each, "classes")
     # A bucket with a single class can link nothing.
     counts = scratch.table(classes.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
-    entries = classes.select("rep", "bands", "n_shingles").mapInArrow(_entries(sieve(counts, F.col("bucket"))), "bucket long, rep long, n_shingles long")
+    entries = classes.select("rep", "bands", "n_shingles").mapInArrow(tidy(_entries(sieve(counts, F.col("bucket")))), "bucket long, rep long, n_shingles long")
     shared = scratch.table(entries.join(counts, "bucket"), "shared")
     reach = scratch.table(shared.groupBy("rep").agg(F.sum("n").alias("reach")), "reach")
     buckets = scratch.table(shared.join(reach, "rep"), "buckets")
     needed = sieve(reach, F.xxhash64("rep"))
-    full = source.select("doc_id", "text", F.xxhash64("doc_id").alias("hash")).mapInArrow(_sets(needed), "doc_id long, prints binary")
+    full = source.select("doc_id", "text", F.xxhash64("doc_id").alias("hash")).mapInArrow(tidy(_sets(needed)), "doc_id long, prints binary")
     sets = scratch.table(full.join(reach.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "sets")
     for done in ("counts", "shared", "reach"):
         scratch.drop(done)
@@ -319,7 +320,7 @@ def _anchored(own: DataFrame, ranked: DataFrame, sets: DataFrame) -> DataFrame:
     ``known``, and with one anchor at most what their masks share plus the
     lesser ``spare``.  ``sets`` holds the members' sets and their anchors'.
     """
-    prints = sets.mapInArrow(_each_print, "print long, doc_id long")
+    prints = sets.mapInArrow(tidy(_each_print), "print long, doc_id long")
     alone = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")).where("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
     known = F.col("n_shingles") - F.coalesce("alone", F.lit(0))
     spare = F.when(F.col("anchor") == F.col("rep"), 0).otherwise(known - F.col("inside"))
@@ -338,7 +339,7 @@ def _each_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _among(sets: DataFrame, ids: DataFrame) -> DataFrame:
     """The sets of ``ids``, and perhaps a few others."""
-    return sets.withColumn("hash", F.xxhash64("doc_id")).mapInArrow(sifted(sieve(ids, F.xxhash64("doc_id"))), "doc_id long, prints binary")
+    return sets.withColumn("hash", F.xxhash64("doc_id")).mapInArrow(tidy(sifted(sieve(ids, F.xxhash64("doc_id")))), "doc_id long, prints binary")
 
 
 def _test(scratch: Scratch, pairs: DataFrame, sets: DataFrame, before: DataFrame | None, percent: int, name: str) -> DataFrame:
@@ -356,7 +357,7 @@ def _test(scratch: Scratch, pairs: DataFrame, sets: DataFrame, before: DataFrame
         .join(sets.select(F.col("doc_id").alias("dst"), F.col("prints").alias("two")), "dst")
         .select("src", "dst", "src_reach", "dst_reach", "one", "two")
     )
-    now = full.mapInArrow(_links(percent), _TESTED)
+    now = full.mapInArrow(tidy(_links(percent)), _TESTED)
     out = scratch.table(now if before is None else before.unionByName(now), f"tested_{name}")
     scratch.drop(f"pairs_{name}")
     return out

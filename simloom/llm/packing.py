@@ -20,7 +20,6 @@ import re
 import zlib
 from bisect import insort
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.arrays import slices
+from simloom.llm.arrays import kept, slices, tidy
 
 CAPACITY = 2048
 #: The id that ends a document.
@@ -263,11 +262,10 @@ class WordIds:
         return ids, np.diff(marks)
 
 
-@lru_cache(1)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    return kept(("tokenizer", path), lambda: Tokenizer.from_file(path))
 
 
 class TextIds:
@@ -334,4 +332,4 @@ def pack(
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     what = "ids array<int>" if with_ids else "ids_crc32 long"
-    return source.mapInArrow(_runner(tokenizer, capacity, end_id, with_ids), f"doc_id long, start long, length long, {what}, doc_tokens long, sequence_id long, offset long")
+    return source.mapInArrow(tidy(_runner(tokenizer, capacity, end_id, with_ids), keeps=True), f"doc_id long, start long, length long, {what}, doc_tokens long, sequence_id long, offset long")

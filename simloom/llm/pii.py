@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.arrays import slices
+from simloom.llm.arrays import slices, tidy
 
 #: A key for tests and the registered query; real ones come from the caller, who keeps them.
 TEST_KEY = b"simloom test key"
@@ -299,4 +299,4 @@ def pseudonymise(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_co
         raise ValueError("pseudonyms need a key")
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(_runner(key), f"doc_id long, text string, spans string, {counts}")
+    return source.mapInArrow(tidy(_runner(key)), f"doc_id long, text string, spans string, {counts}")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from simloom.llm.arrays import tidy
 from simloom.operators.components import connected_components, union_find
 from simloom.scratch import Scratch
 
@@ -204,7 +205,7 @@ def near_vectors(
     size, common = min(prefix, len(chosen)), min(shared, prefix, len(chosen))
     # Classes that share no key with another are done; the others' keys carry no vectors yet.
     postings = scratch.table(
-        classes.select("label", "rep", "copies", "vector").mapInArrow(_index(chosen, size, common), "label string, rep long, copies long, key long, mask long"), "postings"
+        classes.select("label", "rep", "copies", "vector").mapInArrow(tidy(_index(chosen, size, common)), "label string, rep long, copies long, key long, mask long"), "postings"
     )
     lists = postings.groupBy("label", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block)
@@ -219,7 +220,7 @@ def near_vectors(
     # In a cell of two blocks, pairs within a block belong to that block's own cell.
     spread = spread.withColumn("same", F.col("same").cast("int"))
     full = spread.join(classes.select("rep", "vector"), "rep").select("cell", "rep", "copies", "key", "mask", "block", "same", "vector")
-    found = scratch.table(full.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verify(cosine, common), "kind long, x long, y long"), "found")
+    found = scratch.table(full.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(_verify(cosine, common)), "kind long, x long, y long"), "found")
     scratch.drop("postings")
     sums = found.where("kind = 0").groupBy("x").agg(F.sum("y").alias("n")).withColumnRenamed("x", "rep")
     groups = connected_components(found.where("kind = 1").select(F.col("x").alias("src"), F.col("y").alias("dst")), scratch=scratch)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from simloom.llm.arrays import slices
+from simloom.llm.arrays import slices, tidy
 from simloom.scratch import Scratch
 
 # The base kinds in the order in which they are listed.
@@ -123,7 +123,7 @@ def secrets(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), column(repo_col).cast("string").alias("repo"), column(owner_col).cast("string").alias("owner")
     )
     base = "n_assign long, n_access long, n_hex long, base_sha256 string"
-    seen = scratch.table(source.mapInArrow(_scan, f"key long, doc_id long, repo string, owner string, {base}, found {_FOUND}"), "seen")
+    seen = scratch.table(source.mapInArrow(tidy(_scan), f"key long, doc_id long, repo string, owner string, {base}, found {_FOUND}"), "seen")
     each = seen.where(F.size("found") > 0).select("key", "repo", "owner", F.explode("found").alias("s")).select("key", "repo", "owner", "s.*")
     owned = ownership(each.select("hash", "repo", "owner"))
     copied = (F.col("n_owners") >= copied_by) | (F.col("n_repos") >= copied_in)
@@ -181,7 +181,7 @@ def redact(
     text = F.col(text_col).cast("string")
     source = docs.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"))
     seen = scratch.table(
-        source.mapInArrow(_scan, f"key long, doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found {_FOUND}")
+        source.mapInArrow(tidy(_scan), f"key long, doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found {_FOUND}")
         .where(F.size("found") > 0)
         .select("repo", "owner", F.explode("found").alias("s"))
         .select("repo", "owner", "s.hash", "s.kind", "s.bits"),
@@ -200,10 +200,10 @@ def redact(
     else:
         # Which tokens are owned travels with the text's own hashes; null texts have none and are spread out.
         key = F.when(F.col("text").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("text"))
-        tagged = scratch.table(rows.where("text is not null").select(F.xxhash64("text").alias("key"), "text").mapInArrow(_hashes, "key long, hash long"), "tagged")
+        tagged = scratch.table(rows.where("text is not null").select(F.xxhash64("text").alias("key"), "text").mapInArrow(tidy(_hashes), "key long, hash long"), "tagged")
         per_text = tagged.join(owned, "hash", "left_semi").groupBy("key").agg(F.collect_set("hash").alias("owned_hashes"))
         rows = rows.withColumn("key", key).join(per_text, "key", "left").select("row", "text", "owned_hashes")
-    out = rows.mapInArrow(_cut, schema)
+    out = rows.mapInArrow(tidy(_cut), schema)
     back = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != flag_col]
     return out.select(*back, F.col("redacted").alias(flag_col))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.arrays import slices
+from simloom.llm.arrays import slices, tidy
 
 #: Labelled rows that the models are learned from, at most; those with the smallest hash of the id.
 TRAIN_ROWS = 4000
@@ -336,6 +336,6 @@ def toxicity(
     """
     rows = train_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, parts=parts, held_part=held_part, limit=limit)
     model = learn(rows, trigrams=corpus_trigrams(docs, id_col=id_col, text_col=text_col, parts=parts, held_part=held_part))
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scorer(model), "doc_id long, score double")
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_scorer(model)), "doc_id long, score double")
     held = F.coalesce(F.expr(f"crc32(cast(doc_id as string)) % {parts} = {held_part}"), F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
