@@ -33,8 +33,8 @@ from simloom.llm.arrays import kept, slices, tidy
 CAPACITY = 2048
 #: The id that ends a document.
 END_ID = 1
-#: Ids held before a block is packed, and words whose ids a worker remembers.
-BLOCK_IDS, KNOWN_WORDS = 1 << 21, 300_000
+#: Text bytes whose new words are learned together, ids held before a block is packed, and words whose ids a worker remembers.
+SLICE_BYTES, BLOCK_IDS, KNOWN_WORDS = 1 << 20, 1 << 21, 300_000
 
 
 def closest_fill(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -196,7 +196,7 @@ class WordIds:
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = _tokenizer(path)
+        self.tokenizer = _tokenizer(path)[0]
         self._forget()
 
     def _forget(self) -> None:
@@ -206,18 +206,20 @@ class WordIds:
 
     def _learn(self, unseen: list[str]) -> None:
         """Ids of words: of letters and then marks by the model alone, of others by the whole tokenizer."""
-        others, parts = [], {}
+        others, parts, plain = [], {}, []
         for word in unseen:
-            m = _SIMPLE.fullmatch(word)
-            if m:
+            if word.isascii() and word.isalpha() and word.islower():
+                plain.append(word)
+            elif m := _SIMPLE.fullmatch(word):
                 parts[word] = m.groups()
             else:
                 others.append(word)
         # A run of marks may stand alone as well as behind letters.
         others = list(dict.fromkeys([*others, *(tail for _, tail in parts.values() if tail not in self.known)]))
         self._put(others, [got.ids for got in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)])
-        cores = [x for x in dict.fromkeys(core for core, _ in parts.values()) if x not in self.known]
         tokenize = self.tokenizer.model.tokenize
+        self._put(plain, [[t.id for t in tokenize(x)] for x in plain])
+        cores = [x for x in dict.fromkeys(core for core, _ in parts.values()) if x not in self.known]
         self._put(cores, [[t.id for t in tokenize(x if x.isascii() else x.encode().decode("latin-1").translate(_BYTES))] for x in cores])
         both = [(word, self.known[core], self.known[tail]) for word, (core, tail) in parts.items() if tail]
         if both:
@@ -230,8 +232,6 @@ class WordIds:
 
     def _append(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
         k, n = len(self.known), len(words)
-        if len(sizes) != n or len(set(words).difference(self.known)) != n:
-            raise AssertionError("a word was learned twice")
         while k + n > len(self.begin):
             self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
         while self.used + len(ids) > len(self.pool):
@@ -241,6 +241,8 @@ class WordIds:
         self.begin[k : k + n] = self.used + np.cumsum(sizes) - sizes
         self.used += len(ids)
         self.known.update(zip(words, range(k, k + n), strict=True))
+        if len(self.known) != k + n:
+            raise AssertionError("a word was learned twice")
 
     def _gather(self, codes: np.ndarray) -> np.ndarray:
         """Ids of the words with these numbers, end to end."""
@@ -255,7 +257,7 @@ class WordIds:
         split = [_plain(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         flat = [w for of in split for w in of]
         if unseen := set(flat).difference(self.known):
-            self._learn(sorted(unseen))
+            self._learn(list(unseen))
         codes = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         ids, ends = self._gather(codes), np.cumsum(self.size[codes])
         marks = np.concatenate([np.zeros(1, np.int64), ends])[np.cumsum([0, *map(len, split)])]
@@ -265,14 +267,14 @@ class WordIds:
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    return kept(("tokenizer", path), lambda: Tokenizer.from_file(path))
+    return kept(("tokenizer", path), lambda: (Tokenizer.from_file(path), ids_by_words(path)))
 
 
 class TextIds:
     """Ids of whole texts by any other tokenizer."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = _tokenizer(path)
+        self.tokenizer = _tokenizer(path)[0]
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         lists = [got.ids for got in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
@@ -282,7 +284,7 @@ class TextIds:
 
 def _runner(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(path) if ids_by_words(path) else TextIds(path)  # what it remembers goes with the task
+        encode = WordIds(path) if _tokenizer(path)[1] else TextIds(path)  # what it remembers goes with the task
         rows: list[tuple] = []
 
         def emit(piece: tuple, sequence: int, offset: int) -> None:
@@ -299,7 +301,7 @@ def _runner(path: str, capacity: int, end_id: int, with_ids: bool):
             return pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "length", "ids" if with_ids else "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         held = 0
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE_BYTES):
             ids, counts = encode(part.column(1).to_pylist())
             ends = np.cumsum(counts + 1)
             block = np.full(int(ends[-1]) if len(ends) else 0, end_id, np.uint32)
