@@ -264,14 +264,14 @@ def _perm_sql(n, strata=False):
     return _PERM.format(n=n + 1, u=u, s="label, " if strata else "", b=", label" if strata else "", j=" join (select id, label from v) using (id)" if strata else "")
 
 
-@query("r2_mantel_test", f"with {_TWO}, {_perm_sql(20)} select {r_sql('(select abs(r) from rr where perm = 0)')} as r, {r_sql('(count(*) filter (abs(r) >= (select abs(r) from rr where perm = 0)) + 1) / (count(*) + 1)')} as p from rr where perm > 0")
+@query("r2_mantel_test", f"with {_TWO}, {_perm_sql(1000)} select {r_sql('(select abs(r) from rr where perm = 0)')} as r, {r_sql('(count(*) filter (abs(r) >= (select abs(r) from rr where perm = 0)) + 1) / (count(*) + 1)')} as p from rr where perm > 0")
 def r2(spark, d):
-    return R.mantel(*_two(spark, d), vectors(spark, d).select("id"), 20).select(r6(F.col("r")).alias("r"), r6(F.col("p")).alias("p"))
+    return R.mantel(*_two(spark, d), vectors(spark, d).select("id"), 1000).select(r6(F.col("r")).alias("r"), r6(F.col("p")).alias("p"))
 
 
-@query("r4_mantel_within_strata", f"with {_TWO}, {_perm_sql(20, True)} select {r_sql('(select r from rr where perm = 0)')} as r, {r_sql('(count(*) filter (r >= (select r from rr where perm = 0)) + 1) / (count(*) + 1)')} as p from rr where perm > 0")
+@query("r4_mantel_within_strata", f"with {_TWO}, {_perm_sql(1000, True)} select {r_sql('(select r from rr where perm = 0)')} as r, {r_sql('(count(*) filter (r >= (select r from rr where perm = 0)) + 1) / (count(*) + 1)')} as p from rr where perm > 0")
 def r4(spark, d):
-    return R.mantel(*_two(spark, d), vectors(spark, d).select("id", "label"), 20, two_sided=False, strata="label").select(r6(F.col("r")).alias("r"), r6(F.col("p")).alias("p"))
+    return R.mantel(*_two(spark, d), vectors(spark, d).select("id", "label"), 1000, two_sided=False, strata="label").select(r6(F.col("r")).alias("r"), r6(F.col("p")).alias("p"))
 
 
 @query("r7_bh_fdr", f"with k as (select o_orderpriority as g, o_orderkey, {u_sql('''concat_ws('|', 'p', o_orderkey)''')} * (o_totalprice / 600000) as p from orders), r as (select *, row_number() over (partition by g order by p) as rk, count(*) over (partition by g) as m from k), a as (select g, o_orderkey, least(min(p * m / rk) over (partition by g order by rk desc rows unbounded preceding), 1) as a from r) select g, o_orderkey, {r_sql('a')} as p_adjusted, a <= 0.05 as rejected from a")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from simloom.functions.hashing import r6
 from simloom.operators import correlation as R
+from simloom.operators import kernels as K
 from simloom.operators import spectral as S
+from simloom.operators.permuted import rsa_test
 from simloom.plans.registry import CELLS_SQL, query, r_sql, table, u_sql, vectors
 from simloom.sources import readers
 from simloom.streaming.cooccurrence import transitions
@@ -156,16 +158,23 @@ def r9(spark, d):
     return R.bh_adjust(p.withColumn("g", F.lit(0)), "p", ["g"]).select("dim", "r", "p", "p_adjusted", "rejected")
 
 
-@query("r6_rsa_test", f"with v as (select vec_id::bigint as id, embedding::double[] as v, label from embeddings), p as (select a.id as i, b.id as j, list_distance(a.v, b.v) as y, unnest(range(1, 5)) as dim, unnest(a.v[1:4]) * 0 + 0 as z from v a join v b on a.id < b.id), q as (select p.i, p.j, p.dim, y, a.v[dim] * b.v[dim] as x from p join v a on a.id = p.i join v b on b.id = p.j) select dim, {r_sql('abs(corr(x, y))')} as r from q group by 1")
+# A permuted feature's sum over pairs is the form x' S x; sums of x and its squares don't change.
+_RSA = f"""{CELLS_SQL}, d as (select a.id as a, b.id as b, list_distance(a.v, b.v) as y from v a, v b where a.id <> b.id),
+s as (select row_number() over (order by a) as k, row from (select a, list(y order by b) as row from (select * from d union all select id, id, 0.0 from v) group by 1)),
+y as (select count(*) as n, sum(y) as y, sum(y * y) as yy from d where a < b), x as (select dim, (sum(x) * sum(x) - sum(x * x)) / 2 as x, (sum(x * x) * sum(x * x) - sum(x * x * x * x)) / 2 as xx from c group by 1),
+dr as (select id, perm, case when perm > 0 then {u_sql("concat_ws('|', 'perm0', perm, id)")} else 0 end as u from v, range(PERMS + 1) as q(perm)),
+ka as (select perm, id, row_number() over (partition by perm order by id) as k from dr), kb as (select perm, id as t, row_number() over (partition by perm order by u, id) as k from dr),
+z as (select perm, dim, list(x order by t) as z from ka join kb using (perm, k) join c using (id) group by 1, 2), f as (select perm, dim, sum(z[k] * list_dot_product(z, row)) / 2 as xy from z, s group by 1, 2),
+r as (select perm, dim, abs((xy - x * y / n) / sqrt((xx - x * x / n) * (yy - y * y / n))) as r from f join x using (dim), y),
+o as (select dim, r as observed from r where perm = 0), p as (select dim, observed as r, (count(*) filter (r.r >= observed) + 1) / (count(*) + 1) as p from r join o using (dim) where perm > 0 group by 1, 2),
+k as (select *, row_number() over (order by p) as rk, count(*) over () as m from p), j as (select dim, r, p, least(min(p * m / rk) over (order by rk desc rows unbounded preceding), 1) as a from k)"""
+
+
+@query("r6_rsa_test", f"with {_RSA.replace('PERMS', '1000')} select dim, {r_sql('r')} as r, {r_sql('p')} as p, {r_sql('a')} as p_adjusted, a <= 0.05 as rejected from j")
 def r6_(spark, d):
-    """Observed correlations of four features' product matrices with the distances; the null is ``mantel``'s."""
-    from simloom.operators import kernels as K
-
-    v = vectors(spark, d)
-    y = K.pairs(v.select("id", "v"), "euclidean", kind="distance").withColumnRenamed("s", "y")
-    c = v.select("id", F.posexplode(F.slice("v", 1, 4)).alias("p", "x")).select("id", (F.col("p") + 1).cast("long").alias("dim"), "x")
-    x = y.join(c.select(F.col("id").alias("i"), "dim", F.col("x").alias("a")), "i").join(c.select(F.col("id").alias("j"), "dim", F.col("x").alias("b")), ["j", "dim"])
-    return x.groupBy("dim").agg(r6(F.abs(F.corr(F.col("a") * F.col("b"), "y"))).alias("r"))
+    """Each feature's product matrix against the distances of all features."""
+    v = vectors(spark, d).select("id", "v")
+    return rsa_test(v, K.pairs(v, "euclidean", kind="distance"), 1000).select("dim", *(r6(F.col(c)).alias(c) for c in ("r", "p", "p_adjusted")), "rejected")
 
 
 @query("r12_dimension_reliability", f"with {CELLS_SQL}, h as (select id, dim, x, {u_sql('''concat_ws('|', 'half', id)''')} < 0.5 as h from c), a as (select p.dim as d1, q.dim as d2, corr(p.x, q.x) filter (p.h) as ra, corr(p.x, q.x) filter (not p.h) as rb from h p join h q on p.id = q.id where p.dim <= 32 and q.dim > 32 group by 1, 2), m as (select d1, d2, rb from a qualify row_number() over (partition by d1 order by abs(ra) desc, d2) = 1) select d1 as dim, d2 as match, {r_sql('2 * abs(rb) / (1 + abs(rb))')} as reliability from m")
