@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from simloom.functions.numeric import hungarian
+
 
 def metrics(df: DataFrame, true: str, found: str) -> DataFrame:
-    """``purity, ari, nmi`` of two labellings, from their contingency table."""
+    """``purity, ari, nmi, entropy`` of two labellings, from their contingency table; the entropy of classes in clusters is 0 to 1."""
     n = df.groupBy(F.col(true).alias("t"), F.col(found).alias("p")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     full = n.withColumn("a", F.sum("n").over(Window.partitionBy("t"))).withColumn("b", F.sum("n").over(Window.partitionBy("p"))).withColumn("s", F.sum("n").over(Window.partitionBy()))
     full = full.withColumn("best", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("n")))).withColumn("ka", F.count(F.lit(1)).over(Window.partitionBy("t"))).withColumn("kb", F.count(F.lit(1)).over(Window.partitionBy("p")))
@@ -21,18 +24,61 @@ def metrics(df: DataFrame, true: str, found: str) -> DataFrame:
         F.sum(F.col("n") / F.col("s") * F.log(F.col("n") * F.col("s") / (F.col("a") * F.col("b")))).alias("mi"),
         (-F.sum(F.col("n") / F.col("s") * F.log(F.col("a") / F.col("s")))).alias("ht"),
         (-F.sum(F.col("n") / F.col("s") * F.log(F.col("b") / F.col("s")))).alias("hp"),
+        (-F.sum(F.col("n") * F.log2(F.col("n") / F.col("b")))).alias("mixed"),
+        F.count_distinct("t").alias("classes"),
     )
     chance = F.col("x") * F.col("y") / (F.col("s") * (F.col("s") - 1) / 2)
-    return out.select((F.col("top") / F.col("s")).alias("purity"), ((F.col("i") - chance) / ((F.col("x") + F.col("y")) / 2 - chance)).alias("ari"), (F.col("mi") / ((F.col("ht") + F.col("hp")) / 2)).alias("nmi"))
+    return out.select((F.col("top") / F.col("s")).alias("purity"), ((F.col("i") - chance) / ((F.col("x") + F.col("y")) / 2 - chance)).alias("ari"), (F.col("mi") / ((F.col("ht") + F.col("hp")) / 2)).alias("nmi"), (F.col("mixed") / (F.col("s") * F.log2("classes"))).alias("entropy"))
+
+
+def mapped_accuracy(df: DataFrame, true: str, found: str, most: int = 2000) -> DataFrame:
+    """``accuracy``: share of rows whose cluster is assigned to their label, by the assignment with most rows.
+
+    Rows with a null label count as wrong; over ``most`` labels or clusters raise an error.
+    """
+    n = df.groupBy(F.col(true).alias("t"), F.col(found).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = n.agg(F.count_distinct("t").alias("t"), F.count_distinct("p").alias("p")).first()
+    if max(sizes) > most:
+        raise ValueError("more labels than the assignment holds")
+    rows = n.collect()
+    kept = [r for r in rows if r.t is not None and r.p is not None]
+    t, p = ({v: k for k, v in enumerate(sorted({r[c] for r in kept}))} for c in ("t", "p"))
+    count = np.zeros((max(len(t), len(p)),) * 2)
+    for r in kept:
+        count[t[r.t], p[r.p]] = r.n
+    right = count[np.arange(len(count)), hungarian(-count)].sum() if kept else 0.0
+    total = sum(r.n for r in rows)
+    return df.sparkSession.createDataFrame([(float(right / total) if total else None,)], "accuracy double")
+
+
+def width_bins(df: DataFrame, bins: int | None = None) -> DataFrame:
+    """``id, dim, b``: equally wide bins of each dimension, as many as given or by Freedman and Diaconis (2 to 50; 5 without spread)."""
+    quartile = lambda q: F.percentile("x", F.lit(q))
+    ends = df.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("top"), (quartile(0.75) - quartile(0.25)).alias("iqr"), F.count(F.lit(1)).alias("n"))
+    rule = F.ceil((F.col("top") - F.col("lo")) / (2 * F.col("iqr") * F.pow(F.col("n").cast("double"), F.lit(-1.0 / 3))))
+    nb = F.lit(max(2, bins)) if bins else F.when(F.col("iqr") <= 0, 5).otherwise(F.greatest(F.least(rule, F.lit(50)), F.lit(2)))
+    width = (F.col("top") + 1e-12 - F.col("lo")) / F.col("nb")
+    return df.join(ends.withColumn("nb", nb), "dim").select("id", "dim", F.least(F.floor((F.col("x") - F.col("lo")) / width), F.col("nb") - 1).alias("b"))
+
 
+def mutual_information(df: DataFrame, bins: int | None = 10, *, normalize: str | None = None) -> DataFrame:
+    """``d1, d2, mi`` of each pair of dimensions: over equally full bins, or without ``bins`` over those of ``width_bins``.
 
-def mutual_information(df: DataFrame, bins: int) -> DataFrame:
-    """``d1, d2, mi`` in nats of each pair of dimensions over equally full bins."""
-    b = df.select("id", "dim", (F.ntile(bins).over(Window.partitionBy("dim").orderBy("x", "id")) - 1).alias("b"))
+    In nats, or over the root of the product of the entropies (``sqrt``) or the lesser of them (``min``).
+    """
+    if normalize not in (None, "sqrt", "min"):
+        raise ValueError(f"unknown normalisation {normalize!r}; there are sqrt, min")
+    b = df.select("id", "dim", (F.ntile(bins).over(Window.partitionBy("dim").orderBy("x", "id")) - 1).alias("b")) if bins else width_bins(df)
     two = b.select("id", F.col("dim").alias("d2"), F.col("b").alias("q"))
     j = b.select("id", F.col("dim").alias("d1"), F.col("b").alias("p")).join(two, "id").where("d1 < d2").groupBy("d1", "d2", "p", "q").agg(F.count(F.lit(1)).cast("double").alias("n"))
     over = lambda *c: F.sum("n").over(Window.partitionBy("d1", "d2", *c))
-    return j.withColumn("s", over()).withColumn("r", over("p")).withColumn("c", over("q")).groupBy("d1", "d2").agg(F.sum(F.col("n") / F.col("s") * F.log(F.col("n") * F.col("s") / (F.col("r") * F.col("c")))).alias("mi"))
+    share = lambda top, low: F.sum(F.col("n") / F.col("s") * F.log(top / low))
+    full = j.withColumn("s", over()).withColumn("r", over("p")).withColumn("c", over("q")).groupBy("d1", "d2")
+    mi = full.agg(share(F.col("n") * F.col("s"), F.col("r") * F.col("c")).alias("mi"), share(F.col("s"), F.col("r")).alias("h1"), share(F.col("s"), F.col("c")).alias("h2"))
+    if normalize is None:
+        return mi.drop("h1", "h2")
+    below = F.sqrt(F.greatest(F.col("h1") * F.col("h2"), F.lit(1e-12))) if normalize == "sqrt" else F.greatest(F.least("h1", "h2"), F.lit(1e-12))
+    return mi.select("d1", "d2", F.greatest(F.least(F.col("mi") / below, F.lit(1.0)), F.lit(0.0)).alias("mi"))
 
 
 def tfidf(docs: DataFrame, key: str, text: str, *, features: int, token: str, least_df: int = 2, most_df: float = 0.95) -> DataFrame:

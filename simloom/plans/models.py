@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from simloom.functions.hashing import r6
 from simloom.operators import curves as C
 from simloom.operators import spectral as S
+from simloom.operators.correlation import ranked
+from simloom.operators.probes import nested_cv
 from simloom.plans.registry import CELLS_SQL, V_SQL, cells, query, r_sql, table, u_sql, vectors
 
 N, K = 60, 6
@@ -127,51 +129,23 @@ def p6(spark, d):
     return c.where("lo > 50 and hi > 50").join(F.broadcast(a), "dim").groupBy("id").agg(r6(p).alias("projection"))
 
 
-def _ridge_fold(pdf):
-    import pandas as pd
-
-    x, y = np.array(pdf.v.tolist(), float), pdf.label.to_numpy(float)
-    out = []
-    fold = pdf.fold.to_numpy()
-    for f in range(5):
-        tr, te = fold != f, fold == f
-        if not te.any():
-            continue
-        m, s = x[tr].mean(0), x[tr].std(0)
-        a, b = (x[tr] - m) / np.where(s == 0, 1, s), (x[te] - m) / np.where(s == 0, 1, s)
-        inner = np.arange(tr.sum()) % 3
-        alphas = np.logspace(-4, 2, 13)
-
-        def fit(a, y, k):
-            return np.linalg.solve(a.T @ a + k * np.eye(a.shape[1]), a.T @ (y - y.mean())), y.mean()
-
-        loss = []
-        for k in alphas:
-            e = 0.0
-            for g in range(3):
-                w, c = fit(a[inner != g], y[tr][inner != g], k)
-                e += np.square(a[inner == g] @ w + c - y[tr][inner == g]).sum()
-            loss.append(e)
-        w, c = fit(a, y[tr], alphas[int(np.argmin(loss))])
-        out.append(pd.DataFrame({"id": pdf.id.to_numpy()[te], "fold": f, "label": y[te], "predicted": b @ w + c}))
-    return pd.concat(out)
+def _probe(spark, d):
+    return vectors(spark, d).select("id", "v", F.col("label").cast("double").alias("y"))
 
 
 @query("p7_ridge_probe")
 def p7(spark, d):
-    """Out-of-fold ridge predictions of the label; a probe's table is small, so one task holds it."""
-    v = vectors(spark, d).withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(5)))
-    return v.groupBy(F.lit("probe").alias("probe")).applyInPandas(_ridge_fold, "id long, fold long, label double, predicted double")
+    """Out-of-fold ridge predictions of the label; three inner folds choose the penalty."""
+    return nested_cv(_probe(spark, d), "ridge", inner=3)[0].select("id", F.col("fold").cast("long").alias("fold"), F.col("y").alias("label"), "predicted")
 
 
 @query("p8_lasso_probe")
 def p8(spark, d):
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import LinearRegression
-
-    v = vectors(spark, d).select(array_to_vector("v").alias("features"), F.col("label").cast("double").alias("label"))
-    w = LinearRegression(regParam=0.05, elasticNetParam=1.0).fit(v).coefficients.toArray().tolist()
-    return spark.createDataFrame([(k + 1, float(x), abs(x) > 1e-5) for k, x in enumerate(w)], "dim long, weight double, active boolean")
+    """Rank correlation of out-of-fold lasso predictions with the label, and how many dimensions the models use."""
+    found, models = nested_cv(_probe(spark, d), "lasso")
+    both = ranked(ranked(found, "predicted", "a", "a"), "y", "b", "b")
+    used = models.agg(F.avg("active").alias("active"), F.first(F.size("weights")).cast("long").alias("total_dims"))
+    return both.agg(F.corr("a", "b").alias("correlation")).crossJoin(F.broadcast(used)).select("correlation", F.col("active").alias("avg_active_dims"), "total_dims", (1 - F.col("active") / F.col("total_dims")).alias("sparsity_ratio"))
 
 
 _CLUSTER = f"{V_SQL}, l as (select label as t, (list_position(v, list_max(v)) - 1) % 10 as p from v), n as (select t, p, count(*) as n from l group by 1, 2), s as (select sum(n) as s from n), a as (select t, sum(n) as a from n group by 1), b as (select p, sum(n) as b from n group by 1)"
@@ -181,11 +155,18 @@ def _clusters(spark, d):
     return vectors(spark, d).select(F.col("label").alias("t"), ((F.array_position("v", F.array_max("v")) - 1) % 10).alias("p"))
 
 
-@query("a14_cluster_metrics", f"with {_CLUSTER}, i as (select sum(n * (n - 1) / 2) as i from n), x as (select sum(a * (a - 1) / 2) as x from a), y as (select sum(b * (b - 1) / 2) as y from b), m as (select sum(n / s * ln(n * s / (a * b))) as mi from n join a using (t) join b using (p), s), ht as (select -sum(a / s * ln(a / s)) as h from a, s), hp as (select -sum(b / s * ln(b / s)) as h from b, s) select {r_sql('(select sum(m) from (select max(n) as m from n group by p)) / (select s from s)')} as purity, {r_sql('(i - x * y / (s * (s - 1) / 2)) / ((x + y) / 2 - x * y / (s * (s - 1) / 2))')} as ari, {r_sql('mi / ((ht.h + hp.h) / 2)')} as nmi from i, x, y, s, m, ht, hp")
+@query("a14_cluster_metrics", f"with {_CLUSTER}, i as (select sum(n * (n - 1) / 2) as i from n), x as (select sum(a * (a - 1) / 2) as x from a), y as (select sum(b * (b - 1) / 2) as y from b), m as (select sum(n / s * ln(n * s / (a * b))) as mi from n join a using (t) join b using (p), s), ht as (select -sum(a / s * ln(a / s)) as h from a, s), hp as (select -sum(b / s * ln(b / s)) as h from b, s) select {r_sql('(select sum(m) from (select max(n) as m from n group by p)) / (select s from s)')} as purity, {r_sql('(i - x * y / (s * (s - 1) / 2)) / ((x + y) / 2 - x * y / (s * (s - 1) / 2))')} as ari, {r_sql('mi / ((ht.h + hp.h) / 2)')} as nmi, {r_sql('(select -sum(n * log2(n / b)) from n join b using (p)) / (s * log2((select count(*) from a)))')} as entropy from i, x, y, s, m, ht, hp")
 def a14(spark, d):
     from simloom.operators.clusters import metrics
 
-    return metrics(_clusters(spark, d), "t", "p").select(*(r6(F.col(c)).alias(c) for c in ("purity", "ari", "nmi")))
+    return metrics(_clusters(spark, d), "t", "p").select(*(r6(F.col(c)).alias(c) for c in ("purity", "ari", "nmi", "entropy")))
+
+
+@query("a14_mapped_accuracy")
+def a14m(spark, d):
+    from simloom.operators.clusters import mapped_accuracy
+
+    return mapped_accuracy(_clusters(spark, d), "t", "p")
 
 
 @query("a15_participation_ratio", f"with {CELLS_SQL}, g as (select a.dim as a, b.dim as b, covar_samp(a.x, b.x) as g from c a join c b using (id) group by 1, 2) select round(pow(sum(g) filter (a = b), 2) / sum(g * g), 4) as participation from g")
@@ -210,6 +191,20 @@ def c4(spark, d):
     return mutual_information(cells(spark, d), 10).select("d1", "d2", r6(F.col("mi")).alias("mi"))
 
 
+_FD = f"""{CELLS_SQL}, e as (select dim, min(x) as lo, max(x) + 1e-12 as hi, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) as iqr, count(*) as n from c group by 1),
+f as (select dim, lo, hi, case when iqr <= 0 then 5 else greatest(least(ceil((hi - 1e-12 - lo) / (2 * iqr * pow(n, -1.0 / 3))), 50), 2) end as nb from e),
+b as (select id, dim, least(floor((x - lo) / ((hi - lo) / nb)), nb - 1) as b from c join f using (dim)),
+j as (select a.dim as d1, b.dim as d2, a.b as p, b.b as q, count(*) as n from b a join b b using (id) where a.dim < b.dim group by 1, 2, 3, 4), t as (select d1, d2, p, q, n::double as n, sum(n) over (partition by d1, d2) as s, sum(n) over (partition by d1, d2, p) as r, sum(n) over (partition by d1, d2, q) as c from j),
+m as (select d1, d2, sum(n / s * ln(n * s / (r * c))) as mi, -sum(n / s * ln(r / s)) as h1, -sum(n / s * ln(c / s)) as h2 from t group by 1, 2)"""
+
+
+@query("c4_normalised_information", f"with {_FD} select d1, d2, {r_sql('greatest(least(mi / sqrt(greatest(h1 * h2, 1e-12)), 1), 0)')} as mi from m")
+def c4n(spark, d):
+    from simloom.operators.clusters import mutual_information
+
+    return mutual_information(cells(spark, d), None, normalize="sqrt").select("d1", "d2", r6(F.col("mi")).alias("mi"))
+
+
 @query("p10_tfidf", "with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) as word from documents), c as (select doc_id, word, count(*) as tf from w group by 1, 2), f as (select word, count(*) as df, sum(tf) as total from c group by 1), n as (select count(*) as n from documents), v as (select word, ln((1 + n) / (1 + df)) + 1 as idf from f, n where df >= 2 and df <= 0.95 * n order by total desc, word limit 1000), x as (select doc_id, word, tf * idf as x from c join v using (word)) select doc_id, word, " + r_sql("x / sqrt(sum(x * x) over (partition by doc_id))") + " as x from x")
 def p10(spark, d):
     from simloom.operators.clusters import tfidf
