@@ -125,6 +125,22 @@ def st1(spark, d):
     return transitions(table(spark, d, "events")).select("start", "event_type", "n", r6(F.col("total")).alias("total"))
 
 
+@query("r13_repetitions", "select user_id as stim, row_number() over (partition by user_id, event_type order by hour(ts) >= 12, event_id) as rep, event_type as channel, value as x from events")
+def r13r(spark, d):
+    """Trials of the morning, then those of the afternoon, as two sessions."""
+    t = table(spark, d, "events").select(F.col("user_id").alias("stim"), F.col("event_id").alias("trial"), F.col("event_type").alias("channel"), F.col("value").alias("x"), F.hour("ts").alias("h"))
+    return readers.repetitions(t.where("h < 12"), t.where("h >= 12"))
+
+
+@query("io11_reliable_channels", "with r as (select event_type, avg(r) as r from (select event_type, event_id % 2 as half, avg(value) as r from events group by 1, 2) group by 1), m as (select avg(r) as m from r) select user_id as stim, event_type as channel, " + r_sql("avg(value)") + " as x from events join r using (event_type), m where r >= m group by 1, 2")
+def io11(spark, d):
+    """Channels whose mean over two halves reaches the mean of all, averaged for each stimulus."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("stim"), F.col("event_type").alias("channel"), F.col("value").alias("x"), (F.col("event_id") % 2).alias("half"))
+    r = e.groupBy("channel", "half").agg(F.avg("x").alias("r"))
+    least = r.groupBy("channel").agg(F.avg("r").alias("r")).agg(F.avg("r")).first()[0]
+    return readers.reliable(e, r, least, average=True).select("stim", "channel", r6(F.col("x")).alias("x"))
+
+
 # Alignment and permutation tests with an assignment inside.
 def _two_runs(spark):
     m = S.dense(S.planted(spark, 60, 6), diagonal=None)[1]

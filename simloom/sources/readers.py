@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +36,29 @@ def triplets(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.text(list(paths)).where("trim(value) != ''").select(*(parts[k].cast("long").alias(c) for k, c in enumerate("abc")))
 
 
+SPLITS = {"train": ("trainset.txt",), "validation": ("validationset.txt",), "train+validation": ("trainset.txt", "validationset.txt")}
+SIZES = {"4.7mio": "triplets_47", "14.7mio": "triplets_147"}
+
+
+@register("triplet_splits")
+def triplet_splits(spark: SparkSession, root: str, *, size: str = "4.7mio", split: str = "train") -> DataFrame:
+    """``a, b, c`` of a split of a triplet set, or of both splits together."""
+    for name, known in ((size, SIZES), (split, SPLITS)):
+        if name not in known:
+            raise ValueError(f"unknown {name!r}; there are {', '.join(known)}")
+    return triplets(spark, *(f"{root}/{SIZES[size]}/{f}" for f in SPLITS[split]))
+
+
+@register("association_strengths")
+def association_strengths(spark: SparkSession, path: str) -> DataFrame:
+    """All columns of a tab-separated file of associations, with ``count`` and ``strength`` of all responses, else of the first."""
+    rows = spark.read.option("sep", "\t").option("header", True).csv(path)
+    c = next((c for c in ("R123", "R1") if f"{c}.Strength" in rows.columns), None)
+    if c is None:
+        raise ValueError("no column of strengths")
+    return rows.withColumns({"count": F.col(f"`{c}`").cast("double"), "strength": F.col(f"`{c}.Strength`").cast("double")})
+
+
 @register("associations")
 def associations(spark: SparkSession, path: str, *, all_responses: bool = False) -> DataFrame:
     """``cue, response, count, strength`` of a tab-separated file; rows without a response go."""
@@ -69,6 +96,62 @@ def json_results(spark: SparkSession, *paths: str, schema: str) -> DataFrame:
     return spark.read.option("mode", "DROPMALFORMED").option("multiLine", True).schema(schema).json(list(paths))
 
 
+@register("matrix")
+def matrix(spark: SparkSession, path: str) -> DataFrame:
+    """``i, j, s`` with i < j of square ``.npy`` files, one file a task; the lower triangle isn't read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                m = np.load(io.BytesIO(content), allow_pickle=False)
+                if m.ndim != 2 or m.shape[0] != m.shape[1]:
+                    raise ValueError("not a square matrix")
+                for i in range(len(m)):
+                    j = np.arange(i + 1, len(m))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), i)), pa.array(j), pa.array(m[i, i + 1 :].astype(float))], names=["i", "j", "s"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "i long, j long, s double")
+
+
+@register("word_vectors")
+def word_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """``id, v`` of white-space separated text; a first line of two numbers, rows and width, is left out."""
+    parts = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).where("trim(value) != ''").select(parts.alias("p")).where(F.size("p") > 2)
+    return rows.select(F.col("p")[0].alias("id"), F.slice("p", F.lit(2), F.size("p") - 1).cast("array<double>").alias("v"))
+
+
+def cached(df_of: Callable[[], DataFrame], spark: SparkSession, path: str, *, force: bool = False) -> DataFrame:
+    """The table at ``path``, which is made from ``df_of()`` where it isn't there yet or if forced.
+
+    A write cut short has no success mark and counts as not there.
+    """
+    context = spark.sparkContext
+    mark = context._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if force or not mark.getFileSystem(context._jsc.hadoopConfiguration()).exists(mark):
+        df_of().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def reliable(responses: DataFrame, reliability: DataFrame, least: float | None = 0.3, *, average: bool = False) -> DataFrame:
+    """``stim, channel, x`` of channels whose reliability, averaged over splits, is at least ``least``.
+
+    ``reliability`` has ``channel, r``, a row for each split.  If averaged, rows
+    of a stimulus become their mean.
+    """
+    kept = reliability.groupBy("channel").agg(F.avg("r").alias("r"))
+    rows = responses.join((kept if least is None else kept.where(F.col("r") >= least)).select("channel"), "channel").select("stim", "channel", "x")
+    return rows.groupBy("stim", "channel").agg(F.avg("x").alias("x")) if average else rows
+
+
+def repetitions(*sessions: DataFrame) -> DataFrame:
+    """``stim, rep, channel, x`` of trials ``stim, trial, channel, x``: repetitions counted from 1, those of later sessions after earlier ones."""
+    tagged = [t.select("stim", F.lit(k).alias("session"), "trial", "channel", "x") for k, t in enumerate(sessions)]
+    rows = reduce(DataFrame.unionByName, tagged)
+    order = Window.partitionBy("stim", "channel").orderBy("session", "trial")
+    return rows.withColumn("rep", F.row_number().over(order).cast("long")).select("stim", "rep", "channel", "x")
+
+
 def run_catalogue(paths: DataFrame, path: str = "path") -> DataFrame:
     """``paths`` with ``stamp``, ``rank`` and ``name`` read from the parts of a path."""
     found = lambda p: F.nullif(F.regexp_extract(path, p, 1), F.lit(""))
