@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from simloom.llm.arrays import tidy
 from simloom.operators.components import connected_components, union_find
@@ -34,8 +35,8 @@ PIVOTS = 64
 PREFIX, SHARED = 7, 3
 #: Vectors in a block of a list.
 BLOCK = 256
-#: Pairs verified at once.
-_PAIRS = 1 << 15
+#: Pairs verified at once, and the components that their vectors may have together.
+_PAIRS, _COMPONENTS = 1 << 15, 1 << 21
 
 
 def _matrix(column: pa.Array) -> list[np.ndarray]:
@@ -106,9 +107,10 @@ def _verify(cosine: float, shared: int):
         begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         after = np.repeat(np.append(begins[1:], len(group)), np.diff(np.append(begins, len(group)))) - np.arange(len(group)) - 1
         ends = np.cumsum(after)
+        most = max(1, min(_PAIRS, _COMPONENTS // max(1, unit.shape[1])))
         at = 0
         while at < len(group):  # so many rows' pairs at once
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
             n = after[at:to]
             i = np.repeat(np.arange(at, to), n)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
@@ -187,9 +189,12 @@ def near_vectors(
     not read; no rows give no rows.
     """
     scratch = Scratch(vectors.sparkSession, "pivots")
-    v = F.col(vector_col).cast("array<double>")
+    # Vectors travel as they are stored where that is narrower; they are compared in double precision.
+    stored = vectors.schema[vector_col].dataType
+    narrow = isinstance(stored, ArrayType) and isinstance(stored.elementType, FloatType)
+    v = F.col(vector_col).cast("array<float>" if narrow else "array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), v.alias("vector"))
-    infinite = F.lit(float("inf"))
+    infinite = F.lit(float("inf")).cast("float" if narrow else "double")
     sound = (
         F.col("vec_id").isNotNull()
         & F.col("label").isNotNull()
