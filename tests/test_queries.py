@@ -12,7 +12,6 @@ from simloom.plans.catalog import QUERIES, SQL, flagship
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="needs the generated tables")
-SLOW = {"g9_katz_walk", "t5_bias_aware_similarity", "g3_strong_component"}
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +37,7 @@ def test_same_rows_as_sql(spark, duck, name):
     assert close == 0
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_others_have_rows(spark, name):
     assert QUERIES[name](spark, str(DATA)).limit(1).count() == 1
 
