@@ -17,6 +17,7 @@ from simloom.llm.pii import TEST_KEY, pseudonymise
 from simloom.llm.pivots import near_vectors
 from simloom.llm.runs import periodic_runs
 from simloom.llm.secrets import secrets
+from simloom.llm.simhash import fingerprints
 from simloom.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,10 +80,15 @@ def op6_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path(), with_ids=False)
 
 
+def op12_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, both fingerprints, near_edited, near_next and n_within for each document."""
+    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_runs, the longest run and two digests for each document, every tenth with a repetition put in."""
     return periodic_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"), plant=True)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pivot_near_dedup, op2_cross_parsing_language, op3_secret_ownership, op4_tag_path_text, op5_benchmark_leaks, op6_bin_slack_packing, op7_license_digests, op8_feistel_pseudonyms, op9_noisy_channel_toxicity, op10_minhash_near_dedup, op13_lyndon_runs)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pivot_near_dedup, op2_cross_parsing_language, op3_secret_ownership, op4_tag_path_text, op5_benchmark_leaks, op6_bin_slack_packing, op7_license_digests, op8_feistel_pseudonyms, op9_noisy_channel_toxicity, op10_minhash_near_dedup, op12_simhash_fingerprints, op13_lyndon_runs)}
 SQL: dict[str, str] = {"op7_license_digests": oracle()}
