@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from simloom.llm.conversations import damaged, repair
 from simloom.llm.decontam import leaks
 from simloom.llm.htmltext import extract
 from simloom.llm.langid import identify
@@ -80,6 +81,11 @@ def op6_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path(), with_ids=False)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, counts of faults, cost, audit and repaired_sha256 for each conversation, damaged first."""
+    return repair(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op12_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints, near_edited, near_next and n_within for each document."""
     return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -90,5 +96,5 @@ def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"), plant=True)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pivot_near_dedup, op2_cross_parsing_language, op3_secret_ownership, op4_tag_path_text, op5_benchmark_leaks, op6_bin_slack_packing, op7_license_digests, op8_feistel_pseudonyms, op9_noisy_channel_toxicity, op10_minhash_near_dedup, op12_simhash_fingerprints, op13_lyndon_runs)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pivot_near_dedup, op2_cross_parsing_language, op3_secret_ownership, op4_tag_path_text, op5_benchmark_leaks, op6_bin_slack_packing, op7_license_digests, op8_feistel_pseudonyms, op9_noisy_channel_toxicity, op10_minhash_near_dedup, op11_conversation_repair, op12_simhash_fingerprints, op13_lyndon_runs)}
 SQL: dict[str, str] = {"op7_license_digests": oracle()}
