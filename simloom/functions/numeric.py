@@ -8,7 +8,12 @@ import numpy as np
 
 
 def hungarian(cost: np.ndarray) -> np.ndarray:
-    """Column assigned to each row of a square or wide matrix at the least total cost.
+    """Column assigned to each row of a square or wide matrix at the least total cost."""
+    return assignment(cost)[0]
+
+
+def assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Column assigned to each row at the least total cost, and the columns' potentials, which prove it.
 
     Shortest augmenting paths with dual potentials, one row at a time.
     """
@@ -35,7 +40,61 @@ def hungarian(cost: np.ndarray) -> np.ndarray:
     for j in range(1, m + 1):
         if owner[j]:
             out[owner[j] - 1] = j - 1
-    return out
+    return out, col_pot[1:]
+
+
+def central_potentials(cost: np.ndarray, match: np.ndarray) -> np.ndarray:
+    """Column potentials that prove an optimal assignment of a square matrix with room to spare: the mean of the shortest ways from each column."""
+    way = np.empty_like(cost)
+    way[match] = cost - cost[np.arange(len(cost)), match][:, None]
+    for k in range(len(way)):
+        way = np.minimum(way, way[:, k : k + 1] + way[k])
+    return way.mean(0)
+
+
+def mended(costs: np.ndarray, potential: np.ndarray, match: np.ndarray) -> np.ndarray:
+    """Optimal assignments of square matrices ``[matrix, row, column]`` that are near to one with these potentials and this assignment.
+
+    Rows whose column is still the cheapest keep it, if no other claims it; the
+    others get shortest augmenting paths, a step of all matrices at a time.
+    """
+    many, k, _ = costs.shape
+    cols = np.tile(potential, (many, 1))
+    reduced = costs - cols[:, None]
+    rows = reduced.min(2)
+    column = np.where(reduced.argmin(2) == match, match, -1)  # of each row
+    owner = np.full((many, k), -1)  # of each column
+    m, i = np.nonzero(column >= 0)
+    owner[m, column[m, i]] = i
+    while len(open_ := np.flatnonzero((column < 0).any(1))):
+        start = (column[open_] < 0).argmax(1)
+        here, reach = start.copy(), np.zeros(len(open_))
+        least, back, done, sink = np.full((len(open_), k), np.inf), np.zeros((len(open_), k), int), np.zeros((len(open_), k), bool), np.full(len(open_), -1)
+        while len(go := np.flatnonzero(sink < 0)):
+            at, row = open_[go], here[go]
+            way = reach[go, None] + costs[at, row] - rows[at, row][:, None] - cols[at]
+            better = ~done[go] & (way < least[go])
+            least[go] = np.where(better, way, least[go])
+            back[go] = np.where(better, row[:, None], back[go])
+            to = np.where(done[go], np.inf, least[go]).argmin(1)
+            reach[go], done[go, to] = least[go, to], True
+            held = owner[at, to]
+            sink[go] = np.where(held < 0, to, -1)
+            here[go] = np.where(held < 0, row, held)
+        shift = np.where(done, reach[:, None] - least, 0)
+        cols[open_] -= shift
+        rows[open_, start] += reach
+        x, j = np.nonzero(done & (owner[open_] >= 0))
+        rows[open_[x], owner[open_[x], j]] += shift[x, j]
+        for x, m in enumerate(open_.tolist()):
+            j = int(sink[x])
+            while True:
+                i = int(back[x, j])
+                owner[m, j] = i
+                j, column[m, i] = int(column[m, i]), j
+                if i == start[x]:
+                    break
+    return column
 
 
 def symmetric_eigen(a: np.ndarray, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -7,9 +7,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from simloom.functions.hashing import r6
-from simloom.operators import correlation as R
+from simloom.operators import alignment
 from simloom.operators import kernels as K
-from simloom.operators import spectral as S
 from simloom.operators.permuted import rsa_test
 from simloom.plans.registry import CELLS_SQL, query, r_sql, table, u_sql, vectors
 from simloom.sources import readers
@@ -141,37 +140,35 @@ def io11(spark, d):
     return readers.reliable(e, r, least, average=True).select("stim", "channel", r6(F.col("x")).alias("x"))
 
 
-# Alignment and permutation tests with an assignment inside.
-def _two_runs(spark):
-    m = S.dense(S.planted(spark, 60, 6), diagonal=None)[1]
-    return S.fits(spark, m, [6], [0, 1], outer=80)
+# Alignment of the last half of the features to the first, and tests with an assignment inside.
+def _halves(spark, d):
+    half = F.size("v") / 2
+    return vectors(spark, d).select("id", F.slice("v", F.lit(1), half.cast("int")).alias("x"), F.slice("v", (half + 1).cast("int"), half.cast("int")).alias("w"))
+
+
+@query("r8_loo_alignment")
+def r8(spark, d):
+    """Each dimension's match over all items, its correlation then and with each item aligned by the others, and the items whose own match is another."""
+    both = _halves(spark, d)
+    whole, left = alignment.aligned(both, leave_out=False), alignment.aligned(both)
+    match = whole.limit(1).select(F.posexplode("match").alias("at", "match")).select((F.col("at") + 1).cast("long").alias("dim"), F.col("match").cast("long").alias("match"))
+    own = left.select(F.posexplode("match").alias("at", "own")).groupBy((F.col("at") + 1).cast("long").alias("dim"), F.col("own").cast("long").alias("own")).count()
+    other = own.join(F.broadcast(match), "dim").groupBy("dim").agg(F.coalesce(F.sum(F.when(F.col("own") != F.col("match"), F.col("count"))), F.lit(0)).alias("others"))
+    r = alignment.aligned_correlations(whole).join(alignment.aligned_correlations(left).withColumnRenamed("r", "r_left_out"), "dim")
+    return match.join(r, "dim").join(other, "dim").select("dim", "match", r6(F.col("r")).alias("r"), r6(F.col("r_left_out")).alias("r_left_out"), "others")
 
 
 @query("r10_aligned_dimensions")
 def r10(spark, d):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = (g.pivot(index="id", columns="dim", values="x").sort_index().to_numpy() for _, g in pdf.groupby("seed"))
-        return pd.DataFrame({"dim": np.arange(1, a.shape[1] + 1), "score": S.aligned(a, b, by="correlation")[1]})
-
-    return _two_runs(spark).groupBy("rank").applyInPandas(run, "dim long, score double")
+    """Each dimension's match by signed correlation, and its score."""
+    whole = alignment.aligned(_halves(spark, d), leave_out=False)
+    return alignment.aligned_correlations(whole).select("dim", r6(F.col("r")).alias("score"))
 
 
 @query("r9_alignment_test")
 def r9(spark, d):
-    """Per-dimension p values; rows of one factor matrix are permuted and aligned again each time."""
-    pdf = _two_runs(spark).toPandas()
-    a, b = (g.pivot(index="id", columns="dim", values="x").sort_index().to_numpy() for _, g in pdf.groupby("seed"))
-    seen = S.aligned(a, b, by="correlation")[1]
-
-    def task(block: int) -> pd.DataFrame:
-        rng = np.random.default_rng(block)
-        rows = [S.aligned(a[rng.permutation(len(a))], b, by="correlation")[1] for _ in range(25)]
-        return pd.DataFrame([(block, k + 1, float(x)) for r in rows for k, x in enumerate(r)], columns=["block", "dim", "null"])
-
-    null = S.on_grid(spark, [(k,) for k in range(8)], "block long", task, "block long, dim long, null double")
-    observed = spark.createDataFrame([(k + 1, float(x)) for k, x in enumerate(seen)], "dim long, r double")
-    p = null.join(F.broadcast(observed), "dim").groupBy("dim", "r").agg(R.p_value(F.col("r"), F.col("null")).alias("p"))
-    return R.bh_adjust(p.withColumn("g", F.lit(0)), "p", ["g"]).select("dim", "r", "p", "p_adjusted", "rejected")
+    """Dimensions recovered when each item is aligned by the others: 1000 permutations, aligned again each time."""
+    return alignment.alignment_test(_halves(spark, d), 1000).select("dim", *(r6(F.col(c)).alias(c) for c in ("r", "p", "p_adjusted")), "rejected")
 
 
 # A permuted feature's sum over pairs is the form x' S x; sums of x and its squares don't change.
