@@ -30,9 +30,11 @@ from simloom.scratch import Scratch
 SHORT_WORDS, GRAM = 20, 4
 BITS = 128
 #: Bits in which near fingerprints differ at most, and blocks of a fingerprint.
-RADIUS, BLOCKS = 6, 8
+RADIUS, BLOCKS = 4, 6
 #: Fingerprints of a key that one task compares with each searched one.
 CELL = 512
+#: Keys are counted on one fingerprint in so many, by hash; counts only say how keys are dealt out.
+COUNTED = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LANES = 0x100000001
 _NULL_ID = -(1 << 63)
@@ -111,10 +113,11 @@ def within(prints: DataFrame, searched: DataFrame, radius: int = RADIUS, blocks:
     key = ["table", "a", "b"]
     questions, all_of = keyed(searched, "q_hi", "q_lo"), keyed(prints, "hi", "lo")
     # A key with more fingerprints than a cell is dealt out, its questions going to each of its cells.
-    large = all_of.groupBy(*key).count().where(F.col("count") > CELL).select(*key, F.ceil(F.col("count") / CELL).cast("int").alias("cells"))
+    some = keyed(prints.where(F.pmod(F.xxhash64("hi", "lo"), F.lit(COUNTED)) == 0), "hi", "lo")
+    large = some.groupBy(*key).count().where(F.col("count") > CELL / COUNTED).select(*key, F.ceil(F.col("count") * COUNTED / CELL).cast("int").alias("cells"))
     one = F.coalesce("cells", F.lit(1))
     left = questions.join(large, key, "left").select("q_hi", "q_lo", *key, F.explode(F.sequence(F.lit(0), one - 1)).alias("cell"))
-    right = all_of.join(large, key, "left").select("hi", "lo", *key, F.pmod(F.xxhash64("hi", "lo"), one).cast("int").alias("cell"))
+    right = all_of.join(large, key, "left").select("hi", "lo", *key, F.pmod(F.xxhash64("lo", "hi"), one).cast("int").alias("cell"))
     far = differing(F.col("q_hi"), F.col("q_lo"), F.col("hi"), F.col("lo"))
     first = F.expr(f"filter(sequence(0, {len(tables) - 1}), t -> ((q_hi ^ hi) & {of_table[0]}[t]) = 0 and ((q_lo ^ lo) & {of_table[1]}[t]) = 0)[0]")
     near = left.join(right, [*key, "cell"]).where(far <= radius)
