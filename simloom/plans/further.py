@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from simloom.functions.hashing import r6
-from simloom.functions.numeric import correlation_p, symmetric_eigen
+from simloom.functions.numeric import correlation_p
 from simloom.operators import curves as C
 from simloom.operators import extras as X
 from simloom.operators import graph as G
@@ -93,14 +93,6 @@ def s16(spark, d):
     return X.double_centred(p.unionByName(p.where("i != j").select(F.col("j").alias("i"), F.col("i").alias("j"), "s"))).select("i", "j", r6(F.col("s")).alias("s"))
 
 
-@query("s4_top_eigenvectors")
-def s4(spark, d):
-    ids, m = S.dense(S.planted(spark, N, RANK), diagonal=None)
-    values, u = symmetric_eigen(m, RANK)
-    rows = [(int(ids[i]), k + 1, float(values[k]), float(u[i, k])) for i in range(len(ids)) for k in range(RANK)]
-    return spark.createDataFrame(rows, "id long, k long, value double, x double")
-
-
 @query("v14_is_psd")
 def v14b(spark, d):
     values = np.linalg.eigvalsh(S.dense(S.planted(spark, N, RANK), diagonal=None)[1])

@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 
 from simloom.functions.hashing import r6
 from simloom.operators import curves as C
+from simloom.operators import kernels
+from simloom.operators import rowblocks as B
 from simloom.operators import spectral as S
+from simloom.operators import triplets as T
 from simloom.operators.correlation import ranked
 from simloom.operators.probes import nested_cv
 from simloom.plans.registry import CELLS_SQL, V_SQL, cells, query, r_sql, table, u_sql, vectors
+from simloom.plans.relations import drawn
+from simloom.scratch import Scratch
 
 N, K = 60, 6
 _W = f"w as (select i, k, case when {u_sql('''concat_ws('|', 'zero', i, k)''')} >= 0.5 then {u_sql('''concat_ws('|', 'w', i, k)''')} else 0 end as x from range({N}) as a(i), range(1, {K + 1}) as b(k)), p as (select a.i as i, b.i as j, sum(a.x * b.x) as s from w a join w b on a.k = b.k and a.i <= b.i group by 1, 2)"
@@ -44,14 +49,37 @@ def _matrix(spark):
     return S.dense(S.planted(spark, N, K), diagonal=None)[1]
 
 
+def _similar(spark, d):
+    """Cosine similarity of all embeddings, in row blocks."""
+    return B.blocks(kernels.pairs(vectors(spark, d).select("id", "v"), "cosine"), Scratch(spark, "similar"), diagonal=1.0)
+
+
+def _judged(spark, d):
+    """Similarity from odd-one-out judgements, of the pairs that were shown."""
+    return B.blocks(T.similarity(T.pair_wins(drawn(spark, d))), Scratch(spark, "judged"))
+
+
+@query("s4_top_eigenvectors")
+def s4(spark, d):
+    of = _similar(spark, d)
+    return B.eigen_table(of, B.top_eigen(of, 12)[0][0])
+
+
 @query("s5_subspace_overlap")
 def s5(spark, d):
-    return S.subspace_overlap(spark, _matrix(spark), 12, [0.5, 0.8, 0.95], 4)
+    return B.subspace_overlap(_similar(spark, d), 12, [0.5, 0.8, 0.95], 4)[0]
+
+
+@query("s6_fast_coherence")
+def s6(spark, d):
+    return B.subspace_overlap(_similar(spark, d), 12, [0.5, 0.6, 0.7, 0.8, 0.9, 0.95], 4, warm=True)[0]
 
 
 @query("s14_rank_kappa")
 def s14(spark, d):
-    return S.estimate_rank_kappa(spark, _matrix(spark), k_max=12)
+    rates = np.linspace(0.3, 0.98, 12).round(4).tolist()
+    curve = B.subspace_overlap(_similar(spark, d), 12, rates, 8, warm=True)[0].groupBy("k", "p").agg(F.percentile("i", F.lit(0.5)).alias("i"))
+    return C.change_point(C.kappa(curve), width=1)
 
 
 @query("s12_parallel_analysis")
@@ -61,29 +89,40 @@ def s12(spark, d):
 
 @query("m1_factorize")
 def m1(spark, d):
-    return S.fits(spark, _matrix(spark), [K], [0], outer=100)
+    of, fits = _judged(spark, d), [B.Fit(K)]
+    return B.fit_table(of, fits, B.factorize(of, fits))
+
+
+def _validated(spark, d):
+    return B.cross_validate(_judged(spark, d), [2, 4, 6, 8], folds=5, steps=40)
 
 
 @query("m2_cross_validation")
 def m2(spark, d):
-    return S.cross_validate(spark, _matrix(spark), [2, 4, 6, 8], folds=5, outer=60)
+    return _validated(spark, d)
 
 
 @query("m3_rank_from_cv")
 def m3(spark, d):
-    return C.selected(C.rank_stats(S.cross_validate(spark, _matrix(spark), [2, 4, 6, 8], folds=5, outer=60)))
+    return C.selected(C.rank_stats(_validated(spark, d)))
 
 
 @query("m4_consensus")
 def m4(spark, d):
-    return S.consensus(S.fits(spark, _matrix(spark), [K], list(range(5)), outer=80))
+    of, fits = _judged(spark, d), [B.Fit(K, s) for s in range(5)]
+    found = B.factorize(of, fits, steps=80)
+    best, agreement = B.consensus(found)
+    return B.fit_table(of, [fits[best]], [found[best]]).withColumn("agreement", F.lit(agreement))
 
 
 @query("m6_fit_quality")
 def m6(spark, d):
-    w = S.fits(spark, _matrix(spark), [K], [0], outer=100)
+    """Error and correlation of the fit over the judged pairs, and the share of zeros."""
+    of, fits = _judged(spark, d), [B.Fit(K)]
+    w = B.fit_table(of, fits, B.factorize(of, fits))
     v = w.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda r: r.x).alias("v"))
-    s = S.planted(spark, N, K).where("i < j").join(v.select(F.col("id").alias("i"), F.col("v").alias("a")), "i").join(v.select(F.col("id").alias("j"), F.col("v").alias("b")), "j")
+    pairs = T.similarity(T.pair_wins(drawn(spark, d)))
+    s = pairs.join(v.select(F.col("id").alias("i"), F.col("v").alias("a")), "i").join(v.select(F.col("id").alias("j"), F.col("v").alias("b")), "j")
     t = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda a, z: a + z)
     fit = s.withColumn("t", t)
     return fit.agg(F.sqrt(F.avg((F.col("s") - F.col("t")) ** 2)).alias("rmse"), F.corr("s", "t").alias("r")).crossJoin(w.agg(F.avg((F.col("x") == 0).cast("double")).alias("sparsity")))
