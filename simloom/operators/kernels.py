@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from simloom.operators.orderstats import quantiles
+from simloom.scratch import Scratch
+
 BLOCK = 512
 
 
@@ -92,17 +95,18 @@ def pairs(items: DataFrame, metric: str = "pearson", *, kind: str = "similarity"
 def gaussian(distances: DataFrame, n: int, *, sigma: float | None = None, sigma_scale: float = 1.0) -> DataFrame:
     """exp(-d^2 / 2 sigma^2); sigma is the scaled median of the whole distance matrix, its zero diagonal included, unless given."""
     if sigma is None:
-        ends = distances.select("s", F.lit(2).alias("f")).unionByName(distances.sparkSession.range(n).select(F.lit(0.0).alias("s"), F.lit(1).alias("f")))
-        at = ends.agg((F.percentile("s", F.lit(0.5), F.col("f")) * sigma_scale).alias("sigma"))
-    else:
-        at = distances.sparkSession.range(1).select(F.lit(float(sigma)).alias("sigma"))
-    return distances.crossJoin(F.broadcast(at)).select("i", "j", F.exp(-F.col("s") * F.col("s") / (2 * F.col("sigma") * F.col("sigma"))).alias("s"))
+        distances = Scratch(distances.sparkSession, "distances").table(distances, "pairs")
+        middle = quantiles(distances.select("s"), [0.5], times=2, also={0.0: n})[0]
+        sigma = float("nan") if middle is None else middle * sigma_scale
+    return distances.select("i", "j", F.exp(-F.col("s") * F.col("s") / F.lit(2 * float(sigma) * float(sigma))).alias("s"))
 
 
 def rbf(distances: DataFrame, *, alpha: float = 1.0) -> DataFrame:
     """Gaussian kernel whose bandwidth is alpha times the median distance of pairs."""
-    at = distances.agg((F.percentile("s", F.lit(0.5)) * alpha).alias("sigma"))
-    return distances.crossJoin(F.broadcast(at)).select("i", "j", F.exp(-F.col("s") * F.col("s") / (2 * F.col("sigma") * F.col("sigma"))).alias("s"), "sigma")
+    distances = Scratch(distances.sparkSession, "distances").table(distances, "pairs")
+    middle = quantiles(distances.select("s"), [0.5])[0]
+    sigma = F.lit(None if middle is None else middle * alpha).cast("double")
+    return distances.select("i", "j", F.exp(-F.col("s") * F.col("s") / (2 * sigma * sigma)).alias("s"), sigma.alias("sigma"))
 
 
 def reexponentiate(kernel: DataFrame, alphas: list[float]) -> DataFrame:

@@ -11,6 +11,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from simloom.operators.orderstats import quantiles
+from simloom.scratch import Scratch
+
 EPS = 1e-8
 
 
@@ -163,8 +166,11 @@ def orthogonality(df: DataFrame) -> DataFrame:
 
 def split_at(pairs: DataFrame, how: str = "median") -> DataFrame:
     """Positive and negative parts of ``s`` about its median or zero, with the mask of the former."""
-    at = pairs.agg(F.percentile("s", F.lit(0.5)).alias("t") if how == "median" else F.lit(0.0).alias("t"))
-    zero = F.lit(0.0)
-    return pairs.crossJoin(F.broadcast(at)).select(
-        *pairs.columns, "t", F.greatest(F.col("s") - F.col("t"), zero).alias("pos"), F.greatest(F.col("t") - F.col("s"), zero).alias("neg"), (F.col("s") >= F.col("t")).alias("mask")
+    t = 0.0
+    if how == "median":
+        pairs = Scratch(pairs.sparkSession, "split").table(pairs, "pairs")
+        t = quantiles(pairs.select("s"), [0.5])[0]
+    pairs, zero = pairs.withColumn("t", F.lit(t).cast("double")), F.lit(0.0)
+    return pairs.select(
+        "*", F.greatest(F.col("s") - F.col("t"), zero).alias("pos"), F.greatest(F.col("t") - F.col("s"), zero).alias("neg"), (F.col("s") >= F.col("t")).alias("mask")
     )

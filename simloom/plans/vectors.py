@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from simloom.functions.hashing import r6
 from simloom.operators import kernels as K
 from simloom.operators import transforms as T
+from simloom.operators.orderstats import quantiles
 from simloom.plans.registry import CELLS_SQL, V_SQL, cells, query, r_sql, vectors
+from simloom.scratch import Scratch
 
 
 def _cells_out(df):
@@ -201,4 +203,6 @@ def v15(spark, d):
 
 @query("k14_pair_percentile", f"{_DIST} select {r_sql('quantile_cont(s, 0.98)')} as p98, {r_sql('quantile_cont(s, 0.02)')} as p02, count(*) as n from d")
 def k14(spark, d):
-    return K.pairs(vectors(spark, d).select("id", "v"), "euclidean", kind="distance").agg(r6(F.percentile("s", F.lit(0.98))).alias("p98"), r6(F.percentile("s", F.lit(0.02))).alias("p02"), F.count(F.lit(1)).alias("n"))
+    s = Scratch(spark, "percentiles").table(K.pairs(vectors(spark, d).select("id", "v"), "euclidean", kind="distance").select("s"), "s")
+    p98, p02 = quantiles(s, [0.98, 0.02])
+    return s.agg(r6(F.lit(p98)).alias("p98"), r6(F.lit(p02)).alias("p02"), F.count(F.lit(1)).alias("n"))

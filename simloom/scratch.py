@@ -1,7 +1,8 @@
 """Tables that cut lineage, written to the folder that all executors share.
 
 The folder is the one the session names in ``spark.checkpoint.dir``.  Only a
-session without that setting (tests, a laptop) gets a folder of its own.
+session without that setting whose master is local (tests, a laptop) gets a
+folder of its own; on a cluster it would lie on one machine, so that is refused.
 """
 
 from __future__ import annotations
@@ -16,9 +17,12 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one where none is set."""
+    """The session's checkpoint folder; a local one where none is set and all runs on this machine."""
     found = spark.conf.get(_SETTING, None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"{_SETTING} must name a folder that all machines of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="simloom-")
         spark.conf.set(_SETTING, found)
         spark.sparkContext.setCheckpointDir(found)
