@@ -35,8 +35,8 @@ TRAIN_ROWS = 4000
 #: A marking stem has so many letters, so many distinct contexts in texts of
 #: label 1, and such a lower bound (95 %) of its log-odds.
 STEM_LETTERS, LEAST_CONTEXTS, LEAST_ODDS = (3, 10), 5, 1.5
-#: Occurrences of a stem that count, and the ridge of the regression.
-MOST_COUNTED, RIDGE = 6, 0.01
+#: The ridge of the regression.
+RIDGE = 0.01
 
 # What a character may stand for.
 STANDS_FOR = {
@@ -51,7 +51,7 @@ _AS_ITSELF, _AS_OTHER, _AS_NOTHING, _AS_REPEAT, _AS_BREAK = 0.1, 0.4, 0.7, 0.4,
 OUTSIDE = "\x00"
 
 _WORD = re.compile(r"[^\W\d_]+")
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
 _LETTER = re.compile(r"[^\W\d_]")
 _ONE = re.compile(r"[^\W_]|[@$!|+€£¡(]")
 
@@ -134,7 +134,7 @@ def learn(
     memo: dict[str, tuple[str, ...]] = {}
     counts = [(marks(text, model, memo), label) for text, label in texts]
     # Stems that texts of label 0 lack share a weight, to which each adds its own.
-    each = [[min(c[s], MOST_COUNTED) for s in stems] for c, _ in counts]
+    each = [[math.log2(1 + c[s]) for s in stems] for c, _ in counts]
     x = np.array([[*of, sum(n for n, alone in zip(of, pure, strict=True) if alone), 1] for of in each], float).reshape(len(counts), len(stems) + 2)
     *weights, shared, model.intercept = _logistic(x, np.array([y for _, y in counts], float))
     model.weights = {s: w + shared * alone for s, w, alone in zip(stems, weights, pure, strict=True)}
@@ -243,7 +243,7 @@ def read(token: str, model: Model) -> tuple[str, ...]:
     core = token.strip(".,")
     if core.isalpha():
         stem = model.stem(core)
-        if stem or not _TRIPLE.search(core):
+        if stem or not _DOUBLE.search(core):  # letters stand for themselves, so only repeated ones can be read otherwise
             return (stem,) if stem else ()
     stems = [x for w in _WORD.findall(token) if (x := model.stem(w))]
     if stems or not (" " in token or _LETTER.search(token)):  # without any letter it is a number
@@ -299,7 +299,7 @@ def _scorer(model: Model):
 
 def score_of(found: Counter, model: Model) -> float:
     """Probability of label 1 given the stems' counts."""
-    total = model.intercept + sum(model.weights[s] * min(n, MOST_COUNTED) for s, n in found.items())
+    total = model.intercept + sum(model.weights[s] * math.log2(1 + n) for s, n in found.items())
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
 

@@ -23,7 +23,7 @@ from simloom.llm.pii import TEST_KEY, find, luhn_digit, permute
 from simloom.llm.pivots import near_vectors
 from simloom.llm.queries import tokenizer_path
 from simloom.llm.secrets import base_spans, candidates, ownership, secrets
-from simloom.llm.toxicity import _AS_BREAK, _AS_ITSELF, _AS_NOTHING, _AS_OTHER, _AS_REPEAT, _DROPPED, STANDS_FOR, _trigrams, corpus_trigrams, learn, marks, read, restore
+from simloom.llm.toxicity import _AS_BREAK, _AS_ITSELF, _AS_NOTHING, _AS_OTHER, _AS_REPEAT, _DROPPED, STANDS_FOR, Model, _trigrams, corpus_trigrams, learn, marks, read, restore, score_of
 from simloom.operators.components import union_find
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "pu", "ra", "so", "ti") for b in ("ba", "den", "fur", "gol", "hin", "jas")]
@@ -339,6 +339,26 @@ def test_filter_loses_no_restored_stem():
         assert not restored or read(token, model), token
 
 
+def test_doubled_letters_are_read():
+    rng = random.Random(19)
+    stems = ("gribble", "snarfle")
+    model = learn([(f"{_text(rng, 9)} {w} {_text(rng, 9)}", 1) for w in stems for _ in range(30)] + [(_text(rng, 30), 0) for _ in range(200)])
+    for token in ("griibble", "ggribble", "grribble", "gribbblle", "snaarfle", "ssnnaarrffllee"):
+        assert sum(marks(f"ka {token} lo", model, {}).values()) == 1, token
+    for _ in range(300):
+        token = "".join(c * rng.choice((1, 1, 2)) for c in rng.choice(stems))
+        restored = [x for w in re.findall(r"[^\W\d_]+", restore(token, model)) if (x := model.stem(w))]
+        assert restored and read(token, model) == tuple(restored), token
+    for clean in WORDS:
+        assert not marks("".join(c * rng.choice((1, 2)) for c in clean), model, {}), clean
+
+
+def test_each_occurrence_counts():
+    model = Model({"gribble": 0.01})
+    scores = [score_of(Counter(gribble=n), model) for n in range(40)]
+    assert sorted(set(scores)) == scores
+
+
 def test_trigrams_of_the_corpus(spark):
     rng = random.Random(10)
     texts = [_text(rng, 30) + " Gribbles, ÉTÉ 好x" for _ in range(40)]
