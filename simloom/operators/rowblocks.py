@@ -373,9 +373,9 @@ def fit_table(of: Blocks, fits: list[Fit], found: list[tuple[np.ndarray, float]]
     return of.spark.createDataFrame(pd.concat(parts), "rank long, seed long, id long, dim long, x double")
 
 
-def cross_validate(of: Blocks, ranks: list[int], *, folds: int = 5, repeats: int = 1, rate: float = 1.0, seed: int = 0, **solver) -> DataFrame:
-    """``rep, fold, rank, val_mse``: each fold's pairs are hidden in turn, and of the others a share is kept."""
-    grid = [(r, f, k) for r in range(repeats) for f in range(folds) for k in ranks]
+def cross_validate(of: Blocks, ranks: list[int], *, folds: int = 5, repeats: int = 1, rate: float = 1.0, seed: int = 0, cells: list[tuple[int, int, int]] | None = None, **solver) -> DataFrame:
+    """``rep, fold, rank, val_mse``: each fold's pairs are hidden in turn, and of the others a share is kept; ``cells`` are the rows wanted, by default all."""
+    grid = [(r, f, k) for r in range(repeats) for f in range(folds) for k in ranks] if cells is None else cells
     fits = [Fit(k, seed + r * 31 + f, Hidden(rate, seed + r, f, folds)) for r, f, k in grid]
     shared = of.spark.sparkContext.broadcast([w for w, _ in factorize(of, fits, **solver)])
 

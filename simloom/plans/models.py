@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from simloom.functions.hashing import r6
 from simloom.operators import curves as C
-from simloom.operators import kernels
+from simloom.operators import drivers, kernels
 from simloom.operators import rowblocks as B
 from simloom.operators import spectral as S
 from simloom.operators import triplets as T
@@ -115,6 +115,13 @@ def m4(spark, d):
     return B.fit_table(of, [fits[best]], [found[best]]).withColumn("agreement", F.lit(agreement))
 
 
+@query("m5_resumable_validation")
+def m5(spark, d):
+    """Mean error of ranks 2 and 8 and of those between that a refined validation comes to, from its ledger of finished tasks."""
+    rows = drivers.validate(_judged(spark, d), f"{Scratch(spark, 'ledger').folder}/validation", [2, 8], folds=3, gap=2, rounds=2, steps=20)
+    return C.rank_stats(rows).select("rank", "mean", "n")
+
+
 @query("m6_fit_quality")
 def m6(spark, d):
     """Error and correlation of the fit over the judged pairs, and the share of zeros."""

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from simloom.functions.hashing import r6
 from simloom.operators import graph as G
+from simloom.operators import lowdata
 from simloom.operators import triplets as T
 from simloom.plans.registry import V_SQL, query, r_sql, table, u_sql, vectors
+from simloom.scratch import Scratch
 
 REPS = 20
 _AT = lambda k: f"floor({u_sql(f'''concat_ws('|', '{k}', i, r)''')} * (select count(*) from v))::bigint"
@@ -63,6 +65,32 @@ def t6(spark, d):
     return T.accuracy(drawn(spark, d), half).select(r6(F.col("accuracy")).alias("accuracy"), "n")
 
 
+_SHARES = [0.05, 0.2, 0.5, 1.0]
+
+
+@query("t10_nested_pair_counts", f"with {_DRAWN}, u as (select a, b, c, {u_sql("concat_ws('|', 'fraction0', a, b, c)")} as u from t), p as (select u, least(a, b) as i, greatest(a, b) as j, 1 as w from u union all select u, least(a, c), greatest(a, c), 0 from u union all select u, least(b, c), greatest(b, c), 0 from u) select f as fraction, i, j, sum(w)::bigint as wins, count(*) as trials from p, (select unnest({_SHARES}::double[]) as f) where u < f group by 1, 2, 3")
+def t10(spark, d):
+    return lowdata.nested_wins(drawn(spark, d), _SHARES)
+
+
+def _split(spark, d):
+    both = Scratch(spark, "triplets").table(T.hash_split(drawn(spark, d), ["a", "b", "c"], 0.9), "split")
+    return both.where("train"), both.where("not train")
+
+
+@query("t7_fit_and_score")
+def t7(spark, d):
+    """Ranks fitted to nine tenths of the triplets, scored on the others."""
+    train, test = _split(spark, d)
+    return lowdata.fit_and_score(T.pair_wins(train), test, [2, 6, 12], steps=60)
+
+
+@query("t10_low_data_curve")
+def t10b(spark, d):
+    train, test = _split(spark, d)
+    return lowdata.low_data_curve(train, test, _SHARES, [6], steps=60)
+
+
 @query("t9_triplet_split", f"with {_DRAWN} select train, count(*) as n, sum(a)::bigint as a, sum(c)::bigint as c from (select *, {u_sql('''concat_ws('|', 'split0', a, b, c)''')} < 0.9 as train from t) group by 1")
 def t9(spark, d):
     return T.hash_split(drawn(spark, d), ["a", "b", "c"], 0.9).groupBy("train").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("c").alias("c"))
