@@ -8,7 +8,7 @@ cluster.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +52,48 @@ def validate_metric(metric: str) -> None:
         raise ValueError(f"unknown metric {metric!r}; there are {', '.join(METRICS)}")
 
 
-def _cells(kind: str, metric: str):
-    f = (SIMILARITIES if kind == "similarity" else DISTANCES)[metric]
+#: A cell function: from vectors in rows, x and y, the matrix of their values.
+Cell = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def pairwise(f: Callable[[np.ndarray, np.ndarray], float]) -> Cell:
+    """A cell function from a function of two vectors."""
+    return lambda x, y: np.array([[f(a, b) for b in y] for a in x], float).reshape(len(x), len(y))
+
+
+def spearman(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Correlation of ranks, ties by their mean."""
+    return _pearson(*(np.array([_ranks(v) for v in m]).reshape(m.shape) for m in (x, y)))
+
+
+def _ranks(v: np.ndarray) -> np.ndarray:
+    _, at, many = np.unique(v, return_inverse=True, return_counts=True)
+    return (np.cumsum(many) - (many - 1) / 2)[at]
+
+
+def information(bins: int) -> Cell:
+    """A cell function of mutual information in nats over equally full bins, ties in the order of the vector."""
+
+    def tiles(m: np.ndarray) -> np.ndarray:
+        n = m.shape[1]
+        large, size = n % bins, n // bins
+        tile = np.repeat(np.arange(bins), [size + (k < large) for k in range(bins)])
+        out = np.empty(m.shape, int)
+        np.put_along_axis(out, np.argsort(m, axis=1, kind="stable"), np.broadcast_to(tile, m.shape), 1)
+        return out
+
+    def cell(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        n = x.shape[1]
+        a, b = ((tiles(m)[:, None] == np.arange(bins)[None, :, None]).astype(float) for m in (x, y))
+        both = np.einsum("ipn,jqn->ijpq", a, b, optimize=True)
+        apart = a.sum(2)[:, None, :, None] * b.sum(2)[None, :, None, :]
+        return np.sum(both / n * np.log(np.divide(both * n, apart, out=np.ones_like(both), where=both > 0)), axis=(2, 3))
+
+    return cell
+
+
+def _cells(kind: str, metric: str | Cell):
+    f = metric if callable(metric) else (SIMILARITIES if kind == "similarity" else DISTANCES)[metric]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,9 +117,14 @@ def blocks_of(items: DataFrame, block: int = BLOCK) -> DataFrame:
     return items.select(F.pmod(F.xxhash64("id"), F.lit(count)).alias("b"), F.struct("id", "v").alias("r")).groupBy("b").agg(F.array_sort(F.collect_list("r")).alias("r")).select("b", F.col("r.id").alias("ids"), F.col("r.v").alias("vs"))
 
 
-def pairs(items: DataFrame, metric: str = "pearson", *, kind: str = "similarity", sigma: float | None = None, sigma_scale: float = 1.0, block: int = BLOCK) -> DataFrame:
-    """``i, j, s`` for all i < j of ``items`` (``id, v``); vectors are of one length, without nulls."""
-    validate_metric(metric)
+def pairs(items: DataFrame, metric: str | Cell = "pearson", *, kind: str = "similarity", sigma: float | None = None, sigma_scale: float = 1.0, block: int = BLOCK) -> DataFrame:
+    """``i, j, s`` for all i < j of ``items`` (``id, v``); vectors are of one length, without nulls.
+
+    ``metric`` is a name, or a caller's cell function of a symmetric value, whose
+    results are taken as they are.
+    """
+    if not callable(metric):
+        validate_metric(metric)
     if metric == "gaussian_kernel":
         if kind != "similarity":
             raise NotImplementedError("the Gaussian kernel is no distance")

@@ -14,7 +14,7 @@ from simloom.operators import spectral as S
 from simloom.operators import triplets as T
 from simloom.operators.correlation import ranked
 from simloom.operators.probes import nested_cv
-from simloom.plans.registry import CELLS_SQL, V_SQL, cells, query, r_sql, table, u_sql, vectors
+from simloom.plans.registry import CELLS_SQL, SQL, V_SQL, cells, query, r_sql, table, u_sql, vectors
 from simloom.plans.relations import drawn
 from simloom.scratch import Scratch
 
@@ -237,6 +237,13 @@ def c4(spark, d):
     return mutual_information(cells(spark, d), 10).select("d1", "d2", r6(F.col("mi")).alias("mi"))
 
 
+@query("c4_information_as_pair_metric", SQL["c4_mutual_information"])
+def c4_plugged(spark, d):
+    """The same by a cell function of the block grid, the dimensions being its items."""
+    by_dim = cells(spark, d).groupBy(F.col("dim").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "x"))), lambda r: r.x).alias("v"))
+    return kernels.pairs(by_dim, kernels.information(10)).select(F.col("i").alias("d1"), F.col("j").alias("d2"), r6(F.col("s")).alias("mi"))
+
+
 _FD = f"""{CELLS_SQL}, e as (select dim, min(x) as lo, max(x) + 1e-12 as hi, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) as iqr, count(*) as n from c group by 1),
 f as (select dim, lo, hi, case when iqr <= 0 then 5 else greatest(least(ceil((hi - 1e-12 - lo) / (2 * iqr * pow(n, -1.0 / 3))), 50), 2) end as nb from e),
 b as (select id, dim, least(floor((x - lo) / ((hi - lo) / nb)), nb - 1) as b from c join f using (dim)),
