@@ -31,3 +31,15 @@ def test_unknown_names_and_empty_tables(spark):
     with pytest.raises(ValueError, match="unknown metric"):
         K.pairs(_items(spark, rng.random((3, 2))), "nothing")
     assert K.pairs(_items(spark, rng.random((0, 2))), K.spearman).collect() == []
+
+
+def test_the_grid_moves_no_vector_but_once(spark):
+    plan = K.pairs(_items(spark, rng.random((40, 3))), "cosine", block=4)._jdf.queryExecution().executedPlan().toString()
+    above, product, below = plan.partition("CartesianProduct")
+    assert product and "Exchange" not in above and below
+
+
+def test_vectors_of_two_lengths_are_refused(spark):
+    items = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [1.0])], "id long, v array<double>")
+    with pytest.raises(Exception, match="of one length"):
+        K.pairs(items, "dot").collect()
