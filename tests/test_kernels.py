@@ -43,3 +43,15 @@ def test_vectors_of_two_lengths_are_refused(spark):
     items = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [1.0])], "id long, v array<double>")
     with pytest.raises(Exception, match="of one length"):
         K.pairs(items, "dot").collect()
+
+
+@pytest.mark.parametrize("fisher", [False, True])
+def test_subjects_are_averaged_within_a_cell(spark, fisher):
+    x = rng.normal(size=(9, 6))
+    x[3, :3], x[4, :3] = 0, x[5, :3]  # a zero vector, and a correlation of 1
+    found = K.pairs(_items(spark, x), K.group("pearson", 2, fisher=fisher), block=4)
+    assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString().partition("CartesianProduct")[0]
+    each = [{(r.i, r.j): r.s for r in K.pairs(_items(spark, v), "pearson").collect()} for v in (x[:, :3], x[:, 3:])]
+    tagged = spark.createDataFrame([(k, i, j, s) for k, m in enumerate(each) for (i, j), s in m.items()], "subject long, i long, j long, s double")
+    mean = {(r.i, r.j): r.s for r in K.group_mean(tagged, fisher=fisher).collect()}
+    assert {(r.i, r.j): r.s for r in found.collect()} == pytest.approx(mean, abs=1e-12)
