@@ -100,13 +100,14 @@ _KERNEL = f"{V_SQL}, d as (select a.id as i, b.id as j, list_distance(a.v, b.v)
 
 
 def _kernel(spark, d):
-    return K.rbf(K.pairs(vectors(spark, d).select("id", "v"), "euclidean", kind="distance")).select("i", "j", "s")
+    distances = K.values(vectors(spark, d).select("id", "v"), "euclidean", kind="distance")
+    return K.rbf(distances).select("s")
 
 
 @query("a12_histogram_entropy", f"with {_KERNEL}, b as (select least(floor(s * 100), 99) as b, count(*)::double as n from k group by 1) select {r_sql('-sum(n / t * log2(n / t))')} as bits, {r_sql('-sum(n / t * ln(n / t))')} as nats from b, (select sum(n) as t from b)")
 def a12(spark, d):
-    k = _kernel(spark, d).withColumn("all", F.lit(1))
-    return C.histogram_entropy(k, "s", ["all"], 100).join(C.histogram_entropy(k, "s", ["all"], 100, bits=False).withColumnRenamed("entropy", "nats"), "all").select(r6(F.col("entropy")).alias("bits"), r6(F.col("nats")).alias("nats"))
+    h = C.histogram_entropy(_kernel(spark, d).withColumn("all", F.lit(1)), "s", ["all"], 100, bits=False).select(F.col("entropy").alias("nats"))
+    return h.select(r6(F.col("nats") / F.log(F.lit(2.0))).alias("bits"), r6(F.col("nats")).alias("nats"))
 
 
 _ALPHAS = [0.25, 0.5, 1.0, 2.0, 4.0]

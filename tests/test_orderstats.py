@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from simloom.operators import kernels, orderstats
 from simloom.operators.orderstats import number_of, order_statistics, ordered_bits, quantiles
 
 rng = np.random.default_rng(4)
@@ -36,3 +37,26 @@ def test_quantiles_with_weights(spark):
     shares = [0.0, 0.1, 0.5, 0.98, 1.0]
     assert np.allclose(quantiles(_frame(spark, x), shares, times=2, also={0.0: 30}), np.quantile(whole, shares), rtol=1e-14)
     assert quantiles(_frame(spark, []), [0.5]) == [None] and quantiles(_frame(spark, [None]), [0.5], also={2.0: 1}) == [2.0]
+
+
+@pytest.mark.parametrize("few", [0, 1, 1 << 20])
+def test_the_last_pass_brings_few_numbers(spark, monkeypatch, few):
+    monkeypatch.setattr(orderstats, "FEW", few)
+    x = np.r_[rng.normal(size=200), np.repeat(0.25, 20), np.nextafter(0.25, 1), [0.0, -0.0]]
+    shares = [0.0, 0.02, 0.5, 0.55, 0.98, 1.0]
+    assert np.allclose(quantiles(_frame(spark, x), shares), np.quantile(x, shares), rtol=1e-14)
+    whole = np.r_[x, x, np.repeat(0.25, 7)]
+    assert quantiles(_frame(spark, x), [0.5, 0.6], times=2, also={0.25: 7}) == pytest.approx(np.quantile(whole, [0.5, 0.6]).tolist(), rel=1e-14)
+
+
+def test_quantiles_of_pairs_write_nothing(spark, monkeypatch):
+    from simloom import scratch
+
+    monkeypatch.setattr(scratch.Scratch, "table", None)  # a pair table of 1 GB of vectors doesn't fit
+    x = rng.normal(size=(30, 4))
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    apart = np.linalg.norm(x[:, None] - x[None], axis=2)[np.triu_indices(30, 1)]
+    found = kernels.rbf(kernels.values(items, "euclidean", kind="distance", block=8))
+    assert found.first().sigma == pytest.approx(np.median(apart)) and found.columns == ["s", "sigma"] and found.count() == 435
+    wide = kernels.pairs(items, "gaussian_kernel", block=8)
+    assert wide.columns == ["i", "j", "s"] and wide.count() == 435
