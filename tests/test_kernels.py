@@ -55,3 +55,12 @@ def test_subjects_are_averaged_within_a_cell(spark, fisher):
     tagged = spark.createDataFrame([(k, i, j, s) for k, m in enumerate(each) for (i, j), s in m.items()], "subject long, i long, j long, s double")
     mean = {(r.i, r.j): r.s for r in K.group_mean(tagged, fisher=fisher).collect()}
     assert {(r.i, r.j): r.s for r in found.collect()} == pytest.approx(mean, abs=1e-12)
+
+
+@pytest.mark.parametrize(("block", "most"), [(256, 1 << 22), (4, 1), (5, 40)])
+def test_softmax_of_triplets_in_tiles(spark, block, most):
+    x = rng.normal(size=(14, 3))
+    e, n = np.exp(x @ x.T), 14
+    want = {(i, j): sum(e[i, j] / (e[i, j] + e[i, k] + e[j, k]) for k in range(n) if k not in (i, j)) / (n - 2) for i in range(n) for j in range(i + 1, n)}
+    assert {(r.i, r.j): r.s for r in K.softmax_triplet_similarity(_items(spark, x), block, most).collect()} == pytest.approx(want, abs=1e-12)
+    assert K.softmax_triplet_similarity(_items(spark, x[:0]), block, most).collect() == []
