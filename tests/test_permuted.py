@@ -125,3 +125,18 @@ def test_accuracy_of_the_best_assignment(spark):
     best = max(np.mean(np.array(o)[p] == t) for o in orders(range(4), 3))
     rows = spark.createDataFrame([(int(a), int(b)) for a, b in zip(t, p, strict=True)], "t long, p long")
     assert mapped_accuracy(rows, "t", "p").first().accuracy == pytest.approx(best)
+
+
+@pytest.mark.parametrize("strata", [None, "label"])
+def test_mantel_of_many_items_has_no_table_of_pairs(spark, monkeypatch, strata):
+    x = np.random.default_rng(3).normal(size=(23, 5))
+    x[7] = x[8]
+    items = spark.createDataFrame([(2 * i, i % 3, v[:3].tolist(), v[2:].tolist()) for i, v in enumerate(x)], "id long, label long, v array<double>, w array<double>")
+    want = R.mantel_of(items, 40, strata=strata).first()
+    for name in ("mantel_null", "_mantel_joined"):
+        monkeypatch.setattr(permuted if hasattr(permuted, name) else R, name, None)
+    monkeypatch.setattr(permuted, "DENSE", 5)
+    got = R.mantel_of(items, 40, strata=strata).first()
+    assert abs(got.r - want.r) < 1e-11 and got.p == want.p
+    tiled = permuted.mantel_tiles(items, 6, strata=strata, block=4).toPandas().sort_values("perm").r.to_numpy()
+    assert np.allclose(tiled, permuted.mantel_tiles(items, 6, strata=strata).toPandas().sort_values("perm").r.to_numpy(), atol=1e-12)
