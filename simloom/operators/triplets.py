@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from simloom.functions.hashing import uniform
 from simloom.scratch import Scratch
 
+#: Triplets whose products a task makes; a small table of vectors is one task's until they are dealt out.
+DRAWS = 1 << 18
+
 
 def pair_wins(triplets: DataFrame) -> DataFrame:
     """``i, j, wins, trials``: times the pair was chosen, and shown; i < j."""
@@ -91,8 +94,9 @@ def accuracy(triplets: DataFrame, items: DataFrame) -> DataFrame:
 def sampled(items: DataFrame, per_item: int) -> DataFrame:
     """Hash-drawn triplets over items numbered from 0, their most similar pair first."""
     n = items.count()
+    tasks = max(items.sparkSession.sparkContext.defaultParallelism, n * per_item // DRAWS)
     at = lambda k: F.floor(uniform(F.lit(k), F.col("i").cast("string"), F.col("r").cast("string")) * n).cast("long")
-    drawn = items.select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(per_item - 1))).alias("r")).select("i", "r", at("j").alias("j"), at("k").alias("k")).where("i != j and i != k and j != k")
+    drawn = items.select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(per_item - 1))).alias("r")).select("i", "r", at("j").alias("j"), at("k").alias("k")).where("i != j and i != k and j != k").repartition(tasks, "i", "r")
     dots = with_dots(drawn.withColumnsRenamed({"i": "a", "j": "b", "k": "c"}), items)
     best = F.greatest("ab", "ac", "bc")
     return dots.select(
