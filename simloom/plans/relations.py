@@ -152,10 +152,14 @@ q as (select a.word as src, b.word as dst, count(*)::double as w from u a join u
 
 
 def word_graph(spark, d):
-    c = table(spark, d, "conversations")
-    u = c.select("conv_id", "turn", "role", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("word")).distinct()
-    a = u.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("word").alias("src"))
-    return a.join(u.select("conv_id", "turn", F.col("word").alias("dst")), ["conv_id", "turn"]).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    c = table(spark, d, "conversations").where("conv_id is not null and turn is not null")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))
+    # A turn's words travel as one array; a word counts once for each role that has it.
+    u = c.select("conv_id", "turn", "role", words.alias("words")).where("size(words) > 0").groupBy("conv_id", "turn", "role").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+    a = u.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("words").alias("from"))
+    both = a.join(u.select("conv_id", "turn", F.col("words").alias("to")), ["conv_id", "turn"])
+    each = both.select(F.explode("from").alias("src"), "to").select("src", F.explode("to").alias("dst"))
+    return each.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
 _PPMI = "{g}, t as (select sum(w) as total from e), r as (select src, sum(w) as row from e group by 1), c as (select dst, sum(w) as col from e group by 1), mi as (select src, dst, log2((w / total) / (greatest(row / total, 1e-7) * greatest(col / total, 1e-7))) as v from e join r using (src) join c using (dst), t where src <> dst and w > 0)"
@@ -168,7 +172,8 @@ def g7(spark, d):
 
 @query("g7_ppmi_words", f"with {_PPMI.format(g=_WORDS.replace('q as (', 'e as ('))} select src, count(*) as n, round(sum(greatest(v, 0)), 3) as total, {r_sql('max(v)')} as high from mi group by 1")
 def g7w(spark, d):
-    return G.ppmi(word_graph(spark, d)).groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 3).alias("total"), r6(F.max("v")).alias("high"))
+    counts = Scratch(spark, "words").table(word_graph(spark, d), "counts")  # read four times
+    return G.ppmi(counts).groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 3).alias("total"), r6(F.max("v")).alias("high"))
 
 
 @query("g7_self_information", f"with {_STEPS}, t as (select sum(w) as total from e) select src as node, {r_sql('-log2(greatest(sum(w) / any_value(total), 1e-7))')} as v from e, t group by 1")
