@@ -140,3 +140,18 @@ def test_mantel_of_many_items_has_no_table_of_pairs(spark, monkeypatch, strata):
     assert abs(got.r - want.r) < 1e-11 and got.p == want.p
     tiled = permuted.mantel_tiles(items, 6, strata=strata, block=4).toPandas().sort_values("perm").r.to_numpy()
     assert np.allclose(tiled, permuted.mantel_tiles(items, 6, strata=strata).toPandas().sort_values("perm").r.to_numpy(), atol=1e-12)
+
+
+def test_feature_test_in_tiles_as_with_the_pair_table(spark):
+    from simloom.operators import kernels as K
+    from simloom.operators import permuted as P
+
+    x = np.random.default_rng(3).normal(size=(70, 4)) * [3, 1, 0.5, 0]
+    x[:, 3] = 2
+    items = spark.createDataFrame([(7 * i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    tiles = {(r.perm, r.dim): r.r for r in P.rsa_tiles(items, 20, block=16).collect()}
+    table = {(r.perm, r.dim): r.r for r in P.rsa_null(items, K.pairs(items, "euclidean", kind="distance"), 20).collect()}
+    assert tiles.keys() == table.keys() and all(tiles[p, 4] is None for p in range(21))
+    assert max(abs(tiles[k] - table[k]) for k in tiles if k[1] < 4) < 1e-9
+    odd = spark.createDataFrame([(1, [1.0]), (2, [float("nan")])], "id long, v array<double>")
+    assert P.rsa_tiles(odd, 3) is None
