@@ -34,7 +34,7 @@ CAPACITY = 2048
 #: The id that ends a document.
 END_ID = 1
 #: Text bytes whose new words are learned together, ids held before a block is packed, and words whose ids a worker remembers.
-SLICE_BYTES, BLOCK_IDS, KNOWN_WORDS = 1 << 20, 1 << 21, 300_000
+SLICE_BYTES, BLOCK_IDS, KNOWN_WORDS = 1 << 20, 1 << 21, 450_000
 
 
 def closest_fill(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -284,7 +284,8 @@ class TextIds:
 
 def _runner(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(path) if _tokenizer(path)[1] else TextIds(path)  # what it remembers goes with the task
+        # A worker's next task begins with the words of the last ones; their ids are the same in all tasks.  The tokenizer, made within, is kept beside them.
+        encode = kept(("words", path), lambda: WordIds(path)) if _tokenizer(path)[1] else TextIds(path)
         rows: list[tuple] = []
 
         def emit(piece: tuple, sequence: int, offset: int) -> None:
