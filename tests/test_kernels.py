@@ -64,3 +64,25 @@ def test_softmax_of_triplets_in_tiles(spark, block, most):
     want = {(i, j): sum(e[i, j] / (e[i, j] + e[i, k] + e[j, k]) for k in range(n) if k not in (i, j)) / (n - 2) for i in range(n) for j in range(i + 1, n)}
     assert {(r.i, r.j): r.s for r in K.softmax_triplet_similarity(_items(spark, x), block, most).collect()} == pytest.approx(want, abs=1e-12)
     assert K.softmax_triplet_similarity(_items(spark, x[:0]), block, most).collect() == []
+
+
+def test_information_in_pieces_needs_little_memory():
+    import tracemalloc
+
+    from simloom.operators import kernels
+
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(6, 60_001)).round(2), rng.normal(size=(5, 60_001)).round(2)
+    y[0] = x[0] + 0.1 * y[0]
+    tracemalloc.start()
+    found = kernels.information(10)(x, y)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    tile = lambda v: np.argsort(np.argsort(v, kind="stable")) * 10 // len(v)
+
+    def plain(a, b):
+        n = np.histogram2d(tile(a), tile(b), bins=(np.arange(11), np.arange(11)))[0] / len(a)
+        apart = n.sum(1)[:, None] * n.sum(0)[None]
+        return (n * np.log(n / apart, where=n > 0, out=np.zeros_like(n))).sum()
+
+    assert np.allclose(found, [[plain(a, b) for b in y] for a in x], atol=1e-4) and most < 48e6, most
