@@ -6,7 +6,9 @@ adds them up by partition, ``k x k`` numbers each.  An item is left out by
 taking its own terms away, for a whole batch of items at once; the assignment of
 all items stays the best one where its column potentials still prove that, and
 is mended from those potentials where they don't, for all such items of a batch
-at once.
+at once.  How far an item can move a correlation is bounded for a tile of items
+first, and only pairs of dimensions that could come to prefer each other are
+looked at item by item.
 
 Rows hold ``id, x, w``: the reference's vector and the one to align, of one
 length, without nulls or NaN.
@@ -22,13 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.functions.numeric import assignment, central_potentials, mended
+from simloom.functions.numeric import assignment, even_potentials, mended
 from simloom.operators.correlation import bh_adjust, p_value
 
 #: Numbers of both embeddings that go to each task of a permutation test: 512 MB.
 MOST_CELLS = 1 << 26
-#: Correlations held at once while items are left out.
-_CELLS = 1 << 21
+#: Correlations held at once while items are left out, and items whose moves are bounded together.
+_CELLS, _TILE = 1 << 21, 1 << 12
+#: What correlations may be off by through rounding, where variances are above ``_SOUND`` times the squares.
+_ROUNDING, _SOUND = 1e-9, 1e-6
+#: Times that potentials are lowered along all pairs of dimensions before an item is aligned anew, and items for which no shared assignment is looked for.
+_SWEEPS, _FEW = 3, 1 << 11
 
 
 class Moments(NamedTuple):
@@ -62,19 +68,81 @@ def _without(m: Moments, x: np.ndarray, w: np.ndarray) -> Moments:
     return Moments(np.full(len(x), m.n - 1), m.x - x, m.w - w, m.xx - x * x, m.ww - w * w, m.xw - x[:, :, None] * w[:, None, :])
 
 
+def _in_doubt(m: Moments, cost: np.ndarray, potential: np.ndarray, whole: np.ndarray, x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Whether ``whole`` may not be best for each row, left out; False is sure.
+
+    With an item's deviations ``a`` and ``b`` in units of the root sum of
+    squares, a correlation without it is ``(r - c a b) / sqrt((1 - c a a) (1 - c b b))``
+    where c is n / (n - 1).  Potentials are lowered item by item where a column
+    has become cheaper for some row; if they then prove ``whole`` again, it stands.
+    """
+    doubt = np.ones(len(x), bool)
+    spread_x, spread_w = m.xx - m.x * m.x / m.n, m.ww - m.w * m.w / m.n
+    if m.n < 3 or not ((spread_x > _SOUND * m.xx).all() and (spread_w > _SOUND * m.ww).all()):
+        return doubt
+    c, r, each = m.n / (m.n - 1), -cost, np.arange(len(cost))
+    gap = cost - potential
+    gap = gap - gap[each, whole][:, None]
+    for at in range(0, len(x), _TILE):
+        a, b = (np.ascontiguousarray(((v[at : at + _TILE] - s / m.n) / np.sqrt(spread)).T) for v, s, spread in ((x, m.x, spread_x), (w, m.w, spread_w)))
+        u, v = c * a * a, c * b * b
+        far = (np.maximum(u.max(0), v.max(0)) > 0.5) | ~np.isfinite(u.sum(0) + v.sum(0))
+        for part in (a, b, u, v):
+            part[:, far] = 0
+        grow_a, grow_b = 1 / np.sqrt(1 - u), 1 / np.sqrt(1 - v)
+        grown = grow_a.max(1)[:, None] * grow_b.max(1)
+        bound = np.abs(r) * (grown - 1) + c * np.abs(a).max(1)[:, None] * np.abs(b).max(1) * grown
+        bound = bound + bound[each, whole][:, None] + _ROUNDING
+        b *= c
+        room = bound.max()  # what potentials may be lowered by: all other pairs have that much to spare
+        rows, columns = np.nonzero((gap <= bound + room) & (np.arange(gap.shape[1]) != whole[:, None]))
+        owns = whole[rows]
+        spare = np.empty((len(rows), a.shape[1]))
+        for d in np.unique(rows):
+            mine, own = rows == d, whole[d]
+            e = columns[mine]
+            less = (r[d, e, None] - a[d] * b[e]) * grow_b[e] - (r[d, own] - a[d] * b[own]) * grow_b[own]
+            spare[mine] = (potential[own] - potential[e])[:, None] - _ROUNDING - less * grow_a[d]
+        open_ = np.flatnonzero((spare < 0).any(0))
+        spare, lowered = spare[:, open_], np.zeros((len(cost), len(open_)))
+        for _ in range(_SWEEPS):
+            for own, e, left in zip(owns, columns, spare, strict=True):
+                np.minimum(lowered[e], lowered[own] + left, out=lowered[e])
+        proven = lowered.min(0, initial=0) >= -room
+        for own, e, left in zip(owns, columns, spare, strict=True):
+            proven &= lowered[e] <= lowered[own] + left
+        far[open_[~proven]] = True
+        doubt[at : at + _TILE] = far
+    return doubt
+
+
 def left_out(m: Moments, x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """For each row, the column of ``w`` matched with each dimension of ``x`` by the other items' signed correlations."""
+    """For each row, the column of ``w`` matched with each dimension of ``x`` by the other items' signed correlations.
+
+    Items that part from the assignment of all items mostly share another, so
+    that of one of them is tried on the others while many are left.
+    """
     cost = -correlations(m)
     whole = assignment(cost)[0]
-    potential = central_potentials(cost, whole)
-    out = np.empty(x.shape, int)
+    potential = even_potentials(cost, whole)
+    out = np.tile(whole, (len(x), 1))
+    doubt = np.flatnonzero(_in_doubt(m, cost, potential, whole, x, w))
+    many = len(x)
+    while _FEW < len(doubt) < many:
+        many = len(doubt) * 7 // 8
+        one = doubt[len(doubt) // 2, None]
+        own = -correlations(_without(m, x[one], w[one]))[0]
+        match = assignment(own)[0]
+        still = _in_doubt(m, cost, even_potentials(own, match), match, x[doubt], w[doubt])
+        out[doubt[~still]] = match
+        doubt = doubt[still]
     step = max(1, _CELLS // max(1, x.shape[1] ** 2))
-    for at in range(0, len(x), step):
-        cost = -correlations(_without(m, x[at : at + step], w[at : at + step])) if m.n > 1 else np.zeros((len(x[at : at + step]), x.shape[1], x.shape[1]))
+    for at in range(0, len(doubt), step):
+        rows = doubt[at : at + step]
+        cost = -correlations(_without(m, x[rows], w[rows])) if m.n > 1 else np.zeros((len(rows), x.shape[1], x.shape[1]))
         stands = ((cost - potential).argmin(2) == whole).all(1)
-        out[at : at + step] = whole
         if not stands.all():
-            out[at + np.flatnonzero(~stands)] = mended(cost[~stands], potential, whole)
+            out[rows[~stands]] = mended(cost[~stands], potential, whole)
     return out
 
 
@@ -160,10 +228,11 @@ def alignment_null(both: DataFrame, n: int = 1000, *, leave_out: bool = True, se
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, w = shared.value
+        same = moments(x, w)  # but for the products
         for batch in batches:
             for perm in batch.column(0).to_pylist():
                 moved = x[np.random.default_rng([seed, perm]).permutation(len(x))] if perm else x
-                m = moments(moved, w)
+                m = same._replace(xw=moved.T @ w)
                 order = left_out(m, moved, w) if leave_out else np.tile(assignment(-correlations(m))[0], (len(w), 1))
                 r = _r(moved, np.take_along_axis(w, order, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), perm)), pa.array(np.arange(1, len(r) + 1)), pa.array(r, from_pandas=True)], names=["perm", "dim", "r"])

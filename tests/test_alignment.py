@@ -7,7 +7,7 @@ from itertools import permutations as orders
 import numpy as np
 import pytest
 
-from simloom.functions.numeric import assignment, central_potentials, mended
+from simloom.functions.numeric import assignment, central_potentials, even_potentials, mended
 from simloom.operators import alignment as A
 
 rng = np.random.default_rng(8)
@@ -87,3 +87,29 @@ def test_edges(spark):
     assert {r.r for r in A.alignment_test(flat, 4).collect()} == {None} and {r.p for r in A.alignment_test(flat, 4).collect()} == {1.0}
     one = A.aligned(_frame(spark, rng.random((1, 3)), rng.random((1, 3)))).collect()
     assert sorted(one[0].match) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("few", [20, 5000])
+@pytest.mark.parametrize(("n", "noise"), [(2000, 1.0), (2000, 100.0), (30, 100.0)])
+def test_few_items_are_aligned_anew(monkeypatch, n, noise, few):
+    x, w = _planted(n, 6, noise)
+    w[5] += 50  # far from all others
+    m, aligned = A.moments(x, w), []
+    monkeypatch.setattr(A, "_FEW", few)
+    monkeypatch.setattr(A, "_without", lambda m, x, w, old=A._without: aligned.append(len(x)) or old(m, x, w))
+    got = A.left_out(m, x, w)
+    whole = assignment(-A.correlations(m))[0]
+    changed = (got != whole).any(1)
+    cost = -A.correlations(A.Moments(np.full(n, n - 1), m.x - x, m.w - w, m.xx - x * x, m.ww - w * w, m.xw - x[:, :, None] * w[:, None, :]))
+    assert all((a == assignment(c)[0]).all() for a, c in zip(got, cost, strict=True))
+    assert sum(aligned) <= 2 + 2 * changed.sum()
+
+
+def test_potentials_leave_even_room():
+    for k in (1, 2, 6, 15):
+        cost = rng.normal(size=(k, k))
+        match = assignment(cost)[0]
+        reduced = cost - even_potentials(cost, match)
+        room = np.where(np.arange(k) == match[:, None], np.inf, reduced - reduced[np.arange(k), match][:, None]).min(initial=np.inf)
+        other = cost - central_potentials(cost, match)
+        assert room >= 0.97 * np.where(np.arange(k) == match[:, None], np.inf, other - other[np.arange(k), match][:, None]).min(initial=np.inf)
