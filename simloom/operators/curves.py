@@ -127,7 +127,11 @@ def bisect_around(stats: DataFrame, gap: int) -> DataFrame:
 def histogram_entropy(df: DataFrame, x: str, by: list[str], bins: int, *, bits: bool = True) -> DataFrame:
     """Entropy of values in 0 .. 1 over equal bins, the last one closed."""
     b = F.least(F.floor(F.col(x) * bins), F.lit(bins - 1))
-    counts = df.groupBy(*by, b.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return entropy_of_counts(df.groupBy(*by, b.alias("b")).agg(F.count(F.lit(1)).alias("n")), by, bits=bits)
+
+
+def entropy_of_counts(counts: DataFrame, by: list[str], *, bits: bool = True) -> DataFrame:
+    """Entropy of positive counts ``n`` of the bins of each group."""
     p = F.col("n") / F.sum("n").over(Window.partitionBy(*by))
     return counts.withColumn("p", p).groupBy(*by).agg((-F.sum(F.col("p") * (F.log2("p") if bits else F.log("p")))).alias("entropy"))
 

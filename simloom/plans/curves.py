@@ -8,7 +8,9 @@ from simloom.functions.hashing import r6
 from simloom.operators import correlation as R
 from simloom.operators import curves as C
 from simloom.operators import kernels as K
+from simloom.operators import pairstats
 from simloom.plans.registry import CELLS_SQL, V_SQL, cells, query, r_sql, table, u_sql, vectors
+from simloom.scratch import Scratch
 
 _CV = "cv as (select l_quantity::bigint as rank, l_linenumber::bigint as rep, (l_suppkey % 5)::bigint as fold, avg(l_tax + abs(l_quantity - 20) / 100) as val_mse from lineitem group by 1, 2, 3)"
 _ST = f"{_CV}, st as (select rank, avg(val_mse) as mean, stddev_samp(val_mse) as std, count(*) as n, stddev_samp(val_mse) / sqrt(greatest(count(*), 1)) as sem from cv group by 1)"
@@ -99,14 +101,27 @@ def a11(spark, d):
 _KERNEL = f"{V_SQL}, d as (select a.id as i, b.id as j, list_distance(a.v, b.v) as s from v a join v b on a.id < b.id), g as (select quantile_cont(s, 0.5) as sigma from d), k as (select i, j, exp(-s * s / (2 * sigma * sigma)) as s from d, g)"
 
 
-def _kernel(spark, d):
-    distances = K.values(vectors(spark, d).select("id", "v"), "euclidean", kind="distance")
-    return K.rbf(distances).select("s")
+def _kernel(spark, d, alphas):
+    """Tallies of the kernel in 100 bins; or None, and the kernel itself, where numbers aren't plain."""
+    v = vectors(spark, d).select("id", "v")
+    sigma = pairstats.quantiles_of(v, [0.5])[0]
+    if sigma and pairstats.plain(v):
+        return pairstats.kernel_tallies(v, sigma, alphas, 100), None
+    return None, K.rbf(K.values(v, "euclidean", kind="distance"), middle=sigma).select("s")
+
+
+def _counts(tallies):
+    return tallies.groupBy("alpha", "b").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 @query("a12_histogram_entropy", f"with {_KERNEL}, b as (select least(floor(s * 100), 99) as b, count(*)::double as n from k group by 1) select {r_sql('-sum(n / t * log2(n / t))')} as bits, {r_sql('-sum(n / t * ln(n / t))')} as nats from b, (select sum(n) as t from b)")
 def a12(spark, d):
-    h = C.histogram_entropy(_kernel(spark, d).withColumn("all", F.lit(1)), "s", ["all"], 100, bits=False).select(F.col("entropy").alias("nats"))
+    t, k = _kernel(spark, d, [1.0])
+    if t is None:
+        h = C.histogram_entropy(k.withColumn("all", F.lit(1)), "s", ["all"], 100, bits=False)
+    else:
+        h = C.entropy_of_counts(_counts(t), ["alpha"], bits=False)
+    h = h.select(F.col("entropy").alias("nats"))
     return h.select(r6(F.col("nats") / F.log(F.lit(2.0))).alias("bits"), r6(F.col("nats")).alias("nats"))
 
 
@@ -117,9 +132,16 @@ _ALPHAS = [0.25, 0.5, 1.0, 2.0, 4.0]
 def a13(spark, d):
     from pyspark.sql import Window
 
-    p = K.reexponentiate(_kernel(spark, d), _ALPHAS)
-    m = p.groupBy("alpha").agg(F.avg("s").alias("mean"), F.avg((F.col("s") > 0.95).cast("double")).alias("high"), F.avg((F.col("s") < 0.05).cast("double")).alias("low"))
-    out = C.histogram_entropy(p, "s", ["alpha"], 100).join(m, "alpha")
+    t, k = _kernel(spark, d, _ALPHAS)
+    if t is None:
+        p = K.reexponentiate(k, _ALPHAS)
+        m = p.groupBy("alpha").agg(F.avg("s").alias("mean"), F.avg((F.col("s") > 0.95).cast("double")).alias("high"), F.avg((F.col("s") < 0.05).cast("double")).alias("low"))
+        out = C.histogram_entropy(p, "s", ["alpha"], 100).join(m, "alpha")
+    else:
+        t = t.groupBy("alpha", "b").agg(*(F.sum(c).alias(c) for c in ("n", "total", "high", "low")))
+        t = Scratch(spark, "sweep").table(t, "tallies")  # read twice
+        m = t.groupBy("alpha").agg(*((F.sum(c) / F.sum("n")).alias(to) for c, to in (("total", "mean"), ("high", "high"), ("low", "low"))))
+        out = C.entropy_of_counts(t.where("n > 0"), ["alpha"]).join(m, "alpha")
     return _r(out.withColumn("best", F.col("entropy") == F.max("entropy").over(Window.partitionBy())), "entropy", "mean", "high", "low").select("alpha", "entropy", "mean", "high", "low", "best")
 
 
@@ -256,6 +278,10 @@ def _two(spark, d):
 
 @query("r1_correlate_rsms", f"with {_TWO} select {r_sql('corr(x, y)')} as r, count(*) as n from p")
 def r1(spark, d):
+    v = vectors(spark, d).select("id", "v")
+    sizes = v.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    if sizes[0] == sizes[1] and sizes[0] >= 64 and pairstats.plain(v):
+        return pairstats.distances_correlated(v.select("id", F.slice("v", 1, 64).alias("v")), 32).select(r6(F.col("r")).alias("r"), "n")
     return R.correlate_pairs(*_two(spark, d)).select(r6(F.col("r")).alias("r"), "n")
 
 
