@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simloom.functions.hashing import r6
-from simloom.operators import kernels, transforms
+from simloom.operators import transforms
+from simloom.operators.nearest import nearest
 from simloom.plans import curves as _curves  # noqa: F401  registers its queries
 from simloom.plans import further as _further  # noqa: F401
 from simloom.plans import inputs as _inputs  # noqa: F401
@@ -14,6 +15,7 @@ from simloom.plans import models as _models  # noqa: F401
 from simloom.plans import relations as _relations  # noqa: F401
 from simloom.plans import vectors as _vectors  # noqa: F401
 from simloom.plans.registry import QUERIES, SQL, cells, query, table
+from simloom.scratch import Scratch
 
 __all__ = ["QUERIES", "SQL", "flagship"]
 
@@ -22,9 +24,8 @@ def neighbours(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """Nearest items of each item by Pearson similarity of standardised features, and whether labels agree."""
     standard = transforms.standardize(cells(spark, sf_dir))
     items = standard.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda r: r.x).alias("v"))
-    pairs = kernels.pairs(items, "pearson")
-    both = pairs.select("i", "j", "s").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "s"))
-    top = both.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("s"), "j"))).where(F.col("rank") <= k)
+    items = Scratch(spark, "neighbours").table(items, "standard")  # read a few times
+    top = nearest(items, k)
     label = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("i"), F.col("label").alias("label"))
     named = top.join(label, "i").join(label.select(F.col("i").alias("j"), F.col("label").alias("other")), "j")
     return named.select("i", F.col("rank").cast("long").alias("rank"), "j", r6(F.col("s")).alias("s"), (F.col("label") == F.col("other")).alias("same_label"))
