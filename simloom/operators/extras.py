@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from simloom.functions.hashing import normal
+from simloom.operators import kernels
 
 
 def is_symmetric(entries: DataFrame, tol: float = 1e-8) -> DataFrame:
@@ -55,10 +57,41 @@ def signal_floor(curves: DataFrame, q: float = 0.1) -> DataFrame:
 
 
 def co_association(labels: DataFrame) -> DataFrame:
-    """``i, j, c``: share of runs that put two items together, from ``run, id, label``."""
+    """``i, j, c``: share of runs that put two items together, from ``run, id, label``.
+
+    Where many pairs are together somewhere, labels are compared in the block
+    grid of all pairs, and no pair is shuffled; else items are joined by label.
+    """
     runs = labels.agg(F.count_distinct("run").alias("n"))
-    two = labels.select("run", "label", F.col("id").alias("j"))
-    return labels.withColumnRenamed("id", "i").join(two, ["run", "label"]).where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("m")).crossJoin(F.broadcast(runs)).select("i", "j", (F.col("m") / F.col("n")).alias("c"))
+    there = labels.where("run is not null and id is not null and label is not null")
+    n, of, most = there.groupBy("run", "id").count().agg(F.count_distinct("id"), F.count_distinct("run"), F.max("count")).first()
+    together = there.groupBy("run", "label").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
+    if most == 1 and of <= MOST_RUNS and dict(labels.dtypes)["id"] in ("int", "bigint") and together * COMPARED >= n * (n - 1) / 2 * of:
+        m = kernels.pairs(_coded(there), _same, positive=True).withColumnRenamed("s", "m")
+    else:
+        two = there.select("run", "label", F.col("id").alias("j"))
+        m = there.withColumnRenamed("id", "i").join(two, ["run", "label"]).where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("m"))
+    return m.crossJoin(F.broadcast(runs)).select("i", "j", (F.col("m") / F.col("n")).alias("c"))
+
+
+#: Runs whose labels an item takes along, and labels compared in the time that a joined pair takes.
+MOST_RUNS, COMPARED = 1000, 64
+
+
+def _coded(labels: DataFrame) -> DataFrame:
+    """``id, v``: numbers of an item's labels by run, NaN where a run lacks it."""
+    number = labels.select("label").distinct().withColumn("code", F.row_number().over(Window.orderBy("label")).cast("double"))
+    names = [r.run for r in labels.select("run").distinct().orderBy("run").collect()]
+    each = labels.join(number, "label").groupBy(F.col("id").cast("long").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("run", "code"))).alias("by"))
+    kind = dict(labels.dtypes)["run"]
+    return each.select("id", F.transform(F.array(*(F.lit(r).cast(kind) for r in names)), lambda r: F.coalesce(F.try_element_at("by", r), F.lit(float("nan")))).alias("v"))
+
+
+def _same(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), len(y)), np.int16)
+    for a, b in zip(x.T, y.T, strict=True):
+        out += a[:, None] == b[None]
+    return out.astype(float)
 
 
 def dispersion(pairs: DataFrame, n: int) -> DataFrame:

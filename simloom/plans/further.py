@@ -17,6 +17,7 @@ from simloom.plans.models import _HID, _W, N
 from simloom.plans.models import K as RANK
 from simloom.plans.registry import CELLS_SQL, V_SQL, cells, query, r_sql, table, u_sql, vectors
 from simloom.plans.relations import _STEPS, brand_graph
+from simloom.scratch import Scratch
 
 
 @query("v14_is_symmetric", f"with {_STEPS}, b as (select e.w as s, f.w as t from e full join e f on e.src = f.dst and e.dst = f.src) select coalesce(bool_and(coalesce(abs(s - t) <= 1e-8, false)), true) as symmetric from b")
@@ -104,7 +105,8 @@ _LAB = "lab as (select user_id as id, month(ts) as run, max_by(event_type, (c, e
 
 def _labels(spark, d):
     e = table(spark, d, "events").groupBy(F.col("user_id").alias("id"), F.month("ts").alias("run"), "event_type").agg(F.count(F.lit(1)).alias("c"))
-    return e.groupBy("id", "run").agg(F.max_by("event_type", F.struct("c", "event_type")).alias("label"))
+    labels = e.groupBy("id", "run").agg(F.max_by("event_type", F.struct("c", "event_type")).alias("label"))
+    return Scratch(spark, "labels").table(labels, "labels")  # read a few times
 
 
 @query("m7_co_association", f"with {_LAB} select a.id as i, b.id as j, {r_sql('count(*) / (select count(distinct run) from lab)')} as c from lab a join lab b on a.run = b.run and a.label = b.label and a.id < b.id group by 1, 2")
