@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simloom.functions.hashing import uniform
+from simloom.operators import kernels
 from simloom.scratch import Scratch
 
 #: Triplets whose products a task makes; a small table of vectors is one task's until they are dealt out.
@@ -28,6 +29,8 @@ def similarity(wins: DataFrame, alpha: float = 1.0, *, items: DataFrame | None =
     seen = wins.select("i", "j", laplace(F.col("wins"), F.col("trials"), alpha).alias("s"))
     if fill is None:
         return seen
+    if dict(items.dtypes)["id"] in ("int", "bigint") and items.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
+        return kernels.filled(items.select(F.col("id").cast("long").alias("id")), seen, fill)
     grid = items.select(F.col("id").alias("i")).join(items.select(F.col("id").alias("j")), F.col("i") < F.col("j"))
     return grid.join(seen, ["i", "j"], "left").withColumn("s", F.coalesce("s", F.lit(fill)))
 
