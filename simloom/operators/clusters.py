@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +84,46 @@ def mutual_information(df: DataFrame, bins: int | None = 10, *, normalize: str |
     return mi.select("d1", "d2", F.greatest(F.least(F.col("mi") / below, F.lit(1.0)), F.lit(0.0)).alias("mi"))
 
 
+def information_of_pairs(df: DataFrame, bins: int) -> DataFrame:
+    """``d1, d2, mi`` in nats of each pair of dimensions of ``id, dim, x``, over equally full bins with ties by ``id``.
+
+    An item's bins travel as one array.  A task counts pairs of bins for some
+    items at once and sends the counts, ``bins`` squared numbers a pair of
+    dimensions however many items there are.
+    """
+    place = F.row_number().over(Window.orderBy("dim")) - 1
+    dims = df.select("dim").distinct().withColumn("k", place.cast("int"))
+    names = [r.dim for r in dims.orderBy("k").collect()]
+    if not names:
+        return df.sparkSession.createDataFrame([], "d1 long, d2 long, mi double")
+    b = df.select("id", "dim", (F.ntile(bins).over(Window.partitionBy("dim").orderBy("x", "id")) - 1).alias("b"))
+    lists = b.join(F.broadcast(dims), "dim").groupBy("id").agg(F.collect_list(F.struct("k", "b")).alias("r")).select(F.col("r.k").alias("k"), F.col("r.b").alias("b"))
+    many = len(names)
+    if many * bins > 8192:
+        raise ValueError("more pairs of bins than a task holds")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joint = np.zeros((many * bins,) * 2, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                k, own = (c.slice(at, 1024) for c in batch.columns)
+                row = np.repeat(np.arange(len(k)), np.asarray(k.value_lengths()))
+                held = np.zeros((len(k), many * bins), np.float32)
+                np.add.at(held, (row, k.flatten().to_numpy() * bins + own.flatten().to_numpy()), 1)  # an id twice counts as in a join
+                joint += (held.T @ held).astype(np.int64)
+        p, q = np.nonzero(joint)
+        later = p // bins < q // bins
+        p, q = p[later], q[later]
+        yield pa.RecordBatch.from_pydict({"d1": p // bins, "d2": q // bins, "p": p % bins, "q": q % bins, "n": joint[p, q]})
+
+    n = lists.mapInArrow(run, "d1 long, d2 long, p long, q long, n long").groupBy("d1", "d2", "p", "q").agg(F.sum("n").cast("double").alias("n"))
+    over = lambda *c: F.sum("n").over(Window.partitionBy("d1", "d2", *c))
+    full = n.withColumn("s", over()).withColumn("r", over("p")).withColumn("c", over("q"))
+    mi = full.groupBy("d1", "d2").agg(F.sum(F.col("n") / F.col("s") * F.log(F.col("n") * F.col("s") / (F.col("r") * F.col("c")))).alias("mi"))
+    name = F.lit(names)
+    return mi.select(F.get(name, F.col("d1").cast("int")).alias("d1"), F.get(name, F.col("d2").cast("int")).alias("d2"), "mi")
+
+
 def tfidf(docs: DataFrame, key: str, text: str, *, features: int, token: str, least_df: int = 2, most_df: float = 0.95) -> DataFrame:
     """``key, word, x``: smooth inverse document frequency, rows of unit length, the most frequent words only."""
     words = docs.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(token), F.lit(0))).alias("word"))
